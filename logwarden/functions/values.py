@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Timestamp layouts, tried in this order after the general ISO parse.
 TIMESTAMP_FORMATS = [
@@ -121,7 +121,7 @@ def valid_ipv4(c: Column | str) -> Column:
     return F.when(c.rlike(IPV4), c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical(values: pd.Series) -> pd.Series:
     def one(text):
         try:

@@ -7,7 +7,6 @@ hot entity is pre-aggregated and the join is left to AQE's skew handling; ordere
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logwarden.operators.ordered import arrange, largest_group
@@ -141,8 +140,8 @@ def rate_limit(df: DataFrame, key: str, limit: int, window: float = 60.0, *, seg
     """W14 (anchored): windows start at the entity's first request and restart when older than ``window``.
 
     Adds window_start, requests, limited, retry_after. A pause longer than the window always restarts it,
-    so each stretch between such pauses is independent. Stretches of bounded size are folded in pandas;
-    longer ones follow next-window pointers by doubling joins.
+    so each stretch between such pauses is independent. Stretches of bounded size are folded in one sorted
+    pass; longer ones follow next-window pointers by doubling joins.
     """
     o = arrange(df, [key], ORDER, **how).lag(_prev=("timestamp", 1))
     fresh = F.col("_prev").isNull() | (F.col("timestamp") - F.col("_prev") > window)
@@ -164,19 +163,22 @@ def rate_limit(df: DataFrame, key: str, limit: int, window: float = 60.0, *, seg
 
 
 def _fold_starts(rows: DataFrame, key: str, window: float) -> DataFrame:
+    """Window starts by one pass over each task's sorted stretches; only the open window is kept in memory."""
     key_type = rows.schema[key].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rank")
-        marks, start = [], None
-        for rank, t in zip(pdf["_rank"], pdf["timestamp"]):
-            if start is None or t - start > window:
-                start = t
-                marks.append(rank)
-        return pd.DataFrame({key: pdf[key].iloc[0], "_rank": marks})
-
-    return (rows.select(key, "_seg", "_rank", "timestamp").groupBy(key, "_seg")
-            .applyInPandas(fold, f"`{key}` {key_type}, _rank bigint"))
+    def fold(batches):
+        open_key, open_seg, start = None, None, 0.0
+        for pdf in batches:
+            marked = []
+            for i, (k, seg, t) in enumerate(zip(pdf[key], pdf["_seg"], pdf["timestamp"])):
+                if seg != open_seg or k != open_key or t - start > window:
+                    open_key, open_seg, start = k, seg, t
+                    marked.append(i)
+            yield pdf.iloc[marked][[key, "_rank"]]
+
+    sorted_rows = rows.select(key, "_seg", "_rank", "timestamp").repartition(key, "_seg").sortWithinPartitions(
+        key, "_seg", "_rank")
+    return sorted_rows.mapInPandas(fold, f"`{key}` {key_type}, _rank bigint")
 
 
 def _chain_starts(rows: DataFrame, key: str, window: float, **how) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module, util
 
-GROUPS = ["behaviour"]
+GROUPS = ["behaviour", "features", "detector", "evaluation"]
 
 
 def load() -> None:
