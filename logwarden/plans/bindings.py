@@ -59,7 +59,7 @@ def incidents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TL = """tl AS (
-  SELECT l_orderkey AS incident_id, l_linenumber AS entry, l_partkey AS ref, l_shipdate AS at,
+  SELECT l_orderkey AS incident_id, l_linenumber AS entry, l_partkey AS ref, l_shipdate AS changed_at,
          CASE l_returnflag WHEN 'A' THEN 'investigating' WHEN 'N' THEN 'contained' ELSE 'resolved' END AS new_status,
          l_suppkey AS actor FROM lineitem)"""
 
@@ -71,7 +71,7 @@ def timeline(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_orderkey").alias("incident_id"),
         F.col("l_linenumber").alias("entry"),
         F.col("l_partkey").alias("ref"),
-        F.col("l_shipdate").cast("timestamp").alias("at"),
+        F.col("l_shipdate").cast("timestamp").alias("changed_at"),
         F.when(f == "A", "investigating").when(f == "N", "contained").otherwise("resolved").alias("new_status"),
         F.col("l_suppkey").alias("actor"),
     )

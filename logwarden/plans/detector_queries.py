@@ -34,12 +34,12 @@ def _fitted(spark, sf):
 
 
 @query("D01_fit_baseline", f"""WITH {LONG}
-SELECT feature, round(mu, 6) AS mean, round(sd, 6) AS std, round(med, 6) AS median, round(mad, 6) AS mad,
-  round(q1, 6) AS q1, round(q3, 6) AS q3, round(iqr, 6) AS iqr FROM p""")
+SELECT feature, round(mu, 8) AS mean, round(sd, 8) AS std, round(med, 8) AS median, round(mad, 8) AS mad,
+  round(q1, 8) AS q1, round(q3, 8) AS q3, round(iqr, 8) AS iqr FROM p""")
 def fit_baseline(spark, sf):
     _, params = _fitted(spark, sf)
     t = params.table(spark)
-    return t.select("feature", *[R(c) for c in t.columns[1:]])
+    return t.select("feature", *[F.round(c, 8).alias(c) for c in t.columns[1:]])
 
 
 def _score_query(name, fn, expr):
@@ -117,13 +117,13 @@ _flag_query("D12_flag_outlier_iqr", stat.is_outlier_iqr, "v < q1 - 0.3 * iqr OR
 @query("D13_feature_distribution", f"""WITH {LONG}, c AS (SELECT l.feature, v - mu AS e FROM l JOIN p0 USING (feature)),
 k AS (SELECT feature, avg(e ** 3) / (avg(e ** 2) ** 1.5) AS skewness, avg(e ** 4) / (avg(e ** 2) ** 2) - 3 AS kurtosis
   FROM c GROUP BY feature)
-SELECT feature, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS std, min(v) AS min,
+SELECT feature, round(avg(v), 8) AS mean, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS std, min(v) AS min,
   max(v) AS max, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.75), 6) AS p75,
   round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(any_value(skewness), 6) AS skewness,
   round(any_value(kurtosis), 6) AS kurtosis FROM l JOIN k USING (feature) GROUP BY feature""")
 def feature_distribution(spark, sf):
     t = stat.profile_features(_lines(spark, sf), FEATURES)
-    return t.select("feature", *[R(c) for c in t.columns[1:]])
+    return t.select("feature", F.round("mean", 8).alias("mean"), *[R(c) for c in t.columns[2:]])
 
 
 @query("D14_normality_check", f"""WITH {LONG}, c AS (SELECT l.feature, v - mu AS e FROM l JOIN p0 USING (feature)),

@@ -24,7 +24,7 @@ def _norm(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else round(v, 9) + 0.0
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None)
     if isinstance(v, (list, tuple)):
