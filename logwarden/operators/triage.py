@@ -195,16 +195,19 @@ SCAN_HOSTS = "array<struct<host:string,malware_detected:boolean,vulnerabilities:
 
 
 def scan_summary(df: DataFrame, payload: str, key: str) -> DataFrame:
-    """Infected hosts, critical and high vulnerabilities and action items per scan payload."""
-    hosts = F.from_json(F.get_json_object(payload, "$.hosts"), SCAN_HOSTS)
-    rows = df.select(key, F.get_json_object(payload, "$.hosts_scanned").cast("bigint").alias("hosts_scanned"),
-                     F.explode_outer(hosts).alias("h"))
-    found = lambda level: F.size(F.filter(F.coalesce(F.col("h.vulnerabilities"), F.array()),
-                                          lambda v: v["severity"] == level)).cast("bigint")
-    out = rows.groupBy(key).agg(
-        F.coalesce(F.max("hosts_scanned"), F.lit(0)).alias("hosts_scanned"),
-        F.count_if(F.col("h.malware_detected")).alias("hosts_infected"),
-        F.sum(found("critical")).alias("vuln_critical"), F.sum(found("high")).alias("vuln_high"))
+    """Infected hosts, critical and high vulnerabilities and action items per scan.
+
+    Each report row is reduced to four numbers first, so a scan with many reports only adds numbers.
+    """
+    hosts = F.coalesce(F.from_json(F.get_json_object(payload, "$.hosts"), SCAN_HOSTS), F.array().cast(SCAN_HOSTS))
+    rows = df.select(key, F.coalesce(F.get_json_object(payload, "$.hosts_scanned").cast("bigint"), F.lit(0)).alias("_n"),
+                     hosts.alias("_h"))
+    levels = F.flatten(F.transform("_h", lambda h: F.coalesce(h["vulnerabilities"], F.array().cast("array<struct<severity:string>>"))))
+    found = lambda level: F.sum(F.size(F.filter("_v", lambda v: v["severity"] == level)).cast("bigint"))
+    out = rows.withColumn("_v", levels).groupBy(key).agg(
+        F.sum("_n").alias("hosts_scanned"),
+        F.sum(F.size(F.filter("_h", lambda h: h["malware_detected"])).cast("bigint")).alias("hosts_infected"),
+        found("critical").alias("vuln_critical"), found("high").alias("vuln_high"))
     n = lambda c: F.col(c).cast("string")
     items = F.array_compact(F.array(
         F.when(F.col("hosts_infected") > 0, F.concat(F.lit("Quarantine "), n("hosts_infected"), F.lit(" infected hosts"))),

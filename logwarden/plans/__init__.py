@@ -2,7 +2,7 @@
 
 from importlib import import_module, util
 
-GROUPS = ["behaviour", "features", "detector", "evaluation", "search", "analytics", "joins", "triage"]
+GROUPS = ["behaviour", "features", "detector", "evaluation", "search", "analytics", "joins", "triage", "parsing", "collection"]
 
 
 def load() -> None:

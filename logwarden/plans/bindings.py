@@ -150,7 +150,7 @@ LINES = EV + """, lines AS (
       ' dst=2.1.2.' || (user_id % 250) || ' spt=' || (1024 + event_id % 5000) || ' dpt=443 suser=' || username ||
       ' msg=' || action || ' seen here act=' ||
       CASE event_id % 5 WHEN 0 THEN 'Permitted' WHEN 1 THEN 'blocked' WHEN 2 THEN 'deny' WHEN 3 THEN 'warned'
-                        ELSE 'ALLOW' END || ' rt=' || epoch_ms(ts) AS cef,
+                        ELSE 'ALLOW' END || ' rt=' || epoch_us(ts) // 1000 AS cef,
     source_ip || ' - ' || CASE WHEN event_id % 4 = 0 THEN '-' ELSE username END || ' [' ||
       strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] "GET /p/' || (event_id % 60) || ' HTTP/1.1" ' ||
       (100 * (1 + event_id % 5) + 4) || ' ' || CASE WHEN event_id % 6 = 0 THEN '-' ELSE CAST(event_id AS VARCHAR) END ||
@@ -166,7 +166,7 @@ LINES = EV + """, lines AS (
       ' HTTP/2","status":' || (100 * (1 + event_id % 5) + 1) || ',"body_bytes_sent":' || event_id ||
       ',"http_referer":"-","http_user_agent":"curl/8.0","request_time":' || (user_id % 10) || '.5,"host":"h' ||
       (user_id % 3) || '"}' AS nginx,
-    '{"ts":' || CASE WHEN event_id % 2 = 0 THEN epoch_ms(ts) ELSE epoch_ms(ts) // 1000 END || ',"src":"' || source_ip ||
+    '{"ts":' || CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) // 1000 ELSE epoch_us(ts) // 1000000 END || ',"src":"' || source_ip ||
       '","who":"' || username || '","n":"' || (event_id % 90) || '.7","ok":"' ||
       CASE event_id % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' ELSE '1' END || '","secret":"x","k":' ||
       json_extract_string(props, '$.k') || '}' AS json

@@ -216,16 +216,15 @@ SELECT scan_id, hosts_scanned, hosts_infected, CAST(vuln_critical AS BIGINT) AS
     CASE WHEN vuln_high > 0 THEN 'Plan remediation for ' || vuln_high || ' high-severity vulnerabilities' END
   ], lambda x: x IS NOT NULL), '; ') AS action_items FROM o""")
 def scan_summary(spark, sf):
-    """Scan payloads are built from the orders (scans) and their lines (hosts)."""
-    host = F.to_json(F.struct(
+    """One scan report per line of an order (the scan); each names one host."""
+    host = F.struct(
         F.concat(F.lit("h"), F.col("l_linenumber")).alias("host"), (F.col("l_returnflag") == "R").alias("malware_detected"),
         F.concat(F.array_repeat(F.struct(F.lit("critical").alias("severity")), F.col("l_linenumber") % 3),
                  F.when(F.col("l_linestatus") == "O", F.array(F.struct(F.lit("high").alias("severity"))))
-                 .otherwise(F.array(F.struct(F.lit("low").alias("severity"))))).alias("vulnerabilities")))
+                 .otherwise(F.array(F.struct(F.lit("low").alias("severity"))))).alias("vulnerabilities"))
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders").selectExpr("o_orderkey AS l_orderkey"), "l_orderkey")
-    payloads = lines.groupBy(F.col("l_orderkey").alias("scan_id")).agg(
-        F.concat(F.lit('{"hosts_scanned":'), F.count(F.lit(1)).cast("string"), F.lit(',"hosts":['),
-                 F.array_join(F.collect_list(host), ","), F.lit("]}")).alias("payload"))
+    payloads = lines.select(F.col("l_orderkey").alias("scan_id"), F.to_json(F.struct(
+        F.lit(1).alias("hosts_scanned"), F.array(host).alias("hosts"))).alias("payload"))
     out = t.scan_summary(payloads, "payload", "scan_id")
     return out.withColumn("action_items", F.array_join("action_items", "; "))
 

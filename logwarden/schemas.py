@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import types as T
 
 # Names and types of the normalized event.
 SILVER_FIELDS = {
@@ -36,13 +36,6 @@ SILVER_FIELDS = {
 MINI_FIELDS = ["timestamp", "source_ip", "dest_ip", "username", "action", "status", "resource", "severity"]
 
 
-def silver(fields: dict[str, Column], extra: Column | None = None) -> Column:
-    """Struct of all silver fields; missing ones are typed nulls, other keys go to ``extra``."""
-    cells = [fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in SILVER_FIELDS.items()]
-    empty = F.lit(None).cast("map<string,string>")
-    return F.struct(*cells, (empty if extra is None else extra).alias("extra"))
-
-
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("ts", T.TimestampNTZType()),
