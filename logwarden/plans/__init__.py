@@ -2,7 +2,7 @@
 
 from importlib import import_module, util
 
-GROUPS = ["behaviour", "features", "detector", "evaluation", "search", "analytics", "joins", "triage", "parsing", "collection", "sources"]
+GROUPS = ["behaviour", "features", "detector", "evaluation", "search", "analytics", "joins", "triage", "parsing", "collection", "sources", "ensemble", "models"]
 
 
 def load() -> None:
