@@ -27,36 +27,42 @@ def average_path(n):
     return np.where(n > 2, c, np.where(n == 2, 1.0, 0.0))
 
 
+SCORE_ROWS = 2048
+
+
 @dataclass
 class Forest:
-    """A fitted forest: one row of arrays per tree (at most 2 x sample nodes each), small enough to ship."""
+    """A fitted forest: flat node arrays of at most trees x 2 x sample entries, small enough to ship.
+
+    Children are neighbours, so a step goes to ``below`` or the node after it. A leaf points at itself and
+    its cut is infinite, so every row can take the same number of steps.
+    """
 
     columns: list[str]
     sample: int
+    roots: np.ndarray
     split: np.ndarray
     cut: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    below: np.ndarray
     path: np.ndarray
+    steps: int
     offset: float = AUTO_OFFSET
     nodes: pd.DataFrame = field(default=None, repr=False)
 
-    @property
-    def trees(self) -> int:
-        return self.split.shape[0]
-
     def depth_scores(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-E[h] / c) for each row of x."""
-        at = np.zeros((x.shape[0], self.trees), dtype=np.int32)
-        tree, row = np.arange(self.trees)[None, :], np.arange(x.shape[0])[:, None]
-        while True:
-            feature = self.split[tree, at]
-            inner = feature >= 0
-            if not inner.any():
-                break
-            low = x[row, np.maximum(feature, 0)] < self.cut[tree, at]
-            at = np.where(inner, np.where(low, self.left[tree, at], self.right[tree, at]), at)
-        return np.power(2.0, -self.path[tree, at].mean(axis=1) / max(float(average_path(self.sample)), 1e-12))
+        scale = max(float(average_path(self.sample)), 1e-12)
+        out = np.empty(len(x))
+        for start in range(0, len(x), SCORE_ROWS):
+            part = np.ascontiguousarray(x[start:start + SCORE_ROWS])
+            base = (np.arange(len(part)) * part.shape[1])[:, None]
+            flat = part.ravel()
+            at = np.repeat(self.roots[None, :], len(part), axis=0)
+            for _ in range(self.steps):
+                high = flat.take(base + self.split.take(at)) >= self.cut.take(at)
+                at = self.below.take(at) + high
+            out[start:start + len(part)] = self.path.take(at).mean(axis=1)
+        return np.power(2.0, -out / scale)
 
 
 NODE_SCHEMA = ("config int, tree int, node int, split int, cut double, left_node int, right_node int, size int, depth int")
@@ -69,15 +75,15 @@ def grow(x: np.ndarray, rng: np.random.Generator, limit: int, features: np.ndarr
     while todo:
         node, rows, depth = todo.pop()
         part = x[rows]
-        usable = [f for f in features if depth < limit and len(rows) > 1 and part[:, f].min() < part[:, f].max()]
-        if not usable:
+        low, high = part.min(axis=0), part.max(axis=0)
+        usable = features[low[features] < high[features]] if depth < limit and len(rows) > 1 else []
+        if not len(usable):
             nodes.append((node, -1, 0.0, -1, -1, len(rows), depth))
             continue
         f = int(rng.choice(usable))
-        low, high = part[:, f].min(), part[:, f].max()
-        cut = float(rng.uniform(low, high))
-        if cut <= low:
-            cut = float(np.nextafter(low, high))
+        cut = float(rng.uniform(low[f], high[f]))
+        if cut <= low[f]:
+            cut = float(np.nextafter(low[f], high[f]))
         below = part[:, f] < cut
         nodes.append((node, f, cut, used, used + 1, len(rows), depth))
         todo += [(used, rows[below], depth + 1), (used + 1, rows[~below], depth + 1)]
@@ -89,20 +95,21 @@ def tree_samples(df: DataFrame, columns: list[str], key: list[str], trees: int,
                  ) -> DataFrame:
     """(tree, place, columns): the ``sample`` rows with the smallest hash per tree.
 
-    With many rows a single hash decides whether a row is a candidate and of which tree, so about
-    2 x sample x trees rows leave the scan. With few rows every tree hashes every row. Either way
+    With many rows a single hash decides whether a row is a candidate and of which tree. With few rows every
+    tree hashes every row. Either way about 4 x sample rows per tree pass the filter, and
     ``row_number() <= sample`` is applied inside each task before the shuffle.
     """
     h = F.xxhash64(F.lit(seed), *key).bitwiseAND(HASH_RANGE - 1) / float(HASH_RANGE)
     base = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], *key)
-    share = 2.0 * sample / rows
+    share = 4.0 * sample / rows
     if share * trees < 0.5:
         drawn = base.withColumn("_h", h).filter(F.col("_h") < share * trees)
         drawn = drawn.withColumn("tree", F.floor(F.col("_h") / share).cast("int"))
         drawn = drawn.withColumn("_h", F.col("_h") - F.col("tree") * share)
     else:
         drawn = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        drawn = drawn.withColumn("_h", F.xxhash64(F.lit(seed), "tree", *key))
+        own = F.xxhash64(F.lit(seed), F.col("tree"), *key).bitwiseAND(HASH_RANGE - 1) / float(HASH_RANGE)
+        drawn = drawn.withColumn("_h", own).filter(F.col("_h") < min(share, 1.0))
     w = Window.partitionBy("tree").orderBy("_h", *key)
     placed = drawn.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= sample)
     return placed.select("tree", "place", *[f"x{i}" for i in range(len(columns))])
@@ -134,16 +141,18 @@ def _build(samples: DataFrame, configs: list[dict], width: int, seed: int) -> pd
 
 
 def _assemble(nodes: pd.DataFrame, columns: list[str], sample: int) -> Forest:
-    trees = sorted(nodes["tree"].unique())
+    trees = np.sort(nodes["tree"].unique())
     width = int(nodes["node"].max()) + 1
-    shape = (len(trees), width)
-    split, left, right = np.full(shape, -1, np.int32), np.zeros(shape, np.int32), np.zeros(shape, np.int32)
-    cut, path = np.zeros(shape), np.zeros(shape)
-    at = (np.searchsorted(trees, nodes["tree"]), nodes["node"].to_numpy())
-    split[at], cut[at] = nodes["split"], nodes["cut"]
-    left[at], right[at] = np.maximum(nodes["left_node"], 0), np.maximum(nodes["right_node"], 0)
-    path[at] = nodes["depth"] + average_path(nodes["size"])
-    return Forest(columns, sample, split, cut, left, right, path, nodes=nodes)
+    place = np.searchsorted(trees, nodes["tree"]) * width + nodes["node"].to_numpy()
+    leaf = nodes["split"].to_numpy() < 0
+    n = len(trees) * width
+    split, below, cut, path = np.zeros(n, np.int32), np.arange(n, dtype=np.int32), np.full(n, np.inf), np.zeros(n)
+    split[place] = np.where(leaf, 0, nodes["split"])
+    below[place] = np.where(leaf, place, place - nodes["node"].to_numpy() + nodes["left_node"].to_numpy())
+    cut[place] = np.where(leaf, np.inf, nodes["cut"])
+    path[place] = nodes["depth"] + average_path(nodes["size"])
+    roots = (np.arange(len(trees)) * width).astype(np.int32)
+    return Forest(columns, sample, roots, split, cut, below, path, int(nodes["depth"].max()), nodes=nodes)
 
 
 def fit_iforest(df: DataFrame, columns: list[str], key: list[str], *, trees: int = 100, sample: int | str = "auto",

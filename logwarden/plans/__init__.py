@@ -2,7 +2,8 @@
 
 from importlib import import_module, util
 
-GROUPS = ["behaviour", "features", "detector", "evaluation", "search", "analytics", "joins", "triage", "parsing", "collection", "sources", "ensemble", "models"]
+GROUPS = ["behaviour", "features", "detector", "evaluation", "search", "analytics", "joins", "triage", "parsing", "collection",
+          "sources", "ensemble", "models", "streams"]
 
 
 def load() -> None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logwarden.schemas import EVENT_SCHEMA
+
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -20,8 +22,19 @@ EV = """ev AS (
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """The event frame: who (username, source_ip), what (action, status), when (ts, timestamp)."""
+    return event_frame(table(spark, sf, "events"))
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The event frame as a stream over the same file."""
+    raw = (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet")
+           .option("maxFilesPerTrigger", 100).parquet(sf))
+    return event_frame(raw)
+
+
+def event_frame(raw: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
-    return table(spark, sf, "events").select(
+    return raw.select(
         "event_id",
         ts.alias("ts"),
         (F.unix_micros(ts) / F.lit(1e6)).alias("timestamp"),
@@ -175,7 +188,11 @@ LINES = EV + """, lines AS (
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Raw log lines in six formats, one column each."""
-    return events(spark, sf).select(
+    return line_frame(events(spark, sf))
+
+
+def line_frame(df: DataFrame) -> DataFrame:
+    return df.select(
         "event_id", "user_id", "username", "source_ip", "action", "ts", "timestamp",
         F.expr("""concat(date_format(ts, 'MMM dd HH:mm:ss'), ' host', user_id % 20, ' sshd[', event_id, ']: ',
           CASE action WHEN 'error' THEN concat('Failed password for ', username, ' from ', source_ip, ' port 22 ssh2')

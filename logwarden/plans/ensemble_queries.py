@@ -90,11 +90,11 @@ def explain_iforest(spark, sf):
         "importance", F.round("importance", 6))
 
 
-@query("M17_model_contributions", f"""WITH {SCORED} SELECT {KEY_SQL}, round((2 * stat + forest + recon) / 4, 6) AS combined,
+@query("M17_model_contributions", f"""WITH {SCORED} SELECT {KEY_SQL}, round((2 * stat + forest + recon) / 4, 10) AS combined,
   round(stat, 6) AS stat, round(forest, 6) AS forest, round(recon, 6) AS recon FROM scored""")
 def model_contributions(spark, sf):
     df = e.contributions(scored(spark, sf), MODELS, {"stat": 2})
-    return df.select(*KEY, R("combined"), R("stat"), R("forest"), R("recon"))
+    return df.select(*KEY, F.round("combined", 10).alias("combined"), R("stat"), R("forest"), R("recon"))
 
 
 @query("M18_disagreement", f"""WITH {SCORED}, c AS (SELECT corr(stat, forest) AS a, corr(stat, recon) AS b, corr(forest, recon) AS c,
@@ -195,7 +195,7 @@ def top_comparison(spark, sf):
     return e.top_comparison(scored(spark, sf), MODELS, KEY).select(*KEY, R("combined"), "model", R("score"))
 
 
-@query("U03_grouped_function", f"""WITH {EV} SELECT username, count(*) AS n, round(avg(duration), 6) AS mean, round(stddev_pop(duration), 6) AS std FROM ev GROUP BY 1""")
+@query("U03_grouped_function", f"""WITH {EV} SELECT username, count(*) AS n, round(avg(duration), 8) AS mean, round(stddev_pop(duration), 6) AS std FROM ev GROUP BY 1""")
 def grouped_function(spark, sf):
     """A pandas function per bounded chunk of a group; the partial moments merge in Spark."""
     import pandas as pd
@@ -210,5 +210,5 @@ def grouped_function(spark, sf):
                          "username string, n bigint, s double, q double")
     out = parts.groupBy("username").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.col("s") / F.col("n")
-    return out.select("username", "n", F.round(mean, 6).alias("mean"),
+    return out.select("username", "n", F.round(mean, 8).alias("mean"),
                       F.round(F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))), 6).alias("std"))
