@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logwarden.operators.ordered import arrange, largest_group
+from logwarden.operators.ordered import arrange, largest_group, modes
 from logwarden.session import written
 
 FAILURE_WORDS = ["failure", "failed", "error", "denied"]  # fixed values
@@ -17,9 +17,9 @@ ORDER = ["timestamp", "event_id"]
 SEGMENT_ROWS = 1_000_000
 
 
-def attach(df: DataFrame, key: list[str], *aggs: Column) -> DataFrame:
-    """Join per-key aggregates back to every row; rows with a null key get nulls."""
-    return df.join(df.groupBy(*key).agg(*aggs), key, "left")
+def attach(df: DataFrame, key: list[str], *aggs: Column, base: DataFrame | None = None) -> DataFrame:
+    """Join per-key aggregates (of ``base``, or of the rows themselves) to every row; rows with a null key get nulls."""
+    return df.join((df if base is None else base).groupBy(*key).agg(*aggs), key, "left")
 
 
 def entity_count(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
@@ -95,11 +95,16 @@ def velocity(df: DataFrame, sizes: list[int], key: str | None = None, **how) ->
     """N / seconds spanned by the last n+1 events (at least 1 s), 0 while fewer exist."""
     o = arrange(df, [key] if key else [], ORDER, **how).lag(**{f"_t{n}": ("timestamp", n) for n in sizes})
     for n in sizes:
-        span = F.greatest(F.col("timestamp") - F.col(f"_t{n}"), F.lit(1.0))
-        o.derive(**{f"velocity_{n}": F.coalesce(F.lit(float(n)) / span, F.lit(0.0))})
+        o.derive(**{f"velocity_{n}": speed(n, f"_t{n}")})
     return o.done().drop(*[f"_t{n}" for n in sizes])
 
 
+def speed(n: int, earlier: str) -> Column:
+    """n / seconds since the n-th event before, at least one second; 0 without such an event."""
+    gap = F.col("timestamp") - F.col(earlier)
+    return F.when(gap.isNull(), F.lit(0.0)).otherwise(F.lit(float(n)) / F.greatest(gap, F.lit(1.0)))
+
+
 def sessionize(df: DataFrame, key: str, gap: float = 60.0, **how) -> DataFrame:
     """Session number, position and elapsed seconds; a pause of ``gap`` seconds opens a session."""
     o = arrange(df, [key], ORDER, **how).lag(_prev=("timestamp", 1))
@@ -204,27 +209,31 @@ def _chain_starts(rows: DataFrame, key: str, window: float, **how) -> DataFrame:
 
 def behaviour_features(df: DataFrame, ip: str = "source_ip", user: str = "username", action: str = "action", **how
                        ) -> DataFrame:
-    """All behavioural columns of the feature frame (W01-W10); velocities and deltas follow the stream."""
-    fail = is_failure()
-    df = attach(
-        df.withColumn("is_failure", fail), [ip],
-        F.count(F.lit(1)).alias(f"{ip}_count"),
-        (F.count(F.lit(1)) / (F.greatest(F.max("timestamp") - F.min("timestamp"), F.lit(3600.0)) / 3600))
-        .alias(f"{ip}_event_rate"))
-    df = attach(df, [user], F.count(F.lit(1)).alias(f"{user}_count"), F.avg(fail).alias("user_failure_ratio"))
-    o = arrange(df, [ip], ORDER, **how).lag(_pt=("timestamp", 1), _pu=(user, 1))
+    """All behavioural columns of the feature frame (W01-W10); velocities and deltas follow the stream.
+
+    The stream order goes first, because it writes its slices, then entity order, then the joined totals.
+    """
+    sides = {k: {"mode": m, **how} for k, m in modes(df, [ip, user, action]).items()}
+    since = lambda c: F.coalesce(F.col("timestamp") - F.col(c), F.lit(0.0))
+    base = df = df.withColumn("is_failure", is_failure())
+    o = arrange(df, [], ORDER, **how).lag(_p1=("timestamp", 1), _p5=("timestamp", 5), _p20=("timestamp", 20))
+    o.derive(event_timestamp_delta=since("_p1"), velocity_5=speed(5, "_p5"), velocity_20=speed(20, "_p20"))
+    df = o.done().drop("_p1", "_p5", "_p20")
+    o = arrange(df, [ip], ORDER, **sides[ip]).lag(_pt=("timestamp", 1), _pu=(user, 1), _pf=("is_failure", 1))
     o.derive(
-        time_since_last_ip_activity=F.coalesce(F.col("timestamp") - F.col("_pt"), F.lit(0.0)),
+        time_since_last_ip_activity=since("_pt"),
         username_switched=(F.col("_pu").isNotNull() & ~F.col(user).eqNullSafe(F.col("_pu"))).cast("bigint"))
-    df = o.done().drop("_pt", "_pu")
-    df = time_since_last(df, user, "time_since_last_user_activity", **how)
-    o = arrange(df, [action], ORDER, **how).lag(_pt=("timestamp", 1)).running(action_count=("count", F.lit(1)))
-    o.derive(action_count=F.col("action_count") - 1,
-             time_since_last_action=F.coalesce(F.col("timestamp") - F.col("_pt"), F.lit(0.0)))
-    df = failure_streak(o.done().drop("_pt"), ip, "entity", **how)
-    o = arrange(df, [], ORDER, **how).lag(_p1=("timestamp", 1), _p5=("timestamp", 5), _p20=("timestamp", 20))
-    o.derive(event_timestamp_delta=F.coalesce(F.col("timestamp") - F.col("_p1"), F.lit(0.0)))
-    for n in (5, 20):
-        span = F.greatest(F.col("timestamp") - F.col(f"_p{n}"), F.lit(1.0))
-        o.derive(**{f"velocity_{n}": F.coalesce(F.lit(float(n)) / span, F.lit(0.0))})
-    return o.done().drop("_p1", "_p5", "_p20")
+    failed = F.col("is_failure") == 1
+    o.running(_rank=("count", F.lit(1)))
+    o.running(_begin=("max", F.when(failed & (F.coalesce(F.col("_pf"), F.lit(0)) == 0), F.col("_rank"))))
+    o.derive(consecutive_failures=F.when(failed, F.col("_rank") - F.col("_begin") + 1).otherwise(F.lit(0)))
+    df = o.done().drop("_pt", "_pu", "_pf", "_rank", "_begin")
+    df = time_since_last(df, user, "time_since_last_user_activity", **sides[user])
+    o = arrange(df, [action], ORDER, **sides[action]).lag(_pt=("timestamp", 1)).running(action_count=("count", F.lit(1)))
+    o.derive(action_count=F.col("action_count") - 1, time_since_last_action=since("_pt"))
+    df = o.done().drop("_pt")
+    hours = F.greatest(F.max("timestamp") - F.min("timestamp"), F.lit(3600.0)) / 3600
+    df = attach(df, [ip], F.count(F.lit(1)).alias(f"{ip}_count"),
+                (F.count(F.lit(1)) / hours).alias(f"{ip}_event_rate"), base=base)
+    return attach(df, [user], F.count(F.lit(1)).alias(f"{user}_count"), F.avg("is_failure").alias("user_failure_ratio"),
+                  base=base)

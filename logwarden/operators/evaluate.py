@@ -86,55 +86,63 @@ def auto_threshold(df: DataFrame, score: str, label: str = "label", default: flo
                        .otherwise(F.lit(default)).alias("threshold"), "f1")
 
 
-def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
-    return df.groupBy(F.col(score).alias("threshold")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-
-
-def roc_auc(df: DataFrame, score: str = "score", label: str = "label", **how) -> DataFrame:
-    """Area under the ROC curve by mid-ranks over distinct scores."""
-    o = arrange(_by_score(df, score, label), [], ["threshold"], **how).running(upto=("sum", F.col("neg")))
-    won = F.sum(F.col("pos") * (F.col("upto") - F.col("neg") + F.col("neg") / 2))
-    return o.done().agg(F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg")).alias("auc_roc"))
-
-
 def pr_curve(df: DataFrame, score: str = "score", label: str = "label", **how) -> DataFrame:
-    """Precision and recall at every distinct score."""
-    cells = _by_score(df, score, label).withColumn("_down", -F.col("threshold"))
-    o = arrange(cells, [], ["_down"], **how).running(tp=("sum", F.col("pos")), fp=("sum", F.col("neg")))
-    curve = o.done()
-    totals = curve.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")).scalar()
+    """Counts, precision and recall at every distinct score.
+
+    Rows are combined per score first; the cumulative counts are an ordered scan, not a one-task window.
+    """
+    cells = df.groupBy(F.col(score).alias("threshold")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    cells = cells.withColumn("_down", -F.col("threshold"))
+    o = arrange(cells, [], ["_down"], **how)
+    totals = o.df.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")).scalar()
+    curve = o.running(tp=("sum", F.col("pos")), fp=("sum", F.col("neg"))).done()
     return curve.select(
-        "threshold", "pos", "tp", "fp", (totals["n"] - F.col("fp")).alias("tn"), (totals["p"] - F.col("tp")).alias("fn"),
+        "threshold", "pos", "neg", "tp", "fp", (totals["n"] - F.col("fp")).alias("tn"), (totals["p"] - F.col("tp")).alias("fn"),
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         ratio(F.col("tp"), totals["p"]).alias("recall"),
     )
 
 
+def auc_of() -> Column:
+    """V05 as an aggregate over the curve: a positive beats the negatives below it and half of those beside it."""
+    won = F.sum(F.col("pos") * (F.col("tn") + F.col("neg") / 2))
+    return F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg"))
+
+
+def ap_of() -> Column:
+    """V07 as an aggregate over the curve."""
+    return ratio(F.sum(F.col("pos") * F.col("precision")), F.sum("pos"))
+
+
+def best_of() -> Column:
+    """V08 as an aggregate over the curve: the point with the highest F1, the lowest threshold on ties."""
+    p, r = F.col("precision"), F.col("recall")
+    point = F.struct("threshold", "tp", "fp", "tn", "fn", "precision", "recall", ratio(2 * p * r, p + r).alias("f1"))
+    return F.max_by(point, F.struct(ratio(2 * p * r, p + r + 1e-10), -F.col("threshold")))
+
+
+def roc_auc(df: DataFrame, score: str = "score", label: str = "label", **how) -> DataFrame:
+    """Area under the ROC curve."""
+    return pr_curve(df, score, label, **how).agg(auc_of().alias("auc_roc"))
+
+
 def average_precision(df: DataFrame, score: str = "score", label: str = "label", **how) -> DataFrame:
     """Sum of precision times the recall step."""
-    curve = pr_curve(df, score, label, **how)
-    return curve.agg(ratio(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")).alias("average_precision"))
+    return pr_curve(df, score, label, **how).agg(ap_of().alias("average_precision"))
 
 
 def optimal_point(df: DataFrame, score: str = "score", label: str = "label", **how) -> DataFrame:
     """Lowest threshold with the highest F1 of the curve, and the counts there."""
-    curve = pr_curve(df, score, label, **how)
-    p, r = F.col("precision"), F.col("recall")
-    return (curve.withColumn("f1", ratio(2 * p * r, p + r + 1e-10)).orderBy(F.desc("f1"), "threshold").limit(1)
-            .select("threshold", "tp", "fp", "tn", "fn", "precision", "recall",
-                    ratio(2 * p * r, p + r).alias("f1")))
+    return pr_curve(df, score, label, **how).agg(best_of().alias("b")).select("b.*")
 
 
 def evaluate(df: DataFrame, weights: dict[str, float], label: str = "label", **how) -> DataFrame:
-    """All score-level metrics of a weighted combination of model scores, as one row."""
+    """All score-level metrics of a weighted combination of model scores, from one curve, as one row."""
     combined = sum((F.col(m) * F.lit(float(w)) for m, w in weights.items()), F.lit(0.0)) / sum(weights.values())
-    scored = df.select(combined.alias("score"), F.col(label).alias("label"))
-    best = optimal_point(scored, **how)
-    return best.withColumns({
-        "auc_roc": roc_auc(scored, **how).scalar(),
-        "average_precision": average_precision(scored, **how).scalar(),
-    })
+    curve = pr_curve(df.select(combined.alias("score"), F.col(label).alias("label")), **how)
+    row = curve.agg(best_of().alias("b"), auc_of().alias("auc_roc"), ap_of().alias("average_precision"))
+    return row.select("b.*", "auc_roc", "average_precision")
 
 
 def hash_bucket(key: list[str], n: int, seed: int = 42) -> Column:

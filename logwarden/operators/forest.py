@@ -166,11 +166,22 @@ def fit_iforest(df: DataFrame, columns: list[str], key: list[str], *, trees: int
     nodes = _build(samples, [{"trees": trees, "sample": size, "max_features": max_features}], len(columns), seed)
     forest = _assemble(nodes, columns, size)
     if contamination != "auto":
-        raw = written(df.select((-raw_score(forest)).alias("s")))
+        raw = written(spread_small(df.select(*columns), rows).select((-raw_score(forest)).alias("s")))
         forest.offset = quantiles(raw, ["s"], [float(contamination)])["s"][0]
     return forest
 
 
+SMALL_ROWS = 10_000_000
+
+
+def spread_small(df: DataFrame, rows: int) -> DataFrame:
+    """A small table may sit in one file, hence one task; share it between the cores before Python work.
+
+    A large table already has a task per file split and is left alone.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if rows <= SMALL_ROWS else df
+
+
 def raw_score(forest: Forest) -> Column:
     """Depth score s in (0, 1] as an Arrow function over the feature columns."""
     shipped = replace(forest, nodes=None)
@@ -231,7 +242,7 @@ def tune_iforest(df: DataFrame, columns: list[str], key: list[str], grid: list[d
         x = np.nan_to_num(frame.to_numpy(dtype=float))
         return pd.Series(list(np.stack([f.depth_scores(x) for f in forests], axis=1)))
 
-    scored = written(df.select(all_scores(F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]))
+    scored = written(spread_small(df.select(*columns, *([label] if label else [])), rows).select(all_scores(F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]))
                                .alias("s"), *([F.col(label).alias("y")] if label else [])))
     shares = [g.get("contamination", "auto") for g in grid]
     wide = scored.select(*[F.col("s")[i].alias(f"s{i}") for i in range(len(grid))])

@@ -9,8 +9,6 @@ few rows per slice - are carried over by a broadcast of slice-count size.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from logwarden.session import written
@@ -155,6 +153,11 @@ def largest_group(df: DataFrame, key: list[str]) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
+def modes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> dict[str, str]:
+    """Mode per single-column key, checked once on the input so that later steps need no check of their own."""
+    return {k: "sliced" if largest_group(df, [k])[0] > hot_rows else "plain" for k in keys}
+
+
 def arrange(df: DataFrame, key: list[str], order: list[str], *, mode: str = "auto",
             hot_rows: int = HOT_ROWS, slices: int | None = None) -> Ordered:
     """Put rows in (key, order) order; ``order`` must end in a unique id."""
@@ -189,7 +192,3 @@ def arrange(df: DataFrame, key: list[str], order: list[str], *, mode: str = "aut
         if r["_pos"] == r["_end"]:
             edge["last"] = r["_key"]
     return Ordered(cut, key, order, [found[s] for s in sorted(found)])
-
-
-def either(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)

@@ -2,8 +2,9 @@
 
 Small inputs use Spark's ``percentile``, which keeps every distinct value in one buffer. Beyond
 ``BUILTIN_ROWS`` the order statistics are found by distributed selection: each pass counts values in
-equal-width bins of the bracket that holds the wanted rank, and the bracket shrinks to that bin. A
-pass shuffles at most bins x targets rows, whatever the data size or skew.
+equal-width bins of the bracket that holds the wanted rank, and the bracket shrinks to that bin; once the open
+brackets hold few rows, their distinct values are counted directly. A pass shuffles at most bins x targets
+rows per task, whatever the data size or skew.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-BUILTIN_ROWS = 1_000_000
-BINS = 1024
+BUILTIN_ROWS = 100_000
+BINS = 4096
+DIRECT_ROWS = 50_000
 
 
 def quantiles(df: DataFrame, columns: list[str], qs: list[float], *, builtin_rows: int = BUILTIN_ROWS
@@ -53,7 +55,7 @@ def quantiles(df: DataFrame, columns: list[str], qs: list[float], *, builtin_row
 
 
 def _select(df: DataFrame, columns: list[str], open_ranks: dict) -> dict:
-    """Value at each (column index, 0-based rank)."""
+    """Value at each (column index, 0-based rank); ``open_ranks`` maps it to its bracket."""
     found: dict = {}
     while True:
         for key, b in list(open_ranks.items()):
@@ -63,28 +65,31 @@ def _select(df: DataFrame, columns: list[str], open_ranks: dict) -> dict:
         if not open_ranks:
             return found
         brackets = sorted({(i, b["lo"], b["hi"]) for (i, _), b in open_ranks.items()})
-        cells = []
+        inside = {(i, b["lo"], b["hi"]): b.get("n", math.inf) for (i, _), b in open_ranks.items()}
+        direct = sum(inside.values()) <= DIRECT_ROWS
+        # Brackets of one column are equal or disjoint, so a row falls in at most one per column.
+        cells = {}
         for t, (i, lo, hi) in enumerate(brackets):
             x = F.col(columns[i]).cast("double")
             at = F.floor((x - F.lit(lo)) / F.lit((hi - lo) / BINS)).cast("int")
-            bin_ = (F.when(x == F.lit(lo), F.lit(0)).when(x == F.lit(hi), F.lit(BINS - 1))
-                    .otherwise(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), at))))
-            cells.append(F.when(x.between(F.lit(lo), F.lit(hi)),
-                                F.struct(F.lit(t).alias("t"), bin_.alias("b"), x.alias("x"))))
-        counted = (
-            df.select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
-            .groupBy("c.t", "c.b")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("c.x").alias("lo"), F.max("c.x").alias("hi"))
-            .collect()
-        )
+            bin_ = F.lit(0) if direct else (
+                F.when(x == F.lit(lo), F.lit(0)).when(x == F.lit(hi), F.lit(BINS - 1))
+                .otherwise(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), at))))
+            cells[i] = cells.get(i, F).when(
+                x.between(F.lit(lo), F.lit(hi)), F.struct(F.lit(t).alias("t"), bin_.alias("b"), x.alias("x")))
+        rows = df.select(F.explode(F.array(*cells.values())).alias("c")).filter("c is not null").select("c.*")
+        if direct:
+            counted = rows.groupBy("t", F.col("x").alias("lo")).agg(F.count(F.lit(1)).alias("n")).withColumn("hi", F.col("lo"))
+        else:
+            counted = rows.groupBy("t", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         by_bracket: dict[int, list] = {}
-        for r in sorted(counted, key=lambda r: (r["t"], r["b"])):
+        for r in sorted(counted.collect(), key=lambda r: (r["t"], r["lo"])):
             by_bracket.setdefault(r["t"], []).append(r)
         place = {b: t for t, b in enumerate(brackets)}
         for (i, rank), b in open_ranks.items():
             below = b["below"]
             for cell in by_bracket[place[i, b["lo"], b["hi"]]]:
                 if rank < below + cell["n"]:
-                    b.update(lo=cell["lo"], hi=cell["hi"], below=below)
+                    b.update(lo=cell["lo"], hi=cell["hi"], below=below, n=cell["n"])
                     break
                 below += cell["n"]

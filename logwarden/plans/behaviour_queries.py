@@ -93,8 +93,8 @@ def global_delta(spark, sf):
     return b.global_delta(df).select("event_id", R("event_delta"))
 
 
-VEL = """round(coalesce({n} / greatest("timestamp" - lag("timestamp", {n}) OVER ({p} ORDER BY "timestamp", event_id), 1), 0), 6)
-  AS velocity_{n}"""
+VEL = """round(CASE WHEN lag("timestamp", {n}) OVER ({p} ORDER BY "timestamp", event_id) IS NULL THEN 0
+  ELSE {n} / greatest("timestamp" - lag("timestamp", {n}) OVER ({p} ORDER BY "timestamp", event_id), 1) END, 6) AS velocity_{n}"""
 
 
 @query("W10_velocity_n", f"WITH {EV} SELECT event_id, " + ", ".join(

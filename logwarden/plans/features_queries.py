@@ -6,6 +6,7 @@ from logwarden.functions.values import severity
 from logwarden.operators import behaviour as b, features as f, stat
 from logwarden.plans.bindings import EV, events, table
 from logwarden.plans.registry import query
+from logwarden.session import written
 
 R = lambda c: F.round(F.col(c), 6).alias(c)
 
@@ -116,8 +117,8 @@ SELECT event_id, round(duration, 6) AS duration, {PARTS}, c_ip AS source_ip_coun
   round(coalesce("timestamp" - p_user, 0), 6) AS time_since_last_user_activity, action_count,
   round(coalesce("timestamp" - p_act, 0), 6) AS time_since_last_action,
   round(coalesce("timestamp" - p1, 0), 6) AS event_timestamp_delta,
-  round(coalesce(5 / greatest("timestamp" - p5, 1), 0), 6) AS velocity_5,
-  round(coalesce(20 / greatest("timestamp" - p20, 1), 0), 6) AS velocity_20,
+  round(CASE WHEN p5 IS NULL THEN 0 ELSE 5 / greatest("timestamp" - p5, 1) END, 6) AS velocity_5,
+  round(CASE WHEN p20 IS NULL THEN 0 ELSE 20 / greatest("timestamp" - p20, 1) END, 6) AS velocity_20,
   CAST(action = 'error' AS BIGINT) AS action_error, CAST(status = 'failure' AS BIGINT) AS is_failure, username_encoded
 FROM w""")
 def feature_frame(spark, sf):
@@ -158,8 +159,10 @@ SELECT event_id, username, source_ip, action, round(score, 6) AS anomaly_score,
 FROM n ORDER BY score DESC, event_id LIMIT 20""")
 def flagship_triage(spark, sf):
     """Events -> entity features -> fitted baseline -> score -> severity -> the 20 highest (a report, hence the limit)."""
-    df = b.event_rate(events(spark, sf), "source_ip", "ip_rate")
-    df = b.failure_ratio(b.time_since_last(df, "username", "gap"), "username", "fail_ratio")
+    df = b.time_since_last(events(spark, sf), "username", "gap")
+    df = b.failure_ratio(b.event_rate(df, "source_ip", "ip_rate"), "username", "fail_ratio")
+    # Fitting reads the features several times: write them once.
+    df = written(df.select("event_id", "username", "source_ip", "action", *TRIAGE))
     params = stat.fit_statistical(df, TRIAGE)
     scored = stat.score_statistical(df, params)
     top = scored.orderBy(F.desc("anomaly_score"), "event_id").limit(20)

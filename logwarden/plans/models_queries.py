@@ -25,7 +25,7 @@ def fit_isolation_forest(spark, sf):
 def score_isolation_forest(spark, sf):
     df = _lines(spark, sf)
     forest = fo.fit_iforest(df, FEATURES, KEY, contamination=0.05)
-    return fo.score_iforest(df, forest).select(*KEY, R("forest_score"))
+    return fo.score_iforest(fo.spread_small(df, df.count()), forest).select(*KEY, R("forest_score"))
 
 
 @query("M03_label_isolation_forest", """SELECT l_orderkey, l_linenumber, l_partkey,

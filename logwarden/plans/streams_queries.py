@@ -32,10 +32,11 @@ c AS (SELECT *, sum(1 - fail) OVER w AS grp, lag("timestamp") OVER o AS p1, lag(
 SELECT event_id, username, round(coalesce("timestamp" - p1, 0), 6) AS time_since_last, seen,
   CAST(sum(fail) OVER (PARTITION BY username, grp ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS username_streak,
   CAST(pa IS NOT NULL AND pa <> source_ip AS BIGINT) AS switched,
-  round(coalesce(5 / greatest("timestamp" - p5, 1), 0), 6) AS velocity_5, round(coalesce(20 / greatest("timestamp" - p20, 1), 0), 6) AS velocity_20
+  round(CASE WHEN p5 IS NULL THEN 0 ELSE 5 / greatest("timestamp" - p5, 1) END, 6) AS velocity_5,
+  round(CASE WHEN p20 IS NULL THEN 0 ELSE 20 / greatest("timestamp" - p20, 1) END, 6) AS velocity_20
 FROM c""")
 def stream_features(spark, sf):
-    sdf = event_stream(spark, sf).select("event_id", "username", "timestamp", "status", "source_ip")
+    sdf = event_stream(spark, sf).select("event_id", "username", "ts", "timestamp", "status", "source_ip")
     path, checkpoint = s.new_place(spark)
     s.run_available(s.stream_features(sdf), path, checkpoint)
     return spark.read.parquet(path).select("event_id", "username", R("time_since_last"), "seen", "username_streak", "switched",

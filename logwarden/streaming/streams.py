@@ -55,11 +55,11 @@ STATE_SCHEMA = "last double, seen bigint, streak bigint, address string, recent
 DEPTH = 20
 
 
-def stream_features(sdf: DataFrame, ttl_ms: int = 30 * 86_400_000) -> DataFrame:
+def stream_features(sdf: DataFrame, ttl_ms: int = 30 * 86_400_000, delay: str = "1 hour") -> DataFrame:
     """Per-user features whose state survives batches: pause, count, failure streak, address change, velocities.
 
-    State per user is five values and the last 20 times. Rows of one user in one batch are ordered by time;
-    ``maxFilesPerTrigger`` bounds the batch.
+    State per user is five values and the last 20 times; it goes when the watermark passes the user's last
+    event by ``ttl_ms``. Rows of one user in one batch are ordered by time; ``maxFilesPerTrigger`` bounds the batch.
     """
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -86,11 +86,11 @@ def stream_features(sdf: DataFrame, ttl_ms: int = 30 * 86_400_000) -> DataFrame:
             "switched": [int(p is not None and p != w) for p, w in zip(previous, where)],
             "velocity_5": rate(5), "velocity_20": rate(20)})
         state.update((float(t[-1]), int(seen + len(t)), int(streak), where[-1], [float(x) for x in times[-DEPTH:]]))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(int(t[-1] * 1000) + ttl_ms)
         yield out
 
-    return sdf.groupBy("username").applyInPandasWithState(
-        update, FEATURE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return sdf.withWatermark("ts", delay).groupBy("username").applyInPandasWithState(
+        update, FEATURE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_detect(sdf: DataFrame, params: Baselines, threshold: float = 0.7, delay: str = "1 hour") -> DataFrame:
