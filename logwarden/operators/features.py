@@ -18,9 +18,10 @@ def top_values(df: DataFrame, column: str, n: int) -> tuple[list, bool]:
     return [r[0] for r in rows[:n]], len(rows) > n
 
 
-def top_n_other(df: DataFrame, column: str, n: int = 10, name: str | None = None) -> DataFrame:
+def top_n_other(df: DataFrame, column: str, n: int = 10, name: str | None = None, top: tuple[list, bool] | None = None
+                ) -> DataFrame:
     """Values outside the ``n`` most frequent become 'other' (nulls too, once there are more)."""
-    values, more = top_values(df, column, n)
+    values, more = top or top_values(df, column, n)
     c = F.col(column)
     kept = F.when(c.isin(values), c).otherwise(F.lit("other")) if more else c
     return df.withColumn(name or column, kept)
@@ -41,10 +42,10 @@ def value_dictionary(df: DataFrame, column: str, name: str = "code", **how) -> D
     return o.derive(**{name: F.col(name) - 1}).done()
 
 
-def label_encode(df: DataFrame, column: str, name: str | None = None, **how) -> DataFrame:
+def label_encode(df: DataFrame, column: str, name: str | None = None, codes: DataFrame | None = None, **how) -> DataFrame:
     """Dense code of the value in value order, -1 for null."""
     name = name or f"{column}_encoded"
-    out = df.join(value_dictionary(df, column, name, **how), column, "left")
+    out = df.join(value_dictionary(df, column, name, **how) if codes is None else codes, column, "left")
     return out.withColumn(name, F.coalesce(F.col(name), F.lit(-1)))
 
 
@@ -58,9 +59,9 @@ def clean_inf(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: finite(c) for c in columns})
 
 
-def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
+def impute_median(df: DataFrame, columns: list[str], medians: dict | None = None) -> DataFrame:
     """Nulls become the column's exact median."""
-    medians = quantiles(df, columns, [0.5])
+    medians = medians or quantiles(df, columns, [0.5])
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c][0])) for c in columns})
 
 
@@ -108,18 +109,23 @@ def calendar_flags(df: DataFrame, ts: str = "ts") -> DataFrame:
 def extract_features(df: DataFrame, *, one_hot_columns: dict[str, int] | None = None,
                      label_columns: list[str] | None = None, numeric: list[str] | None = None,
                      temporal: bool = True, **how) -> DataFrame:
-    """The feature frame. Behaviour comes first because encoding drops the entity columns it needs."""
-    df = behaviour_features(df, **how)
+    """The feature frame. Behaviour comes first because encoding drops the entity columns it needs.
+
+    Medians, frequent values and dictionaries are taken from the input, not from the derived frame.
+    """
     numeric = ["duration"] if numeric is None else numeric
+    medians = quantiles(clean_inf(df, numeric), numeric, [0.5]) if numeric else {}
+    tops = {c: top_values(df, c, n) for c, n in (one_hot_columns or {}).items()}
+    codes = {c: value_dictionary(df, c, f"{c}_encoded", **how) for c in label_columns or []}
+    df = behaviour_features(df, **how)
     if numeric:
-        df = impute_median(clean_inf(df, numeric), numeric)
+        df = impute_median(clean_inf(df, numeric), numeric, medians)
     if temporal:
         df = cyclic_time(time_parts(df))
-    for column, n in (one_hot_columns or {}).items():
-        values, more = top_values(df, column, n)
-        df = one_hot(top_n_other(df, column, n), column, values + (["other"] if more else []))
-    for column in label_columns or []:
-        df = label_encode(df, column, **how).drop(column)
+    for column, top in tops.items():
+        df = one_hot(top_n_other(df, column, top=top), column, top[0] + (["other"] if top[1] else []))
+    for column, dictionary in codes.items():
+        df = label_encode(df, column, codes=dictionary).drop(column)
     return df
 
 

@@ -88,14 +88,14 @@ class Ordered:
             for j, targets in feeds.items()
             for i in targets
         ]
-        fields = [("_s", T.IntegerType()), ("_k", None), ("_end", T.LongType()),
-                  ("_target", T.IntegerType()), ("_gap", T.LongType())]
+        fields = [("_edge_s", T.IntegerType()), ("_edge_k", None), ("_edge_end", T.LongType()),
+                  ("_edge_target", T.IntegerType()), ("_edge_gap", T.LongType())]
         ends = F.broadcast(self._small(rows, fields))
-        tail = self.df.join(ends, (F.col("_slice") == F.col("_s")) & F.col("_key").eqNullSafe(F.col("_k")))
-        tail = tail.filter(F.col("_pos") > F.col("_end") - depth)
+        tail = self.df.join(ends, (F.col("_slice") == F.col("_edge_s")) & F.col("_key").eqNullSafe(F.col("_edge_k")))
+        tail = tail.filter(F.col("_pos") > F.col("_edge_end") - depth)
         return tail.withColumns({
-            "_slice": F.col("_target"),
-            "_pos": F.col("_pos") - F.col("_gap") * F.lit(1 << _POSITION_BITS),
+            "_slice": F.col("_edge_target"),
+            "_pos": F.col("_pos") - F.col("_edge_gap") * F.lit(1 << _POSITION_BITS),
             "_halo": F.lit(True),
         }).select(*self.df.columns, "_halo")
 
@@ -121,27 +121,27 @@ class Ordered:
                 chain = i
             linked = previous is not None and previous["last"] == edge["first"]
             rows.append((edge["slice"], edge["first"], edge["last"], chain, previous["slice"] if linked else None))
-        edges = self._small(rows, [("_slice", T.IntegerType()), ("_first", None), ("_last", None),
-                                   ("_chain", T.IntegerType()), ("_prev", T.IntegerType())])
-        ending = base.join(F.broadcast(edges), "_slice").filter(F.col("_key").eqNullSafe(F.col("_last")))
-        totals = ending.groupBy("_chain", "_slice").agg(
+        edges = self._small(rows, [("_slice", T.IntegerType()), ("_edge_first", None), ("_edge_last", None),
+                                   ("_edge_chain", T.IntegerType()), ("_edge_prev", T.IntegerType())])
+        ending = base.join(F.broadcast(edges), "_slice").filter(F.col("_key").eqNullSafe(F.col("_edge_last")))
+        totals = ending.groupBy("_edge_chain", "_slice").agg(
             *[_total(fn, f"_v_{n}").alias(f"_t_{n}") for n, fn in fns.items()]
         )
-        w = Window.partitionBy("_chain").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy("_edge_chain").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
         pick = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min,
                 "last": lambda c: F.last(c, ignorenulls=True)}
         upto = totals.select(
-            F.col("_slice").alias("_prev"),
+            F.col("_slice").alias("_edge_prev"),
             *[pick[fn](f"_t_{n}").over(w).alias(f"_c_{n}") for n, fn in fns.items()],
         )
-        carried = edges.filter("_prev is not null").select("_slice", "_first", "_prev").join(
-            F.broadcast(upto), "_prev").drop("_prev")
+        carried = edges.filter("_edge_prev is not null").select("_slice", "_edge_first", "_edge_prev").join(
+            F.broadcast(upto), "_edge_prev").drop("_edge_prev")
         out = df.join(F.broadcast(carried), "_slice", "left")
-        same = F.col("_key").eqNullSafe(F.col("_first"))
+        same = F.col("_key").eqNullSafe(F.col("_edge_first"))
         out = out.withColumns({
             n: F.when(same, _merge(fn, F.col(f"_c_{n}"), F.col(n))).otherwise(F.col(n)) for n, fn in fns.items()
         })
-        return out.drop("_first", *[f"_c_{n}" for n in fns])
+        return out.drop("_edge_first", *[f"_c_{n}" for n in fns])
 
     def done(self) -> DataFrame:
         return self.df.drop(*self._added)
