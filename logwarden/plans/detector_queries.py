@@ -24,6 +24,18 @@ s AS (SELECT rid, any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) A
 ID_SQL = "l_orderkey, l_linenumber, l_partkey"
 
 
+def wide(expr: str, source: str = "d") -> str:
+    """SQL: one column per feature from the long form."""
+    ids = ", ".join(f"any_value({c}) AS {c}" for c in IDS)
+    cells = ", ".join(f"any_value({expr}) FILTER (feature = '{c}') AS {c}" for c in FEATURES)
+    return f"SELECT {ids}, {cells} FROM {source} GROUP BY rid"
+
+
+def per_feature(column: str = "explanation"):
+    """The entries of an explanation map as one rounded column per feature."""
+    return [F.round(F.try_element_at(column, F.lit(c)), 6).alias(c) for c in FEATURES]
+
+
 def _lines(spark, sf):
     return table(spark, sf, "lineitem").select(*IDS, *FEATURES)
 
@@ -71,12 +83,10 @@ SHARES = """sh AS (SELECT rid, l_orderkey, l_linenumber, l_partkey, feature,
   AS importance FROM d)"""
 
 
-@query("D07_explain_statistical", f"""WITH {LONG}, {SHARES}
-SELECT {ID_SQL}, feature, round(importance, 6) AS importance FROM sh""")
+@query("D07_explain_statistical", f"WITH {LONG}, {SHARES} {wide('round(importance, 6)', 'sh')}")
 def explain_statistical(spark, sf):
     df, params = _fitted(spark, sf)
-    long = stat.explain_statistical(df, params).select(*IDS, F.explode("explanation").alias("feature", "importance"))
-    return long.withColumn("importance", F.round("importance", 6))
+    return stat.explain_statistical(df, params).select(*IDS, *per_feature())
 
 
 @query("D08_top_anomalous_features", f"""WITH {LONG}, k AS (
@@ -101,11 +111,10 @@ def feature_thresholds(spark, sf):
 
 
 def _flag_query(name, fn, expr, reach):
-    @query(name, f"""WITH {LONG} SELECT {ID_SQL}, feature, {expr} AS outlier FROM d""")
+    @query(name, f"WITH {LONG} {wide(expr)}")
     def run(spark, sf):
         df, params = _fitted(spark, sf)
-        flags = [F.struct(F.lit(b.feature).alias("feature"), fn(b, reach).alias("outlier")) for b in params.values()]
-        return df.select(*IDS, F.inline(F.array(*flags)))
+        return df.select(*IDS, *[fn(b, reach).alias(b.feature) for b in params.values()])
 
 
 # Reaches chosen so that both outcomes occur in this data.
@@ -135,12 +144,10 @@ def normality_check(spark, sf):
     return t.select("feature", F.round("jarque_bera", 4).alias("jarque_bera"), R("p_value"), "is_normal")
 
 
-@query("D15_standardize", f"""WITH {LONG}
-SELECT {ID_SQL}, feature, round((v - mu) / sd, 6) AS v FROM d""")
+@query("D15_standardize", f"WITH {LONG} {wide('round((v - mu) / sd, 6)')}")
 def standardize(spark, sf):
     df, params = _fitted(spark, sf)
-    cells = [F.struct(F.lit(c).alias("feature"), F.round(F.col(c), 6).alias("v")) for c in FEATURES]
-    return stat.standardize(df, params).select(*IDS, F.inline(F.array(*cells)))
+    return stat.standardize(df, params).select(*IDS, *[R(c) for c in FEATURES])
 
 
 @query("D16_destandardize", f"SELECT {ID_SQL}, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from logwarden.operators import ensemble as e, forest, joins, stat
+from logwarden.operators import ensemble as e, forest, stat
 from logwarden.plans.bindings import DET, EV, FEATURES, SCORED, detections, events, scored, table
-from logwarden.plans.detector_queries import ID_SQL, IDS, LONG, SHARES
+from logwarden.plans.detector_queries import LONG, SHARES, per_feature, wide
 from logwarden.plans.registry import query
 from logwarden.session import scratch_path
 from logwarden.sources import sinks
@@ -72,22 +72,20 @@ Z_SHARE = "coalesce(z / nullif(sum(z) OVER (PARTITION BY rid), 0), 0)"
 
 
 @query("M16_explain_ensemble", f"""WITH {LONG}, {SHARES}, b AS (SELECT rid, feature, {Z_SHARE} AS share FROM d),
-m AS (SELECT sh.rid, {', '.join('sh.' + c for c in KEY)}, feature, (2 * importance + 1 * share) / 2 AS w FROM sh JOIN b USING (rid, feature))
-SELECT {KEY_SQL}, feature, round(w / sum(w) OVER (PARTITION BY rid), 6) AS importance FROM m""")
+m AS (SELECT sh.rid, {', '.join('sh.' + c for c in KEY)}, feature, (2 * importance + 1 * share) / 2 AS w FROM sh JOIN b USING (rid, feature)),
+n AS (SELECT *, round(w / sum(w) OVER (PARTITION BY rid), 6) AS importance FROM m) {wide('importance', 'n')}""")
 def explain_ensemble(spark, sf):
     df = table(spark, sf, "lineitem").select(*KEY, *FEATURES)
     params = stat.fit_statistical(df, FEATURES)
     df = forest.explain_iforest(stat.explain_statistical(df, params), params, "forest_why")
     why = e.explain_ensemble({"stat": "explanation", "forest": "forest_why"}, FEATURES, {"stat": 2.0, "forest": 1.0})
-    return df.select(*KEY, F.explode(why).alias("feature", "importance")).withColumn("importance", F.round("importance", 6))
+    return df.withColumn("why", why).select(*KEY, *per_feature("why"))
 
 
-@query("M05_explain_iforest", f"WITH {LONG} SELECT {ID_SQL}, feature, round({Z_SHARE}, 6) AS importance FROM d")
+@query("M05_explain_iforest", f"""WITH {LONG}, b AS (SELECT *, {Z_SHARE} AS share FROM d) {wide('round(share, 6)', 'b')}""")
 def explain_iforest(spark, sf):
     df = table(spark, sf, "lineitem").select(*KEY, *FEATURES)
-    out = forest.explain_iforest(df, stat.fit_statistical(df, FEATURES))
-    return out.select(*KEY, F.explode("explanation").alias("feature", "importance")).withColumn(
-        "importance", F.round("importance", 6))
+    return forest.explain_iforest(df, stat.fit_statistical(df, FEATURES)).select(*KEY, *per_feature())
 
 
 @query("M17_model_contributions", f"""WITH {SCORED} SELECT {KEY_SQL}, round((2 * stat + forest + recon) / 4, 10) AS combined,
