@@ -2,7 +2,7 @@
 
 Baldi and Hornik (1989): a linear autoencoder trained on squared error spans the leading principal
 components, so training is one distributed covariance pass (Spark ML's PCA). Loadings are k x d numbers;
-scoring is column arithmetic with literals.
+scoring is column arithmetic with literals, or one Arrow matrix product when there are many columns.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logwarden.operators.stat import FLOOR, add_up
 
@@ -37,14 +38,34 @@ def _scaled(df: DataFrame, s: Subspace) -> DataFrame:
     return df.withColumns(_named("_z", [(F.col(c) - F.lit(m)) / F.lit(d) for c, m, d in zip(s.columns, s.mean, s.std)]))
 
 
+WIDE = 16
+
+
 def _encoded(df: DataFrame, s: Subspace) -> DataFrame:
-    """Standardized inputs, latent values and reconstructions, each in its own projection so that none is recomputed."""
-    z = [F.col(f"_z{j}") for j in range(len(s.columns))]
+    """Standardized inputs, latent values and reconstructions, each in its own projection so that none is recomputed.
+
+    Wide inputs use one Arrow matrix product instead of d x k column terms.
+    """
+    d, k = len(s.columns), len(s.loadings)
+    if d > WIDE:
+        mean, std, w = np.array(s.mean), np.array(s.std), s.loadings
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def product(frame: pd.DataFrame) -> pd.Series:
+            z = (frame.to_numpy(dtype=float) - mean) / std
+            latent = z @ w.T
+            return pd.Series(list(np.hstack([z, latent, latent @ w])))
+
+        out = df.withColumn("_m", product(F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(s.columns)])))
+        at = lambda j: F.get("_m", F.lit(j))
+        return out.withColumns({**_named("_z", [at(j) for j in range(d)]), **_named("_l", [at(d + i) for i in range(k)]),
+                                **_named("_r", [at(d + k + j) for j in range(d)])}).drop("_m")
+    z = [F.col(f"_z{j}") for j in range(d)]
     out = _scaled(df, s).withColumns(_named("_l", [
         add_up([F.lit(float(w)) * z[j] for j, w in enumerate(row)]) for row in s.loadings]))
-    latent = [F.col(f"_l{i}") for i in range(len(s.loadings))]
+    latent = [F.col(f"_l{i}") for i in range(k)]
     return out.withColumns(_named("_r", [
-        add_up([F.lit(float(s.loadings[i][j])) * latent[i] for i in range(len(latent))]) for j in range(len(s.columns))]))
+        add_up([F.lit(float(s.loadings[i][j])) * latent[i] for i in range(k)]) for j in range(d)]))
 
 
 def _clean(df: DataFrame, s: Subspace) -> DataFrame:

@@ -84,6 +84,14 @@ def test_reconstruction_equals_numpy(lines):
     assert back["recon_l_quantity"] == pytest.approx(back["l_quantity"], abs=1e-6)
 
 
+def test_wide_reconstruction_equals_narrow(lines, monkeypatch):
+    space = recon.fit_reconstruction(lines, FEATURES, 2)
+    narrow = recon.explain_reconstruction(recon.score_reconstruction(lines, space), space).select("recon_score", "explanation").collect()
+    monkeypatch.setattr(recon, "WIDE", 2)
+    wide = recon.explain_reconstruction(recon.score_reconstruction(lines, space), space).select("recon_score", "explanation").collect()
+    assert sorted(r.recon_score for r in wide) == pytest.approx(sorted(r.recon_score for r in narrow))
+
+
 def test_related_events(spark, sf):
     """Against a nested loop; every anomaly has one to five others."""
     ev = sorted((r.timestamp, r.event_id) for r in events(spark, sf).select("timestamp", "event_id").collect())
