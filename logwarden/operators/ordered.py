@@ -154,8 +154,11 @@ def largest_group(df: DataFrame, key: list[str]) -> tuple[int, int]:
 
 
 def modes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> dict[str, str]:
-    """Mode per single-column key, checked once on the input so that later steps need no check of their own."""
-    return {k: "sliced" if largest_group(df, [k])[0] > hot_rows else "plain" for k in keys}
+    """Mode per single-column key, checked in one pass over the input so that later steps need no check of their own."""
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in keys])
+    counts = df.select(F.explode(cells).alias("c")).groupBy("c.k", "c.v").count()
+    biggest = {r["k"]: r["m"] for r in counts.groupBy("k").agg(F.max("count").alias("m")).collect()}
+    return {k: "sliced" if biggest.get(k, 0) > hot_rows else "plain" for k in keys}
 
 
 def arrange(df: DataFrame, key: list[str], order: list[str], *, mode: str = "auto",

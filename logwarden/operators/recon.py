@@ -7,11 +7,12 @@ scoring is column arithmetic with literals, or one Arrow matrix product when the
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logwarden.operators.stat import FLOOR, add_up
@@ -54,23 +55,25 @@ def _encoded(df: DataFrame, s: Subspace) -> DataFrame:
         def product(frame: pd.DataFrame) -> pd.Series:
             z = (frame.to_numpy(dtype=float) - mean) / std
             latent = z @ w.T
-            return pd.Series(list(np.hstack([z, latent, latent @ w])))
+            back = latent @ w
+            return pd.Series(list(np.hstack([z, latent, back, ((z - back) ** 2).mean(axis=1, keepdims=True)])))
 
         out = df.withColumn("_m", product(F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(s.columns)])))
         at = lambda j: F.get("_m", F.lit(j))
         return out.withColumns({**_named("_z", [at(j) for j in range(d)]), **_named("_l", [at(d + i) for i in range(k)]),
-                                **_named("_r", [at(d + k + j) for j in range(d)])}).drop("_m")
+                                **_named("_r", [at(d + k + j) for j in range(d)]), "_mse": at(2 * d + k)}).drop("_m")
     z = [F.col(f"_z{j}") for j in range(d)]
     out = _scaled(df, s).withColumns(_named("_l", [
         add_up([F.lit(float(w)) * z[j] for j, w in enumerate(row)]) for row in s.loadings]))
     latent = [F.col(f"_l{i}") for i in range(k)]
-    return out.withColumns(_named("_r", [
+    out = out.withColumns(_named("_r", [
         add_up([F.lit(float(s.loadings[i][j])) * latent[i] for i in range(k)]) for j in range(d)]))
+    return out.withColumn("_mse", add_up(_errors(s)) / d)
 
 
 def _clean(df: DataFrame, s: Subspace) -> DataFrame:
     n, k = len(s.columns), len(s.loadings)
-    return df.drop(*[f"_z{j}" for j in range(n)], *[f"_l{i}" for i in range(k)], *[f"_r{j}" for j in range(n)])
+    return df.drop(*[f"_z{j}" for j in range(n)], *[f"_l{i}" for i in range(k)], *[f"_r{j}" for j in range(n)], "_mse")
 
 
 def _errors(s: Subspace) -> list[Column]:
@@ -78,30 +81,35 @@ def _errors(s: Subspace) -> list[Column]:
 
 
 def fit_reconstruction(df: DataFrame, columns: list[str], k: int) -> Subspace:
-    """Standardization, the top-k loadings and the training-error statistics."""
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-                 *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
-    mean = [row[f"m{i}"] for i in range(len(columns))]
-    std = [row[f"s{i}"] if row[f"s{i}"] > FLOOR else 1.0 for i in range(len(columns))]
-    s = Subspace(columns, mean, std, np.zeros((0, len(columns))))
-    z = [f"_z{j}" for j in range(len(columns))]
-    vectors = VectorAssembler(inputCols=z, outputCol="_v", handleInvalid="skip").transform(_scaled(df, s).select(
-        *[F.col(f"_z{j}") for j in range(len(columns))])).select("_v")
+    """Standardization, the top-k loadings and the training-error statistics; rows with nulls take no part."""
+    full = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    if len(columns) > WIDE:
+        rows = full.count()
+        raw = VectorAssembler(inputCols=columns, outputCol="_x").transform(full).select("_x")
+        scaler = StandardScaler(inputCol="_x", outputCol="_v", withMean=True, withStd=True).fit(raw)
+        vectors = scaler.transform(raw).select("_v")
+        mean = [float(m) for m in scaler.mean.toArray()]
+        spread = scaler.std.toArray() * math.sqrt(max(rows - 1, 1) / max(rows, 1))
+        std = [float(x) if x > FLOOR else 1.0 for x in spread]
+    else:
+        row = full.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+                       *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+        mean = [row[f"m{i}"] for i in range(len(columns))]
+        std = [row[f"s{i}"] if row[f"s{i}"] > FLOOR else 1.0 for i in range(len(columns))]
+        z = [f"_z{j}" for j in range(len(columns))]
+        scaled = _scaled(full, Subspace(columns, mean, std, np.zeros((0, len(columns))))).select(*z)
+        vectors = VectorAssembler(inputCols=z, outputCol="_v").transform(scaled).select("_v")
     pc = PCA(k=k, inputCol="_v", outputCol="_p").fit(vectors).pc.toArray().T
     # The sign of a component is arbitrary: make its largest loading positive.
     pc = pc * np.sign(pc[np.arange(k), np.abs(pc).argmax(axis=1)])[:, None]
     s = Subspace(columns, mean, std, pc)
-    e = _encoded(df, s).agg(F.avg(mse(s)).alias("a"), F.stddev_pop(mse(s)).alias("d"), F.max(mse(s)).alias("m")).first()
+    e = _encoded(full, s).agg(F.avg("_mse").alias("a"), F.stddev_pop("_mse").alias("d"), F.max("_mse").alias("m")).first()
     return Subspace(columns, mean, std, pc, e["a"], e["d"], e["m"])
 
 
-def mse(s: Subspace) -> Column:
-    return add_up(_errors(s)) / len(s.columns)
-
-
 def score_reconstruction(df: DataFrame, s: Subspace, name: str = "recon_score", mode: str = "sigmoid") -> DataFrame:
     """Sigmoid of the z-scored error, or (``mode='max'``) the error over the training maximum."""
-    e = mse(s)
+    e = F.col("_mse")
     if mode == "max":
         value = e / F.lit(s.error_max) if s.error_max > 0 else e
     elif s.error_std > 0:
