@@ -1,6 +1,6 @@
 """Named queries over the given tables."""
 
-from importlib import import_module, util
+from importlib import import_module
 
 GROUPS = ["behaviour", "features", "detector", "evaluation", "search", "analytics", "joins", "triage", "parsing", "collection",
           "sources", "ensemble", "models", "streams"]

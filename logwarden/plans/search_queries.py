@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from logwarden.operators import search as q
-from logwarden.plans.bindings import DET, EV, INC, detections, events, incidents
+from logwarden.plans.bindings import DET, INC, detections, incidents
 from logwarden.plans.registry import query
 
 DET_COLS = ["event_id", "anomaly_score", "detection_method", "ts", "username", "acknowledged"]
