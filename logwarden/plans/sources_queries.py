@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F, types as T
 
 from logwarden.operators import normalize as n
+from logwarden.operators.collect import preprocess
 from logwarden.plans.bindings import EV, INC, LINES, events, incidents, lines, table
 from logwarden.plans.registry import query
 from logwarden.session import scratch_path
@@ -22,30 +23,35 @@ def _rec(spark, sf):
     return events(spark, sf).select(*COLS)
 
 
-@query("S01_scan_json", f"WITH {EV} SELECT {REC_SQL} FROM ev WHERE event_id % 20 <> 0")
+@query("S01_scan_json", f"""WITH {EV} SELECT event_id, username, source_ip, action, CASE WHEN event_id % 20 <> 1 THEN duration END AS duration
+  FROM ev WHERE event_id % 20 <> 0""")
 def scan_json(spark, sf):
-    """The events as gzipped JSON lines, every twentieth line cut in half; broken lines must drop out."""
+    """The events as gzipped JSON lines, every twentieth line cut in half: broken lines must drop out. Another twentieth has
+    text where a number belongs: the field becomes null and the record stays."""
     path = scratch_path(spark)
     line = F.to_json(F.struct(*COLS))
-    broken = F.when(F.col("event_id") % 20 == 0, F.substring(line, 1, 25)).otherwise(line)
-    _rec(spark, sf).select(broken.alias("value")).write.option("compression", "gzip").text(path)
+    wrong = F.to_json(F.struct(*COLS[:-1], F.lit("unknown").alias("duration")))
+    k = F.col("event_id") % 20
+    text = F.when(k == 0, F.substring(line, 1, 25)).when(k == 1, wrong).otherwise(line)
+    _rec(spark, sf).select(text.alias("value")).write.option("compression", "gzip").text(path)
     return files.read_json(spark, path, REC)
 
 
 @query("S01_scan_json_array", f"WITH {EV} SELECT {REC_SQL} FROM ev")
 def scan_json_array(spark, sf):
-    """Files that each hold JSON arrays; a page of 50 ids per array."""
+    """Lines that each hold a JSON array; a page of 50 ids per array."""
     path = scratch_path(spark)
     pages = _rec(spark, sf).groupBy(F.expr("event_id div 50").alias("page")).agg(
         F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*COLS))), ","), F.lit("]")).alias("value"))
-    pages.write.partitionBy("page").text(path)
-    return files.read_json(spark, path, REC, array=True).drop("page")
+    pages.select("value").write.text(path)
+    return files.read_json(spark, path, REC, array=True)
 
 
 @query("S02_scan_csv", f"WITH {EV} SELECT {REC_SQL} FROM ev")
 def scan_csv(spark, sf):
+    """The header names the columns in another order than the schema."""
     path = scratch_path(spark)
-    _rec(spark, sf).write.option("header", True).csv(path)
+    _rec(spark, sf).select(*reversed(COLS)).write.option("header", True).csv(path)
     return files.read_csv(spark, path, REC)
 
 
@@ -123,6 +129,18 @@ def union_files(spark, sf):
     ])
 
 
+@query("S08_read_many", f"""WITH {EV} SELECT event_id, username, source_ip, action, duration, NULL::VARCHAR AS message_raw FROM ev WHERE event_id % 3 < 2
+  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'line ' || event_id FROM ev WHERE event_id % 3 = 2""")
+def read_many(spark, sf):
+    """JSON lines, a CSV and text lines, and a path that does not exist."""
+    paths = {k: scratch_path(spark) for k in ("json", "csv", "syslog")}
+    df, k = _rec(spark, sf), F.col("event_id") % 3
+    df.filter(k == 0).write.json(paths["json"])
+    df.filter(k == 1).select(*reversed(COLS)).write.option("header", True).csv(paths["csv"])
+    df.filter(k == 2).select(F.concat(F.lit("line "), F.col("event_id").cast("string")).alias("value")).write.text(paths["syslog"])
+    return files.read_many(spark, {"json": [paths["json"], paths["json"] + "-gone"], "csv": [paths["csv"]], "syslog": [paths["syslog"]]}, REC)
+
+
 def _pages(spark, sf):
     """Pages of 50 ids in several payload shapes."""
     item = F.to_json(F.struct("event_id", "username"))
@@ -237,7 +255,4 @@ def preprocessing_hook(spark, sf):
     """Steps are plain DataFrame functions applied in order."""
     steps = [lambda d: d.filter("status = 'failure'"), lambda d: d.withColumn("duration", F.round(F.log1p("duration"), 6)),
              lambda d: d.withColumn("action", F.upper("action"))]
-    df = events(spark, sf)
-    for step in steps:
-        df = df.transform(step)
-    return df.select("event_id", "duration", "action")
+    return preprocess(events(spark, sf), steps).select("event_id", "duration", "action")

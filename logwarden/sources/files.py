@@ -4,21 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from logwarden.session import written
+
 CORRUPT = "_corrupt"
-MAX_FILE_BYTES = 100 * 1024 * 1024  # fixed value: files beyond this are skipped in full mode
 
 
 def read_json(spark: SparkSession, path, schema: T.StructType, *, array: bool = False, keep_bad: bool = False) -> DataFrame:
-    """JSON lines, or one JSON array per file; bad records are dropped, or kept with their text."""
-    wanted = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    df = (spark.read.schema(wanted).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .option("multiLine", array).json(path))
-    return df if keep_bad else df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """JSON lines, or lines that each hold a JSON array; text that is no JSON is dropped, or kept in ``_corrupt``.
+
+    A field of another type than the schema's becomes null and its record stays. With ``array`` a file may also be one
+    array over several lines: files whose lines do not parse by themselves are read whole, the others are split.
+    """
+    lines = spark.read.text(path)
+    if not array:
+        return json_records(lines, schema, keep_bad)
+    whole = F.col("value").rlike(r"^\s*\[\s*$")
+    named = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"))
+    spread = named.filter(whole).select("_path").distinct()
+    single = json_records(named.join(spread, "_path", "left_anti"), schema, keep_bad)
+    texts = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("_path"))
+    return single.unionByName(json_records(texts.join(spread, "_path", "left_semi"), schema, keep_bad))
+
+
+def json_records(lines: DataFrame, schema: T.StructType, keep_bad: bool = False, column: str = "value") -> DataFrame:
+    """The records of JSON texts (objects or arrays of objects), one row each."""
+    text = F.col(column)
+    object_ = F.ltrim(text).startswith("{")
+    parsed = F.try_parse_json(text)
+    # One array type for both shapes: an object is an array of one.
+    listed = F.when(object_, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    rows = F.when(parsed.isNotNull() & F.ltrim(text).rlike(r"^[\[{]"), F.from_json(listed, T.ArrayType(schema)))
+    cut = lines.filter(F.trim(text) != "").select(text.alias(CORRUPT), rows.alias("_rows"))
+    good = cut.filter("_rows is not null").select(F.explode("_rows").alias("_r")).filter("_r is not null").select("_r.*")
+    if not keep_bad:
+        return good
+    bad = cut.filter("_rows is null").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], CORRUPT)
+    return good.withColumn(CORRUPT, F.lit(None).cast("string")).unionByName(bad)
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    """CSV with a header; columns are matched by name order of the schema."""
-    return spark.read.option("header", True).schema(schema).csv(path)
+    """CSV with a header; columns are found by their header names, whatever their order; absent ones are null.
+
+    Files of one call share one header layout; ``read_many`` reads files one by one where layouts differ.
+    """
+    text = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
+    pick = lambda f: (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in text.columns else F.lit(None).cast(f.dataType))
+    return text.select(*[pick(f).alias(f.name) for f in schema.fields])
 
 
 def read_text(spark: SparkSession, path, column: str = "message_raw") -> DataFrame:
@@ -94,10 +125,10 @@ def numbered_heads(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_log_dir(spark: SparkSession, path: str, pattern: str = "*.log", recursive: bool = False,
-                 max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
-    """Non-blank lines of a directory with source_file and compressed; oversized files are left out.
+                 max_bytes: int | None = None) -> DataFrame:
+    """Non-blank lines of a directory with source_file and compressed.
 
-    Plain files are split, so only gz files (one task each) need the size limit.
+    All files are read; ``max_bytes`` leaves larger ones out for a caller who wants that. Plain files are split.
     """
     df = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(path)
           .select(F.col("value").alias("message"), F.col("_metadata.file_path").alias("source_file"),
@@ -111,13 +142,48 @@ def read_log_dir(spark: SparkSession, path: str, pattern: str = "*.log", recursi
 def stream_log_dir(spark: SparkSession, path: str, pattern: str = "*", max_files: int = 1000) -> DataFrame:
     """New files of a directory as a stream; the checkpoint remembers what was read.
 
-    The file source tracks whole files: lines appended to a file already read are not seen.
+    For files that are written once. Files that grow are followed by ``tail_log_dir``.
     """
     df = (spark.readStream.option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).text(path)
           .select(F.col("value").alias("message"), F.col("_metadata.file_path").alias("source_file")))
     return df.filter(F.trim("message") != "")
 
 
+POSITIONS = "source_file string, position bigint"
+
+
+def tail_log_dir(spark: SparkSession, path: str, positions: DataFrame | None, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
+    """Lines added since the stored positions, and the new positions (source_file, position in bytes).
+
+    A file that is now shorter than its position was truncated and is read from its start. Only complete lines count: a
+    last line without its newline waits for the next call. The caller stores the positions once the lines are safe
+    (``written``), so a poll that fails is simply repeated.
+    """
+    if positions is None:
+        positions = spark.createDataFrame([], POSITIONS)
+    reader = spark.read.option("pathGlobFilter", pattern)
+    sizes = reader.format("binaryFile").load(path).select(F.col("path").alias("source_file"), F.col("length").alias("size"))
+    known = sizes.join(positions, "source_file", "left").select(
+        "source_file", "size", F.when(F.col("position") <= F.col("size"), F.col("position")).otherwise(F.lit(0)).alias("position"))
+    known = written(known.select("source_file", "size", F.coalesce("position", F.lit(0)).cast("bigint").alias("position")))
+    # Byte place of a line: the lines of earlier blocks of its file, then those before it in its block (a block is one task).
+    text = reader.option("lineSep", "\n").text(path).select(
+        F.col("value").alias("message"), F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        (F.octet_length("value") + 1).cast("bigint").alias("bytes"))
+    text = text.join(known.filter("size > position"), "source_file")
+    blocks = text.groupBy("source_file", "block").agg(F.sum("bytes").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("source_file").orderBy("block")) - F.col("_sum")
+    inner = F.sum("bytes").over(Window.partitionBy("source_file", "block").orderBy("at"))
+    placed = text.withColumn("_inner", inner).join(blocks.select("source_file", "block", before.alias("_before")), ["source_file", "block"])
+    placed = placed.withColumn("end", F.col("_before") + F.col("_inner"))
+    fresh = written(placed.filter((F.col("end") <= F.col("size")) & (F.col("end") - F.col("bytes") >= F.col("position"))).select(
+        "source_file", "message", "end"))
+    reached = fresh.groupBy("source_file").agg(F.max("end").alias("end"))
+    moved = known.join(reached, "source_file", "left").select("source_file", F.coalesce("end", "position").alias("position"))
+    return fresh.filter(F.trim("message") != "").select("source_file", "message"), moved
+
+
 def union_files(parts: list[DataFrame]) -> DataFrame:
     """Frames of several formats under one schema; missing columns become null."""
     out = parts[0]
@@ -126,12 +192,28 @@ def union_files(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def read_many(spark: SparkSession, by_format: dict[str, list[str]], schema: T.StructType) -> DataFrame:
-    """Paths grouped by format, one scan per format (unreadable files are skipped), then a union."""
-    readers = {
-        "json": lambda p: read_json(spark, p, schema),
-        "csv": lambda p: read_csv(spark, p, schema),
-        "syslog": lambda p: read_text(spark, p),
-        "windows_event": lambda p: read_windows_xml(spark, p),
-    }
-    return union_files([readers[f](p) for f, p in by_format.items() if p])
+def read_many(spark: SparkSession, by_format: dict[str, list[str]], schema: T.StructType, skipped: list | None = None) -> DataFrame:
+    """Files of several formats under one schema, one scan per format or CSV header; missing columns become null.
+
+    A path that cannot be opened is left out and, with its reason, added to ``skipped``; broken records inside a file are
+    dropped by its reader. CSV headers are read per path, as their column order may differ.
+    """
+    readers = {"json": lambda p: read_json(spark, p, schema), "csv": lambda p: read_csv(spark, p, schema),
+               "syslog": lambda p: read_text(spark, p), "windows_event": lambda p: read_windows_xml(spark, p)}
+    parts = []
+    for fmt, paths in by_format.items():
+        if fmt not in readers:
+            raise ValueError(f"unknown format {fmt}")
+        good = []
+        for path in paths:
+            try:
+                spark.read.text(path).limit(1).collect()
+                good.append(path)
+            except Exception as e:
+                if skipped is not None:
+                    skipped.append((path, str(e).splitlines()[0]))
+        if fmt == "csv":
+            parts += [readers[fmt](path) for path in good]
+        elif good:
+            parts.append(readers[fmt](good))
+    return union_files(parts) if parts else spark.createDataFrame([], schema)
