@@ -138,6 +138,38 @@ def valid_ip(c: Column | str) -> Column:
     return F.coalesce(valid_ipv4(c), _canonical(F.when(c.contains(":"), c)))
 
 
+@F.pandas_udf(T.StringType())
+def _ipv6_hex(values: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            return ipaddress.IPv6Address(text).packed.hex()
+        except ValueError:
+            return None
+
+    return values.map(one, na_action="ignore")
+
+
+def ip_bits(c: Column | str) -> Column:
+    """An address as 32 hexadecimal digits behind its family: ``4:`` for IPv4 (number in front), ``6:`` for IPv6, else null.
+
+    Masking a prefix then is cutting digits, for both families alike; only texts with a colon need the Arrow function.
+    """
+    c = col(c)
+    four = F.when(c.rlike(IPV4), F.concat(F.lit("4:"), F.rpad(F.lpad(F.hex(ip_to_long(c)), 8, "0"), 32, "0")))
+    return F.coalesce(four, F.concat(F.lit("6:"), F.upper(_ipv6_hex(F.when(c.contains(":"), c)))))
+
+
+def masked_bits(bits: Column, length: Column) -> Column:
+    """The network part: the first ``length`` bits, the rest zero."""
+    digits = F.floor(length / 4).cast("int")
+    rest = (F.lit(4) - length % 4).cast("int")
+    whole = F.substring(bits, F.lit(1), digits + 2)
+    last = F.conv(F.substring(bits, digits + 3, F.lit(1)), 16, 10).cast("int")
+    step = F.pow(F.lit(2), rest).cast("int")
+    cut = F.when(length % 4 == 0, F.lit("")).otherwise(F.hex(last - last % step))
+    return F.rpad(F.concat(whole, cut), 34, "0")
+
+
 def ip_to_long(c: Column | str) -> Column:
     parts = F.split(col(c), r"\.")
     return sum((F.get(parts, F.lit(i)).cast("bigint") * F.lit(256 ** (3 - i)) for i in range(4)), F.lit(0))

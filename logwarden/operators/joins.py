@@ -6,7 +6,8 @@ import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logwarden.functions.values import IPV4, ip_to_long
+from logwarden.functions.values import ip_bits, masked_bits
+from logwarden.operators.normalize import once
 from logwarden.operators.ordered import arrange
 
 
@@ -52,34 +53,29 @@ def enrich(df: DataFrame, dimension: DataFrame, key: str, dimension_key: str, pr
 
 
 def _networks(rules: DataFrame, cidr: str) -> DataFrame:
-    """Valid rules as (network number, prefix length); host bits set or bad text make a rule void."""
+    """Valid rules as (network bits, prefix length), IPv4 and IPv6; host bits set or bad text make a rule void."""
     parts = F.split(F.col(cidr), "/")
-    length = F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(32))
-    address = F.get(parts, F.lit(0))
-    net = F.when(address.rlike(IPV4), ip_to_long(address))
-    out = rules.withColumns({"_net": net, "_len": length}).filter("_net is not null and _len between 0 and 32")
-    return out.filter(F.col("_net") == masked(F.col("_net"), F.col("_len")))
-
-
-def masked(number: Column, length: Column) -> Column:
-    """The network part of an IPv4 number."""
-    size = F.pow(F.lit(2.0), F.lit(32) - length).cast("bigint")
-    return number - F.pmod(number, size)
+    bits = ip_bits(F.get(parts, F.lit(0)))
+    width = F.when(F.col("_net").startswith("4"), 32).otherwise(128)
+    length = F.when(F.size(parts) == 1, width).otherwise(F.get(parts, F.lit(1)).try_cast("int"))
+    out = once(once(rules, {"_net": bits}), {"_len": length, "_width": width})
+    out = out.filter("_net is not null and _len between 0 and _width and size(split(%s, '/')) <= 2" % cidr)
+    return out.filter(F.col("_net") == masked_bits(F.col("_net"), F.col("_len")))
 
 
 def cidr_hits(addresses: DataFrame, rules: DataFrame, ip: str, cidr: str, also: dict[str, str] | None = None
               ) -> DataFrame:
     """Distinct (ip, also...) that fall in any rule: equi-join on (prefix length, network), no range join.
 
-    Distinct values go first, so an address on a third of all rows is probed once.
+    Distinct values go first, so an address on a third of all rows is probed once, with the lengths its family uses.
     """
     also = also or {}
     nets = _networks(rules, cidr).select("_len", "_net", *[F.col(r).alias(c) for c, r in also.items()]).distinct()
-    lengths = F.array(*[F.lit(i) for i in range(33)])
-    used = nets.agg(F.collect_set("_len")).scalar()
-    probes = (addresses.select(ip, *also).filter(F.col(ip).rlike(IPV4)).distinct()
-              .withColumn("_len", F.explode(F.array_intersect(lengths, used)))
-              .withColumn("_net", masked(ip_to_long(ip), F.col("_len"))))
+    used = nets.groupBy(F.substring("_net", 1, 1).alias("_family")).agg(F.collect_set("_len").alias("_lengths"))
+    probes = once(addresses.select(ip, *also).distinct(), {"_bits": ip_bits(ip)}).filter("_bits is not null")
+    # At most two rows, one per family.
+    probes = probes.withColumn("_family", F.substring("_bits", 1, 1)).join(F.broadcast(used), "_family")
+    probes = probes.withColumn("_len", F.explode("_lengths")).withColumn("_net", masked_bits(F.col("_bits"), F.col("_len")))
     return probes.join(nets, ["_len", "_net", *also], "left_semi").select(ip, *also).distinct()
 
 

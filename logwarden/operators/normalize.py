@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logwarden.functions import values as v
 from logwarden.schemas import SILVER_FIELDS
+from logwarden.sources.files import EVENT_XML
 
 log = logging.getLogger(__name__)
 
@@ -149,11 +150,11 @@ def java_groups(pattern: str) -> tuple[str, dict[str, int]]:
     return re.sub(r"\(\?P<\w+>", "(", pattern), dict(re.compile(pattern).groupindex)
 
 
-def normalize_regex(df: DataFrame, patterns: list[str], mapping: dict[str, str] | None = None,
-                    types: dict[str, str] | None = None, column: str = "message") -> DataFrame:
-    """The first matching pattern fills the mapped, typed fields; ``_normalized`` says whether one matched."""
+def regex_cells(text: Column, patterns: list[str], mapping: dict[str, str] | None = None,
+                types: dict[str, str] | None = None) -> tuple[dict[str, Column], Column]:
+    """Fields of the first matching pattern, and whether one matches; patterns that do not compile are skipped."""
     mapping, kinds = mapping or {}, {**{k: _kind(t) for k, t in SILVER_FIELDS.items()}, **(types or {})}
-    text, plans = F.col(column), []
+    plans = []
     for pattern in patterns:
         try:
             plain, groups = java_groups(pattern)
@@ -170,11 +171,18 @@ def normalize_regex(df: DataFrame, patterns: list[str], mapping: dict[str, str]
         out[target] = v.cast_lenient(c, kinds[target]) if target in kinds else c
     for ip in ("source_ip", "dest_ip"):
         if ip in out:
-            out[ip] = F.coalesce(v.valid_ipv4(out[ip]), out[ip])
+            out[ip] = F.coalesce(v.valid_ip(out[ip]), out[ip])
     flag = F.lit(False)
     for hit, _ in plans:
         flag = flag | hit
-    return df.withColumns({**out, "_normalized": flag})
+    return out, flag
+
+
+def normalize_regex(df: DataFrame, patterns: list[str], mapping: dict[str, str] | None = None,
+                    types: dict[str, str] | None = None, column: str = "message") -> DataFrame:
+    """The first matching pattern fills the mapped, typed fields; ``_normalized`` says whether one matched."""
+    cells, flag = regex_cells(F.col(column), patterns, mapping, types)
+    return df.withColumns({**cells, "_normalized": flag})
 
 
 def _kind(t: str) -> str:
@@ -325,7 +333,7 @@ def json_fields(keys: Column, mapping: dict[str, str], drops: list[str] | None,
         if target == time_field:
             fields["timestamp"] = any_time(raw)
         elif target in ("source_ip", "dest_ip"):
-            fields[target] = F.coalesce(v.valid_ipv4(raw), raw)
+            fields[target] = F.coalesce(v.valid_ip(raw), raw)
         else:
             fields[target] = v.cast_lenient(raw, kinds[target]) if target in kinds else raw
     used = list(mapping) + drops
@@ -360,7 +368,10 @@ def parse_cef(df: DataFrame, column: str = "message") -> DataFrame:
 
 def cef_pairs(ext: Column) -> Column:
     """Extension pairs as a map under their standard names; escapes undone, the last duplicate wins."""
-    raw = F.map_from_arrays(F.regexp_extract_all(ext, F.lit(CEF_PAIR), 1), F.regexp_extract_all(ext, F.lit(CEF_PAIR), 2))
+    # One regex pass cuts the pairs; a key has no '=', so the first one ends it. The match's last white space is no value.
+    cut = F.regexp_extract_all(ext, F.lit(CEF_PAIR), 0)
+    halves = F.transform(cut, lambda p: F.split(F.regexp_replace(p, r"\s$", ""), "=", 2))
+    raw = F.map_from_arrays(F.transform(halves, lambda h: h[0]), F.transform(halves, lambda h: h[1]))
     plain = F.transform_values(raw, lambda _, x: F.replace(F.replace(F.replace(
         x, F.lit("\\="), F.lit("=")), F.lit("\\\\"), F.lit("\\")), F.lit("\\|"), F.lit("|")))
     return F.transform_keys(plain, lambda k, _: F.coalesce(v.labels(CEF_NAMES, k), k))
@@ -381,7 +392,7 @@ def standard_action(c: Column) -> Column:
 def standardize_cef(df: DataFrame, column: str = "fields") -> DataFrame:
     """Typed standard columns from the extension map."""
     at = lambda k: F.try_element_at(column, F.lit(k))
-    ip = lambda k: F.coalesce(v.valid_ipv4(at(k)), at(k))
+    ip = lambda k: F.coalesce(v.valid_ip(at(k)), at(k))
     return df.withColumns({
         "timestamp": F.coalesce(*[any_time(at(k)) for k in ("rt", "end", "start")]),
         "source_ip": ip("source_ip"), "dest_ip": ip("dest_ip"),
@@ -401,7 +412,7 @@ def clf_fields(parts: Column, text: Column) -> dict[str, Column]:
     request, ua = v.parse_request(F.coalesce(g(5), F.lit(""))), v.dash_to_null(g(9))
     agent = v.parse_ua(ua)
     return {
-        "source_ip": F.coalesce(v.valid_ipv4(g(1)), g(1)), "user": v.dash_to_null(g(3)),
+        "source_ip": F.coalesce(v.valid_ip(g(1)), g(1)), "user": v.dash_to_null(g(3)),
         "timestamp": v.epoch_seconds(F.coalesce(when, v.parse_ts(g(4)))), "status_code": code.cast("bigint"),
         "bytes_out": F.coalesce(g(7).try_cast("bigint"), F.lit(0)), "request": g(5), "method": request["method"],
         "path": request["path"], "protocol": request["protocol"], "referer": v.dash_to_null(g(8)), "user_agent": ua,
@@ -425,14 +436,17 @@ def nginx_fields(parts: Column, text: Column) -> dict[str, Column]:
     at = {target: parts[source] for source, target in NGINX_NAMES.items()}
     request = v.parse_request(at["request"])
     when = F.try_to_timestamp(at["timestamp"], F.lit(CLF_TIME))
-    code = at["status_code"].try_cast("int")
+    code, agent = at["status_code"].try_cast("int"), v.parse_ua(at["user_agent"])
+    known = at["user_agent"].isNotNull()
     return {
-        "source_ip": F.coalesce(v.valid_ipv4(at["source_ip"]), at["source_ip"]), "user": at["user"],
+        "source_ip": F.coalesce(v.valid_ip(at["source_ip"]), at["source_ip"]), "user": at["user"],
         "timestamp": v.epoch_seconds(F.coalesce(when, v.parse_ts(at["timestamp"]))), "request": at["request"],
         "method": F.coalesce(at["method"], request["method"]), "path": F.when(at["method"].isNull(), request["path"]),
         "protocol": F.when(at["method"].isNull(), request["protocol"]), "status_code": code.cast("bigint"),
         "bytes_out": at["bytes_out"].try_cast("bigint"), "referer": at["referer"], "user_agent": at["user_agent"],
         "duration": at["duration"].try_cast("double"), "host": at["host"], "status": v.status_class(code),
+        "browser": F.when(known, agent["browser"]), "os": F.when(known, agent["os"]),
+        "is_mobile": F.when(known, agent["is_mobile"]),
     }
 
 
@@ -458,7 +472,7 @@ def normalize_windows(df: DataFrame, drops: list[str] | None = None, data: str =
         if "user" not in cols:
             add["user"] = first_present(data, WINDOWS_USER_KEYS)
         if "source_ip" not in cols:
-            add["source_ip"] = v.valid_ipv4(first_present(data, WINDOWS_IP_KEYS))
+            add["source_ip"] = v.valid_ip(first_present(data, WINDOWS_IP_KEYS))
     return out.withColumns(add)
 
 
@@ -497,43 +511,89 @@ def to_schema(df: DataFrame, mapping: dict[str, str], schema: list[str]) -> Data
 
 
 # P31
-def normalize_all(df: DataFrame, column: str = "message", *, year: int, json_mapping: dict[str, str] | None = None
-                  ) -> DataFrame:
-    """Try syslog, CEF, web log and JSON in that order in one pass; adds the silver fields, _format, _normalized.
+ORDER = ["rfc5424", "rfc3164", "cef", "windows", "weblog", "nginx", "regex", "json"]
 
-    First projection: the parts of each format, each behind a cheap test and only when no earlier format took
-    the line. Second: the fields. Lines no parser accepts keep their raw text and nulls (``quarantine``).
+
+def windows_parts(text: Column) -> Column:
+    plain = F.regexp_replace(text, r'\sxmlns="[^"]*"|\sxmlns=\'[^\']*\'', "")
+    return F.when(text.startswith("<Event"), F.from_xml(plain, EVENT_XML, {"mode": "PERMISSIVE"}))
+
+
+def windows_fields(event: Column, pairs: Column) -> dict[str, Column]:
+    system = event["System"]
+    first = lambda names: F.coalesce(*[F.try_element_at(pairs, F.lit(n)) for n in names])
+    return {"timestamp": v.epoch_seconds(v.parse_ts(system["TimeCreated"]["_SystemTime"])), "hostname": system["Computer"],
+            "severity": v.windows_severity(system["Level"]), "event_type": v.security_event(system["EventID"]),
+            "user": first(WINDOWS_USER_KEYS), "source_ip": v.valid_ip(first(WINDOWS_IP_KEYS))}
+
+
+def normalize_all(df: DataFrame, column: str = "message", *, year: int, json_mapping: dict[str, str] | None = None,
+                  patterns: list[str] | None = None, regex_mapping: dict[str, str] | None = None,
+                  order: list[str] | None = None) -> DataFrame:
+    """The first layout in ``order`` that accepts a line normalizes it; adds the silver fields, _format, _normalized.
+
+    Layouts: syslog (two), CEF, Windows event XML, web log, access-log JSON, the caller's ``patterns``, other JSON. First
+    projection: the parts of each layout, each behind a cheap test; the web log's regex runs only where no layout with a
+    marked beginning took the line. Second: the fields. Rows that come in with ``_normalized`` true keep what they have.
+    Lines no layout accepts keep their raw text and nulls (``quarantine``).
     """
-    m = F.col(column)
-    new, old, cef, web, keys = (F.col(c) for c in ("_new", "_old", "_cef", "_web", "_keys"))
-    first = F.when(new.isNotNull(), "rfc5424").when(old.isNotNull(), "rfc3164").when(cef.isNotNull(), "cef")
-    cut = once(df, {"_new": rfc5424_parts(m), "_cef": cef_parts(m), "_keys": json_map(m)})
-    cut = once(cut, {"_old": F.when(new.isNull(), rfc3164_parts(m)), "_ext": cef_pairs(F.get(cef, F.lit(7)))})
-    cut = once(cut, {"_web": F.when(first.isNull() & keys.isNull(), clf_parts(m))})
-    cut = once(cut, {"_format": first.when(web.isNotNull(), "weblog").when(keys.isNotNull(), "json")})
+    order = order or ORDER
+    unknown = set(order) - set(ORDER)
+    if unknown:
+        raise ValueError(f"unknown layouts {sorted(unknown)}")
+    came = df.columns
+    done = F.coalesce(F.col("_normalized"), F.lit(False)) if "_normalized" in came else F.lit(False)
+    prior = {c: F.col(f"_prior.{c}") for c in [*SILVER_FIELDS, "extra", "raw_message", "ts", "_format"] if c in came}
+    base = df.withColumn("_done", done)
+    if prior:
+        base = base.withColumn("_prior", F.struct(*prior)).drop(*prior)
+    m = F.when(~F.col("_done"), F.col(column))
+    new, old, cef, win, web, nginx, keys = (F.col(c) for c in ("_new", "_old", "_cef", "_win", "_web", "_nginx", "_keys"))
+    nothing = F.lit(None).cast("array<string>")
+    cut = once(base, {"_new": rfc5424_parts(m), "_cef": cef_parts(m), "_win": windows_parts(m), "_nginx": nginx_parts(m), "_keys": json_map(m)})
+    pairs = F.filter(F.coalesce(win["EventData"]["Data"], F.array().cast("array<struct<_Name:string,_VALUE:string>>")),
+                     lambda d: d["_Name"].isNotNull())
+    marked = new.isNotNull() | cef.isNotNull() | win["System"].isNotNull() | keys.isNotNull()
+    cut = once(cut, {"_old": F.when(new.isNull(), rfc3164_parts(m)), "_ext": cef_pairs(F.get(cef, F.lit(7))),
+                     "_pairs": F.map_from_arrays(pairs["_Name"], pairs["_VALUE"])})
+    regex, hit = regex_cells(m, patterns or [], regex_mapping)
+    cut = once(cut, {"_web": F.when(~marked & old.isNull(), clf_parts(m)) if "weblog" in order else nothing,
+                     "_regex": F.coalesce(hit, F.lit(False))})
+    taken = {"rfc5424": new.isNotNull(), "rfc3164": old.isNotNull(), "cef": cef.isNotNull(), "windows": win["System"].isNotNull(),
+             "weblog": web.isNotNull(), "nginx": nginx.isNotNull(), "regex": F.col("_regex"), "json": keys.isNotNull()}
+    first = F
+    for name in order:
+        first = first.when(taken[name], name)
+    cut = once(cut, {"_format": first.otherwise(None)})
     at = lambda k: F.try_element_at("_ext", F.lit(k))
     json_cells, rest = json_fields(keys, json_mapping or {n: n for n in SILVER_FIELDS}, None, None)
+    ip = lambda c: F.coalesce(v.valid_ip(c), c)
     cef_cells = {
-        "timestamp": F.coalesce(*[any_time(at(k)) for k in ("rt", "end", "start")]), "source_ip": at("source_ip"),
-        "dest_ip": at("dest_ip"), "source_port": v.cast_lenient(at("source_port"), "int"),
+        "timestamp": F.coalesce(*[any_time(at(k)) for k in ("rt", "end", "start")]), "source_ip": ip(at("source_ip")),
+        "dest_ip": ip(at("dest_ip")), "source_port": v.cast_lenient(at("source_port"), "int"),
         "dest_port": v.cast_lenient(at("dest_port"), "int"), "protocol": at("protocol"),
         "user": F.coalesce(at("user"), at("source_user")), "action": standard_action(at("action")),
         "status": at("status"), "severity": F.get(cef, F.lit(6)), "event_type": F.lit("security"),
         "duration": at("duration").try_cast("double"), "url": at("url"), "method": at("method"),
     }
     by_format = {"rfc5424": rfc5424_fields(new, m), "rfc3164": rfc3164_fields(year)(old, m), "cef": cef_cells,
-                 "weblog": clf_fields(web, m), "json": json_cells}
+                 "windows": windows_fields(win, F.col("_pairs")), "weblog": clf_fields(web, m), "nginx": nginx_fields(nginx, m),
+                 "regex": regex, "json": json_cells}
     cells = {}
     for name, kind in SILVER_FIELDS.items():
-        c = F
-        for fmt, fields in by_format.items():
-            if name in fields:
-                c = c.when(F.col("_format") == fmt, fields[name].cast(kind))
+        c = F.when(F.col("_done"), prior[name].cast(kind)) if name in prior else F
+        for fmt in order:
+            if name in by_format[fmt]:
+                c = c.when(F.col("_format") == fmt, by_format[fmt][name].cast(kind))
         cells[name] = F.lit(None).cast(kind) if c is F else c
-    cells["extra"] = F.when(F.col("_format") == "cef", F.col("_ext")).when(F.col("_format") == "json", rest)
-    out = cut.withColumns({**cells, "raw_message": m, "_normalized": F.col("_format").isNotNull()})
+    cells["extra"] = (F.when(F.col("_done"), prior["extra"]) if "extra" in prior else F).when(F.col("_format") == "cef", F.col("_ext")).when(
+        F.col("_format") == "json", rest).when(F.col("_format") == "windows", F.col("_pairs"))
+    raw = F.when(F.col("_done"), prior["raw_message"]).otherwise(F.col(column)) if "raw_message" in prior else F.col(column)
+    out = cut.withColumns({**cells, "raw_message": raw, "_normalized": F.col("_done") | F.col("_format").isNotNull()})
+    if "_format" in prior:
+        out = out.withColumn("_format", F.coalesce("_format", prior["_format"]))
     out = out.withColumn("ts", F.timestamp_micros(F.round(F.col("timestamp") * F.lit(1e6)).cast("bigint")))
-    return out.drop("_new", "_old", "_cef", "_web", "_keys", "_ext")
+    return out.drop("_new", "_old", "_cef", "_win", "_web", "_nginx", "_keys", "_ext", "_pairs", "_regex", "_done", "_prior")
 
 
 def quarantine(df: DataFrame) -> DataFrame:

@@ -63,13 +63,22 @@ def _rules(spark, sf):
     return allow, block
 
 
+SIX = "concat('2001:db8:', user_id % 4, '::', event_id % 50 + 1)"
+
+
 @query("J04_cidr_match", f"""WITH {EV}, {RULES}
-SELECT event_id, source_ip, source_ip IN (SELECT source_ip FROM hit WHERE kind = 'allow')
-  AND source_ip NOT IN (SELECT source_ip FROM hit WHERE kind = 'block') AS allowed FROM ev""")
+SELECT event_id, CASE WHEN event_id % 11 = 5 THEN {SIX} ELSE source_ip END AS source_ip,
+  CASE WHEN event_id % 11 = 5 THEN user_id % 4 <> 1 AND event_id % 50 <> 7
+  ELSE source_ip IN (SELECT source_ip FROM hit WHERE kind = 'allow')
+  AND source_ip NOT IN (SELECT source_ip FROM hit WHERE kind = 'block') END AS allowed FROM ev""")
 def cidr_match(spark, sf):
+    """IPv4 and IPv6 addresses against rules of both families; networks end inside a digit, and single addresses."""
     allow, block = _rules(spark, sf)
-    return j.ip_allowed(events(spark, sf).select("event_id", "source_ip"), allow, block).select(
-        "event_id", "source_ip", "allowed")
+    six = lambda rules: spark.createDataFrame([(r,) for r in rules], "cidr string")
+    single = [f"2001:db8:{i}::8/128" for i in (0, 2, 3)]
+    allow, block = allow.unionByName(six(["2001:db8::/46"])), block.unionByName(six(["2001:DB8:1::/49", "2001:db8::1/32", *single]))
+    df = events(spark, sf).select("event_id", F.when(F.col("event_id") % 11 == 5, F.expr(SIX)).otherwise(F.col("source_ip")).alias("source_ip"))
+    return j.ip_allowed(df, allow, block).select("event_id", "source_ip", "allowed")
 
 
 @query("J05_ioc_match", f"""WITH {EV} SELECT event_id, source_ip FROM ev

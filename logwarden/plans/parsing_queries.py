@@ -243,11 +243,14 @@ def parse_clf(spark, sf):
 @query("P21_parse_nginx_json", f"""WITH {EV}
 SELECT event_id, source_ip, username AS "user", round(epoch(date_trunc('second', ts)), 6) AS "timestamp",
   CAST(100 * (1 + event_id % 5) + 1 AS BIGINT) AS status_code, event_id AS bytes_out, user_id % 10 + 0.5::DOUBLE AS duration,
-  'POST' AS method, '/q/' || (event_id % 60) AS path, 'HTTP/2' AS protocol, 'h' || (user_id % 3) AS host, {CLASSES} AS status FROM ev""")
+  'POST' AS method, '/q/' || (event_id % 60) AS path, 'HTTP/2' AS protocol, 'h' || (user_id % 3) AS host, {CLASSES} AS status,
+  {BROWSER} FROM ev""")
 def parse_nginx_json(spark, sf):
-    df = lines(spark, sf).select("event_id", F.col("nginx").alias("message"))
+    """The user agents of the web log lines, inside the JSON lines."""
+    agent = F.regexp_extract("clf", '"([^"]*)"$', 1)
+    df = lines(spark, sf).select("event_id", F.replace("nginx", F.lit("curl/8.0"), agent).alias("message"))
     return n.parse_nginx(df).select("event_id", "source_ip", "user", R("timestamp"), "status_code", "bytes_out", "duration", "method",
-                                    "path", "protocol", "host", "status")
+                                    "path", "protocol", "host", "status", "browser", "os", "is_mobile")
 
 
 REQ = """CASE event_id % 4 WHEN 0 THEN 'GET /a/' || user_id || ' HTTP/1.1' WHEN 1 THEN 'HEAD   /b' WHEN 2 THEN ' PUT ' ELSE '' END"""
@@ -285,13 +288,15 @@ SELECT event_id AS record_id, CAST(eid AS VARCHAR) AS event_id, 'host' || (user_
     WHEN 4723 THEN 'password_change' WHEN 4724 THEN 'password_reset' WHEN 4725 THEN 'account_disabled'
     WHEN 4726 THEN 'account_deleted' WHEN 4728 THEN 'member_added_to_security_group' WHEN 4732 THEN 'member_added_to_local_group'
     WHEN 4740 THEN 'account_locked_out' WHEN 4767 THEN 'account_unlocked' END AS event_type,
-  CASE WHEN event_type IS NOT NULL THEN 'security' END AS category, username AS "user", source_ip,
+  CASE WHEN event_type IS NOT NULL THEN 'security' END AS category, username AS "user",
+  CASE WHEN event_id % 5 = 0 THEN 'fe80::' || (event_id % 9 + 1) ELSE source_ip END AS source_ip,
   round(epoch(date_trunc('second', ts)), 6) AS "timestamp", action AS Extra FROM x""")
 def normalize_windows_event(spark, sf):
     raw = events(spark, sf).selectExpr(
         "event_id AS EventRecordID", f"string({WIN_EVENT}) AS EventID", "concat('host', user_id % 20) AS Computer",
         "string(event_id % 7) AS Level", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS TimeCreated_SystemTime",
-        "map(if(event_id % 2 = 0, 'TargetUserName', 'User'), username, 'ClientIP', source_ip) AS EventData",
+        "map(if(event_id % 2 = 0, 'TargetUserName', 'User'), username, 'ClientIP', "
+        "if(event_id % 5 = 0, concat('FE80:0:0::', event_id % 9 + 1), source_ip)) AS EventData",
         "action AS Extra", "'x' AS Secret")
     out = n.normalize_windows(raw, ["Secret"])
     return out.select("record_id", "event_id", "hostname", "severity", "event_type", "category", "user", "source_ip",
@@ -366,6 +371,31 @@ def normalizer_cascade(spark, sf):
                       F.floor("timestamp").alias("second"), "_normalized")
 
 
+OTHERS = """CASE event_id % 5 WHEN 0 THEN nginx WHEN 1 THEN {xml} WHEN 2 THEN 'login by ' || username || ' at ' || source_ip
+  WHEN 3 THEN 'old text' ELSE 'neither' END"""
+
+
+@query("P31_cascade_more", f"""WITH {EV} SELECT event_id,
+  CASE event_id % 5 WHEN 0 THEN 'nginx' WHEN 1 THEN 'windows' WHEN 2 THEN 'regex' END AS _format,
+  CASE WHEN event_id % 5 < 3 THEN source_ip WHEN event_id % 5 = 3 THEN '2001:db8::7' END AS source_ip,
+  CASE WHEN event_id % 5 < 3 THEN username WHEN event_id % 5 = 3 THEN 'kept' END AS "user",
+  CASE WHEN event_id % 5 = 1 THEN 'host' || (user_id % 20) END AS hostname,
+  CASE WHEN event_id % 5 = 0 THEN CAST(100 * (1 + event_id % 5) + 1 AS BIGINT) END AS status_code,
+  CASE WHEN event_id % 5 < 2 THEN CAST(epoch_us(ts) // 1000000 AS BIGINT) END AS second, event_id % 5 < 4 AS _normalized FROM ev""")
+def cascade_more(spark, sf):
+    """Access-log JSON, Windows events, a pattern of the caller, rows normalized before, and text that nothing accepts."""
+    from logwarden.plans.sources_queries import XML
+
+    xml = F.expr(XML)
+    df = lines(spark, sf).join(events(spark, sf).select("event_id", xml.alias("xml")), "event_id")
+    old = F.col("event_id") % 5 == 3
+    df = df.select("event_id", F.expr(OTHERS.format(xml="xml")).alias("message"), old.alias("_normalized"),
+                   F.when(old, "2001:db8::7").alias("source_ip"), F.when(old, "kept").alias("user"))
+    out = n.normalize_all(df, year=YEAR, patterns=[r"^login by (?P<user>\S+) at (?P<source_ip>\S+)$"],
+                          order=["windows", "nginx", "regex", "json", "rfc5424"])
+    return out.select("event_id", "_format", "source_ip", "user", "hostname", "status_code", F.floor("timestamp").alias("second"), "_normalized")
+
+
 @query("P31_quarantine", f"WITH {EV} SELECT event_id, 'garbage ' || action AS raw_message FROM ev WHERE event_id % 6 = 5")
 def quarantined(spark, sf):
     df = lines(spark, sf).select("event_id", F.expr(MIXED).alias("message"))
