@@ -98,17 +98,17 @@ def correlate(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*[f"p{i}" for i in range(len(pairs))])))
 
 
-def patterns(df: DataFrame, key: str, n: int = 3, column: str = "action", top: int | None = 10, **how) -> DataFrame:
-    """Most frequent sequences of ``n`` consecutive events of one entity."""
+def patterns(df: DataFrame, key: str, n: int = 3, column: str = "action", top: int | None = None, **how) -> DataFrame:
+    """How often each sequence of ``n`` consecutive events of one entity occurs; the ``top`` ones only when asked for."""
     o = arrange(df, [key], ["timestamp", "event_id"], **how).lag(**{f"_b{i}": (column, i) for i in range(1, n)})
     parts = [F.col(f"_b{i}") for i in range(n - 1, 0, -1)] + [F.col(column)]
     whole = o.done().filter(F.col(f"_b{n - 1}").isNotNull()) if n > 1 else o.done()
     out = whole.groupBy(F.concat_ws(">", *parts).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
-    return out.orderBy(F.desc("n"), "pattern").limit(top) if top else out
+    return out if top is None else out.orderBy(F.desc("n"), "pattern").limit(top)
 
 
-def entity_profile(df: DataFrame, key: str, kind: str = "action", keep: int = 10_000) -> DataFrame:
-    """First and last seen, events and events per type; the ``keep`` most recently seen entities.
+def entity_profile(df: DataFrame, key: str, kind: str = "action", keep: int | None = None) -> DataFrame:
+    """First and last seen, events and events per type of every entity, or of the ``keep`` most recently seen ones.
 
     Aggregates by (entity, type) first, so the map holds one entry per type whatever the entity's size.
     """
@@ -117,7 +117,7 @@ def entity_profile(df: DataFrame, key: str, kind: str = "action", keep: int = 10
     out = by_kind.groupBy(key).agg(
         F.min("a").alias("first_seen"), F.max("b").alias("last_seen"), F.sum("n").alias("events"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(kind), F.col("n"))))).alias("event_types"))
-    return out.orderBy(F.desc("last_seen"), key).limit(keep)
+    return out if keep is None else out.orderBy(F.desc("last_seen"), key).limit(keep)
 
 
 def processing_stats(df: DataFrame) -> DataFrame:

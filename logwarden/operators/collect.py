@@ -12,23 +12,25 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 log = logging.getLogger(__name__)
 
 
-def _usable(patterns: list[str]) -> list[str]:
+def _usable(df: DataFrame, patterns: list[str]) -> list[str]:
+    """Patterns that the engine which runs them accepts; Python's named groups are rewritten first."""
     out = []
     for p in patterns:
+        p = re.sub(r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", p)
         try:
-            re.compile(p)
+            df.sparkSession.range(1).select(F.lit("").rlike(p)).collect()
             out.append(p)
-        except re.error as e:
-            log.warning("pattern %r skipped: %s", p, e)
+        except Exception as e:
+            log.warning("pattern %r skipped: %s", p, str(e).splitlines()[0])
     return out
 
 
 def filter_patterns(df: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """the row as JSON text; any exclude match drops it, and one include must match when there are some."""
     text, keep = F.to_json(F.struct("*")), F.lit(True)
-    for p in _usable(exclude or []):
+    for p in _usable(df, exclude or []):
         keep = keep & ~text.rlike(p)
-    wanted = _usable(include or [])
+    wanted = _usable(df, include or [])
     if wanted:
         hit = F.lit(False)
         for p in wanted:
@@ -103,3 +105,12 @@ def filter_by_source(df: DataFrame, sources: DataFrame, key: str = "source_id")
     out = df.join(rules, key)
     out = out.filter(allows("_event_ids", "code") & allows("_facilities", "facility") & allows("_severities", "severity"))
     return out.drop("_event_ids", "_facilities", "_severities")
+
+
+def preprocess(df: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The caller's preprocessing steps in order, each a function of one DataFrame; they join the query's plan."""
+    for step in steps:
+        df = df.transform(step)
+        if not isinstance(df, DataFrame):
+            raise TypeError(f"step {getattr(step, '__name__', step)} returned no DataFrame")
+    return df

@@ -21,24 +21,40 @@ DIRECT_ROWS = 50_000
 def quantiles(df: DataFrame, columns: list[str], qs: list[float], *, builtin_rows: int = BUILTIN_ROWS
               ) -> dict[str, list[float | None]]:
     """``{column: [value per q]}``; nulls are ignored, an empty column gives None."""
+    x = lambda c: F.col(c).cast("double")
+    finite = lambda c: (F.abs(x(c)) < math.inf) & ~F.isnan(x(c))
     stats = df.agg(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(columns)],
+        *[F.count_if(x(c) == -math.inf).alias(f"low{i}") for i, c in enumerate(columns)],
+        *[F.count_if(finite(c)).alias(f"mid{i}") for i, c in enumerate(columns)],
+        *[F.count_if(x(c) == math.inf).alias(f"high{i}") for i, c in enumerate(columns)],
+        *[F.min(F.when(finite(c), x(c))).alias(f"lo{i}") for i, c in enumerate(columns)],
+        *[F.max(F.when(finite(c), x(c))).alias(f"hi{i}") for i, c in enumerate(columns)],
     ).first()
     if max(stats[f"n{i}"] for i in range(len(columns))) <= builtin_rows:
         wanted = F.array(*[F.lit(float(q)) for q in qs])
         row = df.agg(*[F.percentile(c, wanted).alias(f"p{i}") for i, c in enumerate(columns)]).first()
         return {c: list(row[f"p{i}"] or [None] * len(qs)) for i, c in enumerate(columns)}
 
+    # Order: -inf, finite values, inf, NaN. Only ranks among the finite values are searched for.
     ranks: dict[tuple[int, int], dict] = {}
     for i in range(len(columns)):
         n = stats[f"n{i}"]
         for q in qs if n else []:
             at = q * (n - 1)
-            for r in {math.floor(at), math.ceil(at)}:
-                ranks[i, r] = {"lo": stats[f"lo{i}"], "hi": stats[f"hi{i}"], "below": 0}
+            for r in {math.floor(at) - stats[f"low{i}"], math.ceil(at) - stats[f"low{i}"]}:
+                if 0 <= r < stats[f"mid{i}"]:
+                    ranks[i, r] = {"lo": stats[f"lo{i}"], "hi": stats[f"hi{i}"], "below": 0}
     found = _select(df, columns, ranks)
+
+    def value(i: int, rank: int) -> float:
+        r = rank - stats[f"low{i}"]
+        if r < 0:
+            return -math.inf
+        if r < stats[f"mid{i}"]:
+            return found[i, r]
+        return math.inf if r < stats[f"mid{i}"] + stats[f"high{i}"] else math.nan
+
     out = {}
     for i, c in enumerate(columns):
         n = stats[f"n{i}"]
@@ -48,8 +64,9 @@ def quantiles(df: DataFrame, columns: list[str], qs: list[float], *, builtin_row
                 values.append(None)
                 continue
             at = q * (n - 1)
-            low, high = found[i, math.floor(at)], found[i, math.ceil(at)]
-            values.append(low + (high - low) * (at - math.floor(at)))
+            share = at - math.floor(at)
+            low, high = value(i, math.floor(at)), value(i, math.ceil(at))
+            values.append(low if share == 0 or low == high else (1 - share) * low + share * high)
         out[c] = values
     return out
 

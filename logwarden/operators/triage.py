@@ -38,7 +38,7 @@ class Rule:
 
 def condition(text: str) -> Column:
     """A rule condition as Spark SQL; ``==`` is accepted. Null counts as not met."""
-    return F.coalesce(F.expr(re.sub("==", "=", text)).cast("boolean"), F.lit(False))
+    return F.coalesce(F.expr(text).cast("boolean"), F.lit(False))
 
 
 def classify(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -73,13 +73,15 @@ def correlation_rule(df: DataFrame, first: Column, second: Column, key: str, sec
 
 
 def acknowledge(df: DataFrame, ids: DataFrame, user: str, at: datetime.datetime, key: str = "event_id") -> DataFrame:
-    """Set the acknowledgement on the listed ids."""
+    """Set the acknowledgement on the listed ids; earlier acknowledgements of other rows stay."""
+    before = lambda c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    by, when = before("acknowledged_by", "string"), before("acknowledged_at", "timestamp")
     marked = df.join(ids.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
     hit = F.col("_hit").isNotNull()
     return marked.withColumns({
         "acknowledged": hit | F.col("acknowledged"),
-        "acknowledged_by": F.when(hit, F.lit(user)),
-        "acknowledged_at": F.when(hit, F.lit(at)),
+        "acknowledged_by": F.when(hit, F.lit(user)).otherwise(by),
+        "acknowledged_at": F.when(hit, F.lit(at)).otherwise(when),
     }).drop("_hit")
 
 
@@ -94,11 +96,12 @@ def auto_acknowledge(df: DataFrame, threshold: float = 0.4) -> DataFrame:
 
 
 def apply_updates(df: DataFrame, updates: DataFrame, key: str, columns: list[str], at: datetime.datetime) -> DataFrame:
-    """Overwrite only the supplied (non-null) fields; ``updated_at`` where an update exists."""
+    """Overwrite only the supplied (non-null) fields; ``updated_at`` where an update exists, else as before."""
+    before = F.col("updated_at") if "updated_at" in df.columns else F.lit(None).cast("timestamp")
     new = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
     joined = df.join(new, key, "left")
     out = joined.withColumns({c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in columns})
-    out = out.withColumn("updated_at", F.when(F.col("_hit"), F.lit(at)))
+    out = out.withColumn("updated_at", F.when(F.col("_hit"), F.lit(at)).otherwise(before))
     return out.drop("_hit", *[f"_new_{c}" for c in columns])
 
 

@@ -101,18 +101,18 @@ def correlation_analysis(spark, sf):
   SELECT lag(action, 2) OVER w AS a2, lag(action) OVER w AS a1, action FROM ev
   WINDOW w AS (PARTITION BY username ORDER BY "timestamp", event_id))
 SELECT a2 || '>' || a1 || '>' || action AS pattern, count(*) AS n FROM g WHERE a2 IS NOT NULL
-GROUP BY 1 ORDER BY n DESC, pattern LIMIT 20""")
+GROUP BY 1""")
 def pattern_detection(spark, sf):
-    return a.patterns(events(spark, sf), "username", 3, top=20)
+    return a.patterns(events(spark, sf), "username", 3)
 
 
 @query("A12_entity_profile", f"""WITH {EV}, k AS (SELECT source_ip, action, count(*) AS n, min("timestamp") AS a, max("timestamp") AS b
   FROM ev GROUP BY 1, 2)
 SELECT source_ip, round(min(a), 6) AS first_seen, round(max(b), 6) AS last_seen, CAST(sum(n) AS BIGINT) AS events,
   string_agg(action || ':' || n, ',' ORDER BY action) AS event_types
-FROM k GROUP BY 1 ORDER BY max(b) DESC, source_ip LIMIT 200""")
+FROM k GROUP BY 1""")
 def entity_profile(spark, sf):
-    df = a.entity_profile(events(spark, sf), "source_ip", keep=200)
+    df = a.entity_profile(events(spark, sf), "source_ip")
     kinds = F.transform(F.map_entries("event_types"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
     return df.select("source_ip", R("first_seen"), R("last_seen"), "events", F.array_join(kinds, ",").alias("event_types"))
 

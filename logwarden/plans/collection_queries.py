@@ -15,7 +15,7 @@ SELECT event_id, username, source_ip, action FROM x WHERE NOT regexp_matches(j,
   AND NOT regexp_matches(j, '10\\.0\\.[56]\\.') AND (regexp_matches(j, '"(error|view)"') OR regexp_matches(j, 'user77'))""")
 def filter_include_exclude(spark, sf):
     df = events(spark, sf).select(*COLS)
-    return c.filter_patterns(df, ['"(error|view)"', "user77", "bad("], [r'"username":"user1\d"', r"10\.0\.[56]\."])
+    return c.filter_patterns(df, ['"(?P<kind>error|view)"', "user77", "bad("], [r'"username":"user1\d"', r"10\.0\.[56]\."])
 
 
 @query("F02_add_collection_metadata", f"""WITH {EV} SELECT event_id, 'auth-files' AS _collector, 'prod,auth' AS _tags,

@@ -75,9 +75,9 @@ RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' TH
 
 
 @query("Q06_severity_order", f"""WITH {INC}
-SELECT {INC_SQL} FROM inc WHERE contains(lower(title), 'incident 1') ORDER BY {RANK} DESC, id LIMIT 60""")
+SELECT {INC_SQL} FROM inc WHERE contains(lower(title), 'incident 1') ORDER BY {RANK} DESC, id""")
 def severity_order(spark, sf):
-    return q.sort_incidents(incidents(spark, sf), "severity_desc", "Incident 1").limit(60).select(*INC_COLS)
+    return q.sort_incidents(incidents(spark, sf), "severity_desc", "Incident 1").select(*INC_COLS)
 
 
 @query("Q07_dashboard_filters", f"""WITH {DET}

@@ -47,13 +47,15 @@ def band(spark, sf):
 SELECT event_id, CASE WHEN action = 'error' AND status = 'failure' AND username = 'user7' THEN 'user7_failure'
     WHEN action = 'error' AND status = 'failure' THEN 'auth_failure'
     WHEN (hour < 6 OR hour > 22) AND action = 'view' THEN 'unusual_access'
+    WHEN action || '==' || status = 'signup==success' AND duration > 100 THEN 'odd_text'
     WHEN action = 'purchase' AND duration > 100 THEN 'data_exfiltration' ELSE 'unknown_anomaly' END AS classification FROM h)
 SELECT event_id, classification, CASE classification WHEN 'user7_failure' THEN 'critical' WHEN 'auth_failure' THEN 'high'
-  WHEN 'unusual_access' THEN 'medium' WHEN 'data_exfiltration' THEN 'critical' ELSE 'low' END AS severity FROM c""")
+  WHEN 'unusual_access' THEN 'medium' WHEN 'data_exfiltration' THEN 'critical' WHEN 'odd_text' THEN 'medium' ELSE 'low' END AS severity FROM c""")
 def classify_rules(spark, sf):
     rules = [
         t.Rule("auth_failure", ["action == 'error'", "status == 'failure'"], "high"),
         t.Rule("unusual_access", ["hour < 6 or hour > 22", "action == 'view'"], "medium"),
+        t.Rule("odd_text", ["action || '==' || status == 'signup==success'", "duration > 100"], "medium"),
         t.Rule("data_exfiltration", ["action == 'purchase'", "duration > 100"], "critical"),
         t.Rule("user7_failure", ["action == 'error'", "status == 'failure'", "username == 'user7'"], "critical", 100),
     ]
@@ -91,10 +93,16 @@ def _ids(spark, sf):
 
 @query("R08_acknowledge", f"""WITH {DET}, ids AS ({IDS})
 SELECT event_id, event_id IN (SELECT event_id FROM ids) OR acknowledged AS acknowledged,
-  CASE WHEN event_id IN (SELECT event_id FROM ids) THEN 'analyst' END AS acknowledged_by FROM det""")
+  CASE WHEN event_id IN (SELECT event_id FROM ids) THEN 'analyst' WHEN event_id % 10 = 3 THEN 'earlier' END AS acknowledged_by,
+  CASE WHEN event_id IN (SELECT event_id FROM ids) THEN TIMESTAMP '2024-02-01' WHEN event_id % 10 = 3 THEN TIMESTAMP '2024-01-15' END
+    AS acknowledged_at FROM det""")
 def acknowledge(spark, sf):
-    df = t.acknowledge(detections(spark, sf), _ids(spark, sf), "analyst", at(2024, 2, 1))
-    return df.select("event_id", "acknowledged", "acknowledged_by")
+    """A tenth of the detections was acknowledged before by someone else."""
+    earlier = F.col("event_id") % 10 == 3
+    before = detections(spark, sf).withColumns({
+        "acknowledged_by": F.when(earlier, "earlier"), "acknowledged_at": F.when(earlier, F.lit(at(2024, 1, 15)))})
+    df = t.acknowledge(before, _ids(spark, sf), "analyst", at(2024, 2, 1))
+    return df.select("event_id", "acknowledged", "acknowledged_by", "acknowledged_at")
 
 
 @query("R08_acknowledge_failed", f"WITH ids AS ({IDS}) SELECT event_id FROM ids WHERE event_id NOT IN (SELECT event_id FROM events)")
@@ -119,9 +127,10 @@ def _updates(spark, sf):
 
 @query("R10_apply_updates", f"""WITH {INC}, {UPD}
 SELECT inc.id, coalesce(upd.status, inc.status) AS status, coalesce(upd.severity, inc.severity) AS severity,
-  CASE WHEN upd.id IS NOT NULL THEN TIMESTAMP '2002-01-01' END AS updated_at FROM inc LEFT JOIN upd ON upd.id = inc.id""")
+  CASE WHEN upd.id IS NOT NULL THEN TIMESTAMP '2002-01-01' WHEN inc.id % 7 = 1 THEN TIMESTAMP '2001-05-05' END AS updated_at FROM inc LEFT JOIN upd ON upd.id = inc.id""")
 def apply_updates(spark, sf):
-    df = t.apply_updates(incidents(spark, sf), _updates(spark, sf), "id", ["status", "severity"], at(2002, 1, 1))
+    before = incidents(spark, sf).withColumn("updated_at", F.when(F.col("id") % 7 == 1, F.lit(at(2001, 5, 5))))
+    df = t.apply_updates(before, _updates(spark, sf), "id", ["status", "severity"], at(2002, 1, 1))
     return df.select("id", "status", "severity", "updated_at")
 
 

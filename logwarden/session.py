@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -39,6 +40,7 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.checkpoint.dir", os.environ.get("LOGWARDEN_SCRATCH") or tempfile.mkdtemp(prefix="logwarden-"))
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
@@ -50,15 +52,16 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 def scratch_path(spark: SparkSession) -> str:
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master without that setting gets a folder of its own.
+    A session must name that folder: ``local_session`` does, a cluster's settings do.
     """
     context = spark.sparkContext
     root = context.getCheckpointDir()
     if root is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+            if not context.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            # A plain local session (one machine, one process) that was made elsewhere.
             named = tempfile.mkdtemp(prefix="logwarden-")
         context.setCheckpointDir(named)
         root = context.getCheckpointDir()

@@ -74,10 +74,11 @@ def stream_features(sdf: DataFrame, ttl_ms: int = 30 * 86_400_000, delay: str =
         before = lambda n: np.where(at >= n, times[np.maximum(at - n, 0)], np.nan)
         rate = lambda n: np.nan_to_num(n / np.maximum(t - before(n), 1.0))
         failed = pdf["status"].isin(FAILURE_WORDS).to_numpy()
-        runs = np.zeros(len(t), dtype=np.int64)
-        for i, f in enumerate(failed):
-            streak = streak + 1 if f else 0
-            runs[i] = streak
+        place = np.arange(1, len(t) + 1)
+        # Rows since the latest success; before the first success of the batch the stored streak goes on.
+        reset = np.maximum.accumulate(np.where(failed, 0, place))
+        runs = np.where(failed, place - reset + np.where(reset == 0, streak, 0), 0)
+        streak = int(runs[-1])
         where = pdf["source_ip"].tolist()
         previous = [address] + where[:-1]
         out = pd.DataFrame({
@@ -113,13 +114,13 @@ def stream_profile(sdf: DataFrame, key: str = "source_ip", kind: str = "action",
         key, kind, F.col("w.start").alias("period"), "a", "b", "n")
 
 
-def merge_profile(parts: DataFrame, key: str = "source_ip", kind: str = "action", keep: int = 10_000) -> DataFrame:
-    """Profiles of the ``keep`` most recently seen entities from the stored periods."""
+def merge_profile(parts: DataFrame, key: str = "source_ip", kind: str = "action", keep: int | None = None) -> DataFrame:
+    """Profiles of all entities from the stored periods, or of the ``keep`` most recently seen ones."""
     by_kind = parts.groupBy(key, kind).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"))
     out = by_kind.groupBy(key).agg(
         F.min("a").alias("first_seen"), F.max("b").alias("last_seen"), F.sum("n").alias("events"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(kind), F.col("n"))))).alias("event_types"))
-    return out.orderBy(F.desc("last_seen"), key).limit(keep)
+    return out if keep is None else out.orderBy(F.desc("last_seen"), key).limit(keep)
 
 
 def stream_counts(sdf: DataFrame, key: str, size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -135,20 +136,20 @@ def stream_sessions(sdf: DataFrame, key: str, gap: str = "60 seconds", delay: st
     return out.select(key, F.col("w.start").alias("session_start"), "events")
 
 
-def observed(sdf: DataFrame, error: Column, name: str = "metrics") -> DataFrame:
-    """Counts, errors and the last event time measured while the stream runs."""
-    return sdf.observe(name, F.count(F.lit(1)).alias("processed"), F.count_if(error).alias("errors"),
-                       F.max("timestamp").alias("last_timestamp"))
+def run_metrics(sdf: DataFrame, error: Column, path: str, checkpoint: str) -> DataFrame:
+    """One row (batch, processed, errors, last_timestamp) per micro-batch, written when the batch ends.
 
+    A batch that is run again after a failure writes the same row in the same place, so sums over the table stay exact
+    for any number of batches; no row passes the driver.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.agg(F.count(F.lit(1)).alias("processed"), F.count_if(error).alias("errors"), F.max("timestamp").alias("last_timestamp")
+                  ).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def progress_rows(q: StreamingQuery, name: str = "metrics") -> list[tuple]:
-    """(batch, processed, errors, last_timestamp) of the recent batches that had rows."""
-    out = []
-    for p in q.recentProgress:
-        m = p.observedMetrics.get(name)
-        if m is not None and m["processed"]:
-            out.append((p.batchId, m["processed"], m["errors"], m["last_timestamp"]))
-    return out
+    q = sdf.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return sdf.sparkSession.read.parquet(path)
 
 
 def new_place(spark: SparkSession) -> tuple[str, str]:
