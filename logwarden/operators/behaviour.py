@@ -7,6 +7,7 @@ hot entity is pre-aggregated and the join is left to AQE's skew handling; ordere
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logwarden.operators.ordered import arrange, largest_group, modes
@@ -174,11 +175,18 @@ def _fold_starts(rows: DataFrame, key: str, window: float) -> DataFrame:
     def fold(batches):
         open_key, open_seg, start = None, None, 0.0
         for pdf in batches:
-            marked = []
-            for i, (k, seg, t) in enumerate(zip(pdf[key], pdf["_seg"], pdf["timestamp"])):
-                if seg != open_seg or k != open_key or t - start > window:
-                    open_key, open_seg, start = k, seg, t
-                    marked.append(i)
+            marked, t, keys, segs = [], pdf["timestamp"].to_numpy(), pdf[key].to_numpy(), pdf["_seg"].to_numpy()
+            turns = np.flatnonzero((segs[1:] != segs[:-1]) | (keys[1:] != keys[:-1])) + 1
+            for a, b in zip([0, *turns], [*turns, len(t)]):
+                # From window start to window start; the binary search is settled by the same comparison as a row's age.
+                at = a
+                if segs[a] == open_seg and keys[a] == open_key:
+                    at = _leaves(t, a, b, start, window)
+                while at < b:
+                    start = t[at]
+                    marked.append(at)
+                    at = _leaves(t, at + 1, b, start, window)
+                open_key, open_seg = keys[a], segs[a]
             yield pdf.iloc[marked][[key, "_rank"]]
 
     sorted_rows = rows.select(key, "_seg", "_rank", "timestamp").repartition(key, "_seg").sortWithinPartitions(
@@ -186,6 +194,16 @@ def _fold_starts(rows: DataFrame, key: str, window: float) -> DataFrame:
     return sorted_rows.mapInPandas(fold, f"`{key}` {key_type}, _rank bigint")
 
 
+def _leaves(t: np.ndarray, a: int, b: int, start: float, window: float) -> int:
+    """First place in a..b whose time is more than ``window`` after ``start``."""
+    at = a + int(np.searchsorted(t[a:b], start + window, side="right"))
+    while at > a and t[at - 1] - start > window:
+        at -= 1
+    while at < b and not t[at] - start > window:
+        at += 1
+    return at
+
+
 def _chain_starts(rows: DataFrame, key: str, window: float, **how) -> DataFrame:
     """Window starts by pointer doubling: row -> first row of the stretch later than ``window``."""
     base = rows.select(key, "_seg", "_rank", "timestamp", "event_id")

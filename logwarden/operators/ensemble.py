@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,26 +14,51 @@ from logwarden.operators.stat import FLOOR, add_up
 def kfold(df: DataFrame, columns: list[str], key: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Mean z-score of each held-out fold under the baseline of the other folds.
 
-    One pass gives each fold's sums (k rows); the sums of the others are the differences from the total.
+    One pass gives each fold's count, mean and centred square sum (k rows); those of the other folds are merged, so large
+    values with a small spread keep their digits.
     """
     folded = df.withColumn("_fold", hash_bucket(key, k, seed))
-    sums = folded.groupBy("_fold").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)],
-        *[F.sum(F.col(c) * F.col(c)).alias(f"q{i}") for i, c in enumerate(columns)]).collect()
-    total = {x: sum(r[x] for r in sums) for x in ["n"] + [f"{p}{i}" for p in "sq" for i in range(len(columns))]}
+    parts = folded.groupBy("_fold").agg(
+        *[F.struct(F.count(c).alias("n"), F.avg(c).alias("m"), (F.var_pop(c) * F.count(c)).alias("q")).alias(f"p{i}")
+          for i, c in enumerate(columns)]).collect()
+
+    def merged(fold, i: int) -> tuple[float, float]:
+        n, mean, square = 0, 0.0, 0.0
+        for r in parts:
+            p = r[f"p{i}"]
+            if r["_fold"] != fold and p["n"]:
+                gap, both = p["m"] - mean, n + p["n"]
+                square += p["q"] + gap * gap * n * p["n"] / both
+                mean, n = mean + gap * p["n"] / both, both
+        return mean, max((square / n) ** 0.5 if n else 0.0, FLOOR)
+
     score = F
-    for r in sums:
-        n = total["n"] - r["n"]
-        parts = []
+    for r in parts:
+        z = []
         for i, c in enumerate(columns):
-            mean = (total[f"s{i}"] - r[f"s{i}"]) / n
-            std = max(max((total[f"q{i}"] - r[f"q{i}"]) / n - mean * mean, 0.0) ** 0.5, FLOOR)
-            parts.append(F.abs((F.col(c) - F.lit(mean)) / F.lit(std)))
-        score = score.when(F.col("_fold") == r["_fold"], add_up(parts) / len(parts))
+            mean, std = merged(r["_fold"], i)
+            z.append(F.abs((F.col(c) - F.lit(mean)) / F.lit(std)))
+        score = score.when(F.col("_fold") == r["_fold"], add_up(z) / len(z))
     return folded.groupBy(F.col("_fold").alias("fold")).agg(F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
+def cross_validate(df: DataFrame, key: list[str], fit: Callable, score: Callable, k: int = 5, seed: int = 42) -> DataFrame:
+    """M11 for any model: (fold, mean_score, std_score, n) of every held-out fold.
+
+    ``fit(train) -> model`` sees the other folds, ``score(held_out, model) -> Column`` gives the fold's scores.
+    """
+    folded = df.withColumn("_fold", hash_bucket(key, k, seed))
+    out = None
+    for fold in range(k):
+        held = folded.filter(F.col("_fold") == fold)
+        model = fit(folded.filter(F.col("_fold") != fold).drop("_fold"))
+        s = score(held, model)
+        one = held.agg(F.lit(fold).cast("bigint").alias("fold"), F.avg(s).alias("mean_score"), F.stddev_pop(s).alias("std_score"),
+                       F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def top_anomalies(df: DataFrame, score: str, order: list[str], n: int) -> DataFrame:
     """The ``n`` highest scores (ties by id); each task keeps n rows."""
     return df.orderBy(F.desc(score), *order).limit(n)

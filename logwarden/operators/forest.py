@@ -91,25 +91,23 @@ def grow(x: np.ndarray, rng: np.random.Generator, limit: int, features: np.ndarr
     return nodes
 
 
+POOL = 131_072
+
+
 def tree_samples(df: DataFrame, columns: list[str], key: list[str], trees: int, sample: int, rows: int, seed: int
                  ) -> DataFrame:
-    """(tree, place, columns): the ``sample`` rows with the smallest hash per tree.
+    """(tree, place, columns): the ``sample`` rows with the smallest hash per tree; ``key`` must be unique.
 
-    With many rows a single hash decides whether a row is a candidate and of which tree. With few rows every
-    tree hashes every row. Either way about 4 x sample rows per tree pass the filter, and
-    ``row_number() <= sample`` is applied inside each task before the shuffle.
+    A first hash of the key draws a pool of about ``POOL`` rows (all rows of a smaller table); then every tree hashes the
+    pool anew. So one scheme serves all sizes, and a few more rows change only a few members of the pool. About 4 x sample
+    rows per tree reach the shuffle.
     """
-    h = F.xxhash64(F.lit(seed), *key).bitwiseAND(HASH_RANGE - 1) / float(HASH_RANGE)
+    hashed = lambda *salt: F.xxhash64(*salt, *key).bitwiseAND(HASH_RANGE - 1) / float(HASH_RANGE)
     base = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], *key)
-    share = 4.0 * sample / rows
-    if share * trees < 0.5:
-        drawn = base.withColumn("_h", h).filter(F.col("_h") < share * trees)
-        drawn = drawn.withColumn("tree", F.floor(F.col("_h") / share).cast("int"))
-        drawn = drawn.withColumn("_h", F.col("_h") - F.col("tree") * share)
-    else:
-        drawn = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        own = F.xxhash64(F.lit(seed), F.col("tree"), *key).bitwiseAND(HASH_RANGE - 1) / float(HASH_RANGE)
-        drawn = drawn.withColumn("_h", own).filter(F.col("_h") < min(share, 1.0))
+    pool = base.filter(hashed(F.lit(seed)) < min(1.0, POOL / rows))
+    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    share = 4.0 * sample / min(rows, POOL)
+    drawn = drawn.withColumn("_h", hashed(F.lit(seed + 1), F.col("tree"))).filter(F.col("_h") < min(share, 1.0))
     w = Window.partitionBy("tree").orderBy("_h", *key)
     placed = drawn.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= sample)
     return placed.select("tree", "place", *[f"x{i}" for i in range(len(columns))])

@@ -1,10 +1,10 @@
 """Ordered scans (lag, running aggregates) that survive a hot key.
 
 A window partitioned by an entity puts all rows of that entity into one task. ``arrange`` counts the
-rows per key first. When every key is small it uses plain windows. Otherwise, and always when there
-is no key, the rows are range-partitioned on (key, order) into slices, so a hot key spreads over many
-slices. Windows then run inside (slice, key) and only the values that cross a slice border - at most a
-few rows per slice - are carried over by a broadcast of slice-count size.
+rows per key first. Small keys use plain windows. The rows of hot keys, and all rows when there is no
+key, are range-partitioned on (key, order) into slices, so a hot key spreads over many slices. Windows
+then run inside (slice, key) and only the values that cross a slice border - at most a few rows per
+slice - are carried over by a broadcast of slice-count size. The slice count follows the rows and is bounded.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from logwarden.session import written
 
 HOT_ROWS = 2_000_000
-SLICE_ROWS = 1_000_000
+#: Rows of a slice at most while the number of slices allows it, rows at least, and the bounds of that number.
+SLICE_ROWS, LEAST_SLICE_ROWS = 1_000_000, 20_000
+SLICES_PER_PARTITION, MOST_SLICES = 4, 20_000
 _POSITION_BITS = 33
 
 
@@ -154,29 +156,75 @@ def largest_group(df: DataFrame, key: list[str]) -> tuple[int, int]:
 
 
 def modes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> dict[str, str]:
-    """Mode per single-column key, checked in one pass over the input so that later steps need no check of their own."""
+    """Mode per single-column key, checked in one pass over the input: a key without a hot value needs no check of its own."""
     cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in keys])
     counts = df.select(F.explode(cells).alias("c")).groupBy("c.k", "c.v").count()
     biggest = {r["k"]: r["m"] for r in counts.groupBy("k").agg(F.max("count").alias("m")).collect()}
-    return {k: "sliced" if biggest.get(k, 0) > hot_rows else "plain" for k in keys}
+    return {k: "auto" if biggest.get(k, 0) > hot_rows else "plain" for k in keys}
+
+
+def slice_count(rows: int, partitions: int) -> int:
+    """Slices for ``rows`` rows: several per shuffle partition while they stay worth a task, at most ``MOST_SLICES``.
+
+    The borders (one row per slice) are the only thing that reaches the driver, so their number is bounded too.
+    """
+    fine = min(SLICES_PER_PARTITION * partitions, -(-rows // LEAST_SLICE_ROWS))
+    return max(1, min(MOST_SLICES, max(fine, -(-rows // SLICE_ROWS))))
+
+
+class Parted:
+    """Rows of hot keys in slices and the rows of all other keys in plain windows, behind the methods of ``Ordered``."""
+
+    def __init__(self, parts: list[Ordered]):
+        self.parts = parts
+
+    def derive(self, **columns: Column) -> "Parted":
+        for p in self.parts:
+            p.derive(**columns)
+        return self
+
+    def lag(self, **outputs: tuple[str, int]) -> "Parted":
+        for p in self.parts:
+            p.lag(**outputs)
+        return self
+
+    def running(self, **outputs: tuple[str, Column]) -> "Parted":
+        for p in self.parts:
+            p.running(**outputs)
+        return self
+
+    def done(self) -> DataFrame:
+        first, second = (p.done() for p in self.parts)
+        return first.unionByName(second)
 
 
 def arrange(df: DataFrame, key: list[str], order: list[str], *, mode: str = "auto",
-            hot_rows: int = HOT_ROWS, slices: int | None = None) -> Ordered:
-    """Put rows in (key, order) order; ``order`` must end in a unique id."""
-    rows = None
-    if mode == "auto":
-        if key:
-            biggest, rows = largest_group(df, key)
-            mode = "sliced" if biggest > hot_rows else "plain"
-        else:
-            mode = "sliced"
-    if mode == "plain" and key:
+            hot_rows: int = HOT_ROWS, slices: int | None = None) -> Ordered | Parted:
+    """Put rows in (key, order) order; ``order`` must end in a unique id.
+
+    ``auto`` counts the rows per key: without a hot key plain windows do; otherwise only the rows of hot keys are sliced.
+    ``plain`` and ``sliced`` force one way for all rows.
+    """
+    if mode == "auto" and key:
+        counts = df.groupBy(*key).count()
+        if (counts.agg(F.max("count")).first()[0] or 0) <= hot_rows:
+            return Ordered(df, key, order, None)
+        hot = written(counts.filter(F.col("count") > hot_rows).select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(key)], "count"))
+        total = hot.agg(F.sum("count")).first()[0]
+        same = None
+        for i, k in enumerate(key):
+            test = F.col(k).eqNullSafe(F.col(f"_hot{i}"))
+            same = test if same is None else same & test
+        cold = Ordered(df.join(hot, same, "left_anti"), key, order, None)
+        return Parted([_sliced(df.join(hot, same, "left_semi"), key, order, slices, total), cold])
+    if mode in ("auto", "plain") and key:
         return Ordered(df, key, order, None)
-    spark = df.sparkSession
+    return _sliced(df, key, order, slices, None)
+
+
+def _sliced(df: DataFrame, key: list[str], order: list[str], slices: int | None, rows: int | None) -> Ordered:
     if slices is None:
-        wanted = 0 if rows is None else -(-rows // SLICE_ROWS)
-        slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
+        slices = slice_count(df.count() if rows is None else rows, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = df.withColumn("_key", F.struct(*key) if key else F.struct(F.lit(0).alias("all")))
     cut = written(
         keyed.repartitionByRange(slices, *[F.col(k) for k in key], *[F.col(o) for o in order])
@@ -184,14 +232,8 @@ def arrange(df: DataFrame, key: list[str], order: list[str], *, mode: str = "aut
         .withColumn("_slice", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND((1 << _POSITION_BITS) - 1))
     )
-    # One row per slice: the slice count is chosen above, not by the data.
-    ends = cut.groupBy("_slice").agg(F.max("_pos").alias("_end"))
-    border = cut.join(F.broadcast(ends), "_slice").filter((F.col("_pos") == 0) | (F.col("_pos") == F.col("_end")))
-    found: dict[int, dict] = {}
-    for r in border.select("_slice", "_pos", "_end", "_key").collect():
-        edge = found.setdefault(r["_slice"], {"slice": r["_slice"], "end": r["_end"]})
-        if r["_pos"] == 0:
-            edge["first"] = r["_key"]
-        if r["_pos"] == r["_end"]:
-            edge["last"] = r["_key"]
-    return Ordered(cut, key, order, [found[s] for s in sorted(found)])
+    # One row per slice, and at most MOST_SLICES slices (unless the caller names their number).
+    of = lambda first: (F.min_by if first else F.max_by)("_key", "_pos")
+    borders = cut.groupBy("_slice").agg(F.max("_pos").alias("_end"), of(True).alias("_first"), of(False).alias("_last"))
+    edges = [{"slice": r["_slice"], "end": r["_end"], "first": r["_first"], "last": r["_last"]} for r in borders.collect()]
+    return Ordered(cut, key, order, sorted(edges, key=lambda e: e["slice"]))

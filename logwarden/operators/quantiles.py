@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 BUILTIN_ROWS = 100_000
 BINS = 4096
@@ -21,6 +21,12 @@ DIRECT_ROWS = 50_000
 def quantiles(df: DataFrame, columns: list[str], qs: list[float], *, builtin_rows: int = BUILTIN_ROWS
               ) -> dict[str, list[float | None]]:
     """``{column: [value per q]}``; nulls are ignored, an empty column gives None."""
+    return measured(df, columns, qs, [], builtin_rows=builtin_rows)[0]
+
+
+def measured(df: DataFrame, columns: list[str], qs: list[float], also: list, *, builtin_rows: int = BUILTIN_ROWS
+             ) -> tuple[dict[str, list[float | None]], Row]:
+    """``quantiles``, and a row with the aggregates ``also`` taken in the pass that measures the ranges."""
     x = lambda c: F.col(c).cast("double")
     finite = lambda c: (F.abs(x(c)) < math.inf) & ~F.isnan(x(c))
     stats = df.agg(
@@ -30,11 +36,12 @@ def quantiles(df: DataFrame, columns: list[str], qs: list[float], *, builtin_row
         *[F.count_if(x(c) == math.inf).alias(f"high{i}") for i, c in enumerate(columns)],
         *[F.min(F.when(finite(c), x(c))).alias(f"lo{i}") for i, c in enumerate(columns)],
         *[F.max(F.when(finite(c), x(c))).alias(f"hi{i}") for i, c in enumerate(columns)],
+        *also,
     ).first()
     if max(stats[f"n{i}"] for i in range(len(columns))) <= builtin_rows:
         wanted = F.array(*[F.lit(float(q)) for q in qs])
         row = df.agg(*[F.percentile(c, wanted).alias(f"p{i}") for i, c in enumerate(columns)]).first()
-        return {c: list(row[f"p{i}"] or [None] * len(qs)) for i, c in enumerate(columns)}
+        return {c: list(row[f"p{i}"] or [None] * len(qs)) for i, c in enumerate(columns)}, stats
 
     # Order: -inf, finite values, inf, NaN. Only ranks among the finite values are searched for.
     ranks: dict[tuple[int, int], dict] = {}
@@ -68,7 +75,7 @@ def quantiles(df: DataFrame, columns: list[str], qs: list[float], *, builtin_row
             low, high = value(i, math.floor(at)), value(i, math.ceil(at))
             values.append(low if share == 0 or low == high else (1 - share) * low + share * high)
         out[c] = values
-    return out
+    return out, stats
 
 
 def _select(df: DataFrame, columns: list[str], open_ranks: dict) -> dict:

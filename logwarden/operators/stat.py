@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logwarden.operators.quantiles import quantiles
+from logwarden.operators.quantiles import measured, quantiles
 
 FLOOR = 1e-10
 MAD_SCALE = 1.4826
@@ -46,17 +46,14 @@ class Baselines(dict):
 
 def fit_statistical(df: DataFrame, columns: list[str], *, fit_max: bool = False) -> Baselines:
     """Mean, population std, median, scaled MAD, quartiles and IQR per feature, each spread floored."""
-    moments = df.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
-    ).first()
-    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75])
+    also = [f(c).alias(f"{p}_{i}") for p, f in (("mean", F.avg), ("std", F.stddev_pop)) for i, c in enumerate(columns)]
+    quartiles, moments = measured(df, columns, [0.25, 0.5, 0.75], also)
     off = df.select(*[F.abs(F.col(c) - F.lit(quartiles[c][1])).alias(f"d{i}") for i, c in enumerate(columns)])
     deviations = quantiles(off, off.columns, [0.5])
     out = Baselines()
     for i, c in enumerate(columns):
         q1, median, q3 = quartiles[c]
-        out[c] = Baseline(c, moments[f"m{i}"], max(moments[f"s{i}"], FLOOR), median,
+        out[c] = Baseline(c, moments[f"mean_{i}"], max(moments[f"std_{i}"], FLOOR), median,
                           max(deviations[f"d{i}"][0] * MAD_SCALE, FLOOR), q1, q3, max(q3 - q1, FLOOR))
     if fit_max:
         out.max_score = df.agg(F.max(raw_score(out))).first()[0]
@@ -124,12 +121,16 @@ def raw_score(params: Baselines, weights: dict[str, float] | None = None) -> Col
 def score_statistical(df: DataFrame, params: Baselines, weights: dict[str, float] | None = None,
                       name: str = "anomaly_score") -> DataFrame:
     """Combined score divided by its maximum (of this data, or of the fit when stored)."""
-    scored = df.withColumn("_raw", raw_score(params, weights))
     if params.max_score is not None:
-        top = F.lit(params.max_score)
-    else:
-        top = scored.agg(F.max("_raw")).scalar()
-    return scored.withColumn(name, F.col("_raw") / F.greatest(top, F.lit(FLOOR))).drop("_raw")
+        return df.withColumn(name, raw_score(params, weights) / F.lit(max(params.max_score, FLOOR)))
+    return score_together(df, params, {name: weights})
+
+
+def score_together(df: DataFrame, params: Baselines, named: dict[str, dict[str, float] | None]) -> DataFrame:
+    """D06 for several weightings: one pass finds all their maxima."""
+    raw = {name: raw_score(params, weights) for name, weights in named.items()}
+    tops = df.agg(F.struct(*[F.max(c).alias(f"t{i}") for i, c in enumerate(raw.values())])).scalar()
+    return df.withColumns({name: c / F.greatest(tops[f"t{i}"], F.lit(FLOOR)) for i, (name, c) in enumerate(raw.items())})
 
 
 def _shares(parts: list[Column]) -> list[Column]:

@@ -72,9 +72,8 @@ SELECT {ID_SQL}, round(a / greatest(max(a) OVER (), 1e-10), 6) AS anomaly_score,
   round(b / greatest(max(b) OVER (), 1e-10), 6) AS weighted_score FROM c""")
 def combine_methods(spark, sf):
     df, params = _fitted(spark, sf)
-    df = stat.score_statistical(df, params)
     weights = {"zscore": 1.0, "mad": 2.0, "iqr": 1.0, "robust": 0.5}
-    df = stat.score_statistical(df, params, weights, "weighted_score")
+    df = stat.score_together(df, params, {"anomaly_score": None, "weighted_score": weights})
     return df.select(*IDS, R("anomaly_score"), R("weighted_score"))
 
 

@@ -27,6 +27,24 @@ def kfold_score(spark, sf):
     return e.kfold(table(spark, sf, "lineitem"), FEATURES, KEY).select("fold", R("mean_score"), "n")
 
 
+@query("M11_cross_validate", """WITH x AS (SELECT l_quantity AS q, l_extendedprice AS e,
+  CAST('0x' || substr(md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), 1, 8) AS BIGINT) % 3 AS fold FROM lineitem),
+f AS (SELECT DISTINCT fold FROM x),
+p AS (SELECT f.fold, quantile_cont(q, 0.25) AS q1, quantile_cont(q, 0.75) AS q3, quantile_cont(e, 0.25) AS e1, quantile_cont(e, 0.75) AS e3
+  FROM f JOIN x ON x.fold <> f.fold GROUP BY f.fold),
+s AS (SELECT fold, (abs(q - (q1 + q3) / 2) / (q3 - q1) + abs(e - (e1 + e3) / 2) / (e3 - e1)) / 2 AS score FROM x JOIN p USING (fold))
+SELECT fold, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, count(*) AS n FROM s GROUP BY fold""")
+def cross_validate(spark, sf):
+    """A caller's own model: distance from the middle of the quartiles, in quartile ranges."""
+    from logwarden.operators.quantiles import quantiles
+
+    cols = ["l_quantity", "l_extendedprice"]
+    away = lambda c, q: F.abs(F.col(c) - (q[0] + q[1]) / 2) / (q[1] - q[0])
+    out = e.cross_validate(table(spark, sf, "lineitem"), KEY, lambda train: quantiles(train, cols, [0.25, 0.75]),
+                           lambda _, m: sum((away(c, m[c]) for c in cols), F.lit(0.0)) / len(cols), k=3)
+    return out.select("fold", R("mean_score"), R("std_score"), "n")
+
+
 @query("M12_top_anomalies", f"""WITH {DET} SELECT event_id, round(anomaly_score, 6) AS anomaly_score FROM det
 ORDER BY det.anomaly_score DESC, event_id LIMIT 25""")
 def top_anomalies(spark, sf):

@@ -21,6 +21,29 @@ def fit_isolation_forest(spark, sf):
     return spark.createDataFrame(forest.nodes, fo.NODE_SCHEMA).drop("config")
 
 
+@query("M01_forest_facts", """SELECT CAST(t.range AS INT) AS tree, CAST(least(256, (SELECT count(*) FROM lineitem)) AS BIGINT) AS leaf_rows,
+  true AS splits_have_two_children FROM range(100) t""")
+def forest_facts(spark, sf):
+    """Per tree: the rows of its leaves are the sample, and every split has two nodes below it."""
+    forest = fo.fit_iforest(_lines(spark, sf), FEATURES, KEY)
+    nodes = spark.createDataFrame(forest.nodes, fo.NODE_SCHEMA)
+    inner = F.count_if(F.col("split") >= 0)
+    return nodes.groupBy("tree").agg(F.sum(F.when(F.col("split") < 0, F.col("size"))).cast("bigint").alias("leaf_rows"),
+                                     (F.count(F.lit(1)) == 2 * inner + 1).alias("splits_have_two_children"))
+
+
+@query("M02_score_facts", """SELECT count(*) AS n, true AS in_range, 0.05::DOUBLE AS above_half, true AS matches_labels FROM lineitem""")
+def score_facts(spark, sf):
+    """All rows scored, scores within 0 to 1, and the contamination share above one half."""
+    df = _lines(spark, sf)
+    scored = fo.score_iforest(df, fo.fit_iforest(df, FEATURES, KEY, contamination=0.05))
+    labelled = fo.predict_labels(scored, 0.5)
+    over = (F.col("forest_score") > 0.5).cast("double")
+    return labelled.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("forest_score").between(0, 1)).alias("in_range"),
+                        F.round(F.avg(over), 2).alias("above_half"),
+                        F.bool_and((F.col("label") == 1) | (F.col("forest_score") < 0.5)).alias("matches_labels"))
+
+
 @query("M02_score_isolation_forest")
 def score_isolation_forest(spark, sf):
     df = _lines(spark, sf)
@@ -40,6 +63,16 @@ def split_importance(spark, sf):
     return fo.split_importance(spark, fo.fit_iforest(_lines(spark, sf), FEATURES, KEY))
 
 
+@query("M04_importance_facts", """SELECT feature, 1.0::DOUBLE AS total, true AS positive FROM (VALUES ('l_quantity'), ('l_extendedprice'),
+  ('l_discount'), ('l_tax')) AS t(feature)""")
+def importance_facts(spark, sf):
+    """Every feature has a share above 0, and the shares add up to 1."""
+    out = fo.split_importance(spark, fo.fit_iforest(_lines(spark, sf), FEATURES, KEY))
+    share = [c for c in out.columns if c != "feature"][0]
+    total = out.agg(F.round(F.sum(share), 9)).scalar()
+    return out.select("feature", total.alias("total"), (F.col(share) > 0).alias("positive"))
+
+
 @query("M06_iforest_grid")
 def iforest_grid(spark, sf):
     df = _lines(spark, sf).withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
@@ -48,6 +81,49 @@ def iforest_grid(spark, sf):
     return fo.tune_iforest(df, FEATURES, KEY, grid, label="label")
 
 
+@query("M06_grid_facts", """SELECT 16::BIGINT AS configurations, 16::BIGINT AS distinct_configurations, true AS in_range""")
+def grid_facts(spark, sf):
+    """One row per configuration, F1 within 0 to 1."""
+    out = iforest_grid(spark, sf)
+    metric = [c for c, t in out.dtypes if t == "double" and c not in ("contamination", "max_features")][0]
+    rest = [c for c in out.columns if c != metric]
+    return out.agg(F.count(F.lit(1)).alias("configurations"), F.count_distinct(F.to_json(F.struct(*rest))).alias("distinct_configurations"),
+                   F.bool_and(F.col(metric).between(0, 1)).alias("in_range"))
+
+
+@query("M07_loading_facts", """SELECT * FROM (VALUES (0, 0, 1.0::DOUBLE), (0, 1, 0.0::DOUBLE), (1, 0, 0.0::DOUBLE), (1, 1, 1.0::DOUBLE)) AS t(a, b, product)""")
+def loading_facts(spark, sf):
+    """Loadings have unit length and are orthogonal."""
+    table_ = fit_reconstruction(spark, sf)
+    other = table_.select(F.col("component").alias("b"), "feature", F.col("loading").alias("w"))
+    out = table_.withColumnRenamed("component", "a").join(other, "feature").groupBy("a", "b").agg(F.sum(F.col("loading") * F.col("w")).alias("product"))
+    return out.select("a", "b", (F.round("product", 9) + 0.0).alias("product"))
+
+
+@query("M08_error_facts", """SELECT count(*) AS n, true AS in_range FROM lineitem""")
+def error_facts(spark, sf):
+    out = reconstruction_score(spark, sf)
+    return out.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("recon_score").between(0, 1)).alias("in_range"))
+
+
+@query("M09_share_facts", """SELECT l_orderkey, l_linenumber, l_partkey, 4::BIGINT AS features, 1.0::DOUBLE AS total FROM lineitem""")
+def share_facts(spark, sf):
+    """Each row's shares name every feature and add up to 1."""
+    df = _lines(spark, sf)
+    out = recon.explain_reconstruction(df, recon.fit_reconstruction(df, FEATURES, 2))
+    total = F.aggregate(F.map_values("explanation"), F.lit(0.0), lambda s, x: s + x)
+    return out.select(*KEY, F.size("explanation").cast("bigint").alias("features"), F.round(total, 6).alias("total"))
+
+
+@query("M10_full_rank", """SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity, 4) AS l_quantity, round(l_extendedprice, 4) AS l_extendedprice,
+  round(l_discount, 4) AS l_discount, round(l_tax, 4) AS l_tax FROM lineitem""")
+def full_rank(spark, sf):
+    """With as many components as features the input comes back."""
+    df = _lines(spark, sf)
+    out = recon.reconstruct(df, recon.fit_reconstruction(df, FEATURES, len(FEATURES)))
+    return out.select(*KEY, *[(F.round(f"recon_{c}", 4) + 0.0).alias(c) for c in FEATURES])
+
+
 @query("M07_fit_reconstruction")
 def fit_reconstruction(spark, sf):
     """Loadings of the fitted subspace, one row per component and feature."""
@@ -113,3 +189,15 @@ def detect_events(spark, sf):
     return found.join(near, "event_id", "left").select(
         "event_id", R("anomaly_score"), severity("anomaly_score").alias("severity"), "detection_method", R("confidence"),
         F.to_json("explanation").alias("explanation"), F.array_join(F.col("r.related_id").cast("array<string>"), ",").alias("related_events"))
+
+
+@query("M21_event_facts", """SELECT true AS above_threshold, true AS severity_follows_score, true AS at_most_five_related, true AS some_found""")
+def event_facts(spark, sf):
+    """What every detection must satisfy, whatever the forest drew."""
+    out = detect_events(spark, sf)
+    steps = F.when(F.col("anomaly_score") >= 0.95, "critical").when(F.col("anomaly_score") >= 0.85, "high").when(
+        F.col("anomaly_score") >= 0.7, "medium").otherwise("low")
+    return out.agg(F.bool_and(F.col("anomaly_score") > 0.5 - 1e-6).alias("above_threshold"),
+                   F.bool_and(F.col("severity") == steps).alias("severity_follows_score"),
+                   F.bool_and(F.size(F.split("related_events", ",")) <= 5).alias("at_most_five_related"),
+                   (F.count(F.lit(1)) > 0).alias("some_found"))
