@@ -22,7 +22,7 @@ def read_json(spark: SparkSession, path, schema: T.StructType, *, array: bool =
     named = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"))
     spread = named.filter(whole).select("_path").distinct()
     single = json_records(named.join(spread, "_path", "left_anti"), schema, keep_bad)
-    texts = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("_path"))
+    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
     return single.unionByName(json_records(texts.join(spread, "_path", "left_semi"), schema, keep_bad))
 
 

@@ -1,11 +1,16 @@
 """Every registered query against its SQL twin on the small tables; queries without one must give rows."""
 
+import re
+
 import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
 
-QUERIES, SQLS = entry.queries(), entry.oracle_sql()
+# The corpus queries have tests of their own, in tests/llm.
+QUERIES = {n: q for n, q in entry.queries().items() if n != "pipeline" and not re.match(r"op\d+_", n)}
+SQLS = entry.oracle_sql()
+EMPTY_AT_SMALLEST: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +21,8 @@ def con(sf):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(name, spark, sf, con):
     if name in SQLS:
-        assert compare(spark, con, QUERIES[name], SQLS[name], sf) in (None, "no rows")
+        found = compare(spark, con, QUERIES[name], SQLS[name], sf)
+        # Some filters leave nothing at the smallest scale; both sides must agree on that.
+        assert found is None or found == "no rows" and name in EMPTY_AT_SMALLEST
     else:
-        assert QUERIES[name](spark, sf).columns
+        assert not QUERIES[name](spark, sf).isEmpty()
