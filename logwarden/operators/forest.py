@@ -48,6 +48,9 @@ class Forest:
     steps: int
     offset: float = AUTO_OFFSET
     nodes: pd.DataFrame = field(default=None, repr=False)
+    rows: int = 0
+    #: Key and depth score of the training rows, when a contamination share asked for them.
+    trained: DataFrame = field(default=None, repr=False)
 
     def depth_scores(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-E[h] / c) for each row of x."""
@@ -163,12 +166,18 @@ def fit_iforest(df: DataFrame, columns: list[str], key: list[str], *, trees: int
     samples = tree_samples(df, columns, key, trees, size, rows, seed)
     nodes = _build(samples, [{"trees": trees, "sample": size, "max_features": max_features}], len(columns), seed)
     forest = _assemble(nodes, columns, size)
+    forest.rows = rows
     if contamination != "auto":
-        raw = written(spread_small(df.select(*columns), rows).select((-raw_score(forest)).alias("s")))
-        forest.offset = quantiles(raw, ["s"], [float(contamination)])["s"][0]
+        forest.trained = written(spread_small(df.select(*key, *columns), rows).select(*key, (-raw_score(forest)).alias("_s")))
+        forest.offset = quantiles(forest.trained, ["_s"], [float(contamination)])["_s"][0]
     return forest
 
 
+def training_scores(forest: Forest, name: str = "forest_score") -> DataFrame:
+    """M02 for the rows that a forest with a contamination share was fitted on: their scores exist already."""
+    return forest.trained.withColumn(name, (F.lit(1.0) - F.col("_s") + F.lit(forest.offset)) / 2).drop("_s")
+
+
 SMALL_ROWS = 10_000_000
 
 
@@ -182,7 +191,7 @@ def spread_small(df: DataFrame, rows: int) -> DataFrame:
 
 def raw_score(forest: Forest) -> Column:
     """Depth score s in (0, 1] as an Arrow function over the feature columns."""
-    shipped = replace(forest, nodes=None)
+    shipped = replace(forest, nodes=None, trained=None)
 
     @F.pandas_udf(T.DoubleType())
     def run(frame: pd.DataFrame) -> pd.Series:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logwarden.functions.values import ip_bits, masked_bits
 from logwarden.operators.normalize import once
 from logwarden.operators.ordered import arrange
+from logwarden.session import written
 
 
 def related_events(anomalies: DataFrame, events: DataFrame, seconds: float = 300.0, k: int = 5, **how) -> DataFrame:
@@ -24,7 +25,8 @@ def related_events(anomalies: DataFrame, events: DataFrame, seconds: float = 300
                          F.lit(1).alias("_probe"))
     selves = hits.select("timestamp", F.lit(1).alias("_late"), "event_id", F.lit(2).alias("_probe"))
     o = arrange(base.unionByName(starts).unionByName(selves), [], ["timestamp", "_late", "event_id", "_probe"], **how)
-    placed = o.running(_rank=("count", F.when(F.col("_probe") == 0, 1))).done()
+    # Both sides of the join below read the places, so they are written once.
+    placed = written(o.running(_rank=("count", F.when(F.col("_probe") == 0, 1))).done().select("_probe", "_rank", "event_id", "timestamp"))
     wanted = placed.filter("_probe > 0").select(
         F.col("event_id").alias("_hit"),
         F.when(F.col("_probe") == 1, F.col("timestamp") + 2 * seconds).alias("_until"),

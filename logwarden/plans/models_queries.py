@@ -36,19 +36,20 @@ def forest_facts(spark, sf):
 def score_facts(spark, sf):
     """All rows scored, scores within 0 to 1, and the contamination share above one half."""
     df = _lines(spark, sf)
-    scored = fo.score_iforest(df, fo.fit_iforest(df, FEATURES, KEY, contamination=0.05))
-    labelled = fo.predict_labels(scored, 0.5)
+    forest = fo.fit_iforest(df, FEATURES, KEY, contamination=0.05)
+    again = fo.training_scores(forest).withColumnRenamed("forest_score", "kept")
+    labelled = fo.predict_labels(fo.score_iforest(df, forest), 0.5).join(again, KEY)
     over = (F.col("forest_score") > 0.5).cast("double")
-    return labelled.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("forest_score").between(0, 1)).alias("in_range"),
+    return labelled.filter(F.abs(F.col("kept") - F.col("forest_score")) < 1e-12).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("forest_score").between(0, 1)).alias("in_range"),
                         F.round(F.avg(over), 2).alias("above_half"),
                         F.bool_and((F.col("label") == 1) | (F.col("forest_score") < 0.5)).alias("matches_labels"))
 
 
 @query("M02_score_isolation_forest")
 def score_isolation_forest(spark, sf):
+    """The scores of the training rows, kept from the fit."""
     df = _lines(spark, sf)
-    forest = fo.fit_iforest(df, FEATURES, KEY, contamination=0.05)
-    return fo.score_iforest(fo.spread_small(df, df.count()), forest).select(*KEY, R("forest_score"))
+    return fo.training_scores(fo.fit_iforest(df, FEATURES, KEY, contamination=0.05)).select(*KEY, R("forest_score"))
 
 
 @query("M03_label_isolation_forest", """SELECT l_orderkey, l_linenumber, l_partkey,

@@ -59,7 +59,9 @@ def stream_features(sdf: DataFrame, ttl_ms: int = 30 * 86_400_000, delay: str =
     """Per-user features whose state survives batches: pause, count, failure streak, address change, velocities.
 
     State per user is five values and the last 20 times; it goes when the watermark passes the user's last
-    event by ``ttl_ms``. Rows of one user in one batch are ordered by time; ``maxFilesPerTrigger`` bounds the batch.
+    event by ``ttl_ms``. Rows of one user in one batch are ordered by time; ``maxFilesPerTrigger`` bounds the batch. A late
+    row (older than the user's last one, within the watermark) counts as coming right after it: its pause is 0, and the
+    stored last time never goes back.
     """
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -68,7 +70,7 @@ def stream_features(sdf: DataFrame, ttl_ms: int = 30 * 86_400_000, delay: str =
             return
         pdf = pd.concat(list(frames)).sort_values(["timestamp", "event_id"])
         last, seen, streak, address, recent = state.get if state.exists else (None, 0, 0, None, [])
-        t = pdf["timestamp"].to_numpy()
+        t = np.maximum(pdf["timestamp"].to_numpy(), -np.inf if last is None else last)
         times = np.concatenate([np.asarray(recent, dtype=float), t])
         at = np.arange(len(t)) + len(recent)
         before = lambda n: np.where(at >= n, times[np.maximum(at - n, 0)], np.nan)
