@@ -4,12 +4,15 @@ A text becomes the set of its 5-word shingles (64-bit hashes). One hash per shin
 the bin, the smallest value of a bin is its minimum, and an empty bin takes the minimum of the first filled bin in its
 own fixed random order of bins. Bands of four bins are the buckets.
 
-Rows with equal sets form a class first, so copies never meet in a bucket. In a bucket, round 0 pairs every class with
-one centre only. A star alone may lose a link between two classes that are both unlike the centre, so buckets that still
-hold classes of several components go on: round r takes about 16^r randomly chosen centres per bucket and pairs them
-with classes of other components whose signatures agree well enough (at least 77 of 128 bins; a pair with similarity
-0.75 misses that once in 10^5). It ends when no bucket is open, or every class of the open ones has been a centre. All
-candidate pairs are confirmed on their full sets.
+Rows with equal sets form a class first, so copies never meet in a bucket. In a bucket every class is paired with the
+class of the smallest doc_id only: a star, as many pairs as members. Pairs whose signatures agree in at least 77 of 128 bins
+(a pair with similarity 0.75 misses that once in 10^5) are confirmed on their full sets, and links give components.
+
+A star alone may lose a link between two classes that are both unlike the centre. So the classes around a centre that are
+not in its component (the outsiders) are compared with all classes around that centre that are in another component. This
+is done on signatures, in blocks of at most about ``BLOCK`` by ``BLOCK`` classes per group, so neither rows nor tasks grow with
+the square of a group; 1024 bins, made for these classes only, then tell similarities of 0.75 from those that are a little
+lower (700 of 1024 must agree, again five standard deviations below 0.75). What remains is confirmed on full sets.
 
 Edge cases: null or wordless text has no shingles and links to nothing; fewer than five words are one shingle; a null
 doc_id links to nothing and is kept; rows that repeat a doc_id are judged by their own text; an empty table gives an
@@ -19,6 +22,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,7 +31,7 @@ from logwarden.session import written
 
 BINS, BAND, NIBBLES = 128, 4, 8
 LEAST_AGREEMENT = 77
-GROWTH = 16
+WIDE_BINS, LEAST_WIDE, BLOCK = 1024, 700, 512
 #: Ids of at most so many candidate documents (8 bytes each) are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -57,23 +61,38 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, hasher: Hasher, size: int
     return shingles[fresh], seen[ends] - seen[ends - lengths]
 
 
-def probe_order() -> np.ndarray:
+def probe_order(bins: int = BINS) -> np.ndarray:
     """Row i: the bins in the order in which an empty bin i looks for a filled one."""
-    keys = mix(np.arange(BINS * BINS, dtype=U64) * U64(BASE) + ODD[5]).reshape(BINS, BINS)
+    keys = mix(np.arange(bins * bins, dtype=U64) * U64(BASE) + ODD[5]).reshape(bins, bins)
     return keys.argsort(axis=1, kind="stable")
 
 
-def minima(shingles: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+def places_in(order: np.ndarray) -> np.ndarray:
+    """The inverse of a probe order, each bin before all others in its own row."""
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(order))[None, :], axis=1)
+    np.fill_diagonal(place, -1)
+    return place
+
+
+def minima(shingles: np.ndarray, sizes: np.ndarray, order: np.ndarray, place: np.ndarray) -> np.ndarray:
     """One-permutation minima of every set, densified; rows of empty sets are 0."""
+    total = len(order)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    bins = (shingles >> U64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    bins = (shingles >> U64(64 - total.bit_length() + 1)).astype(np.int64)
     first = np.ones(len(shingles), dtype=bool)
     first[1:] = (bins[1:] != bins[:-1]) | (doc[1:] != doc[:-1])
-    out, filled = np.zeros((len(sizes), BINS), dtype=U64), np.zeros((len(sizes), BINS), dtype=bool)
+    out, filled = np.zeros((len(sizes), total), dtype=U64), np.zeros((len(sizes), total), dtype=bool)
     out[doc[first], bins[first]] = shingles[first]
     filled[doc[first], bins[first]] = True
-    d, b = np.nonzero(~filled & (sizes > 0)[:, None])
-    for j in range(BINS):
+    known = filled.sum(axis=1)
+    # Small sets: every bin picks among the few filled ones at once. Large ones: the few empty bins probe on.
+    small = (known > 0) & (known <= total // 8)
+    for i in np.flatnonzero(small):
+        there = np.flatnonzero(filled[i])
+        out[i] = out[i, there[place[:, there].argmin(axis=1)]]
+    d, b = np.nonzero(~filled & ((known > 0) & ~small)[:, None])
+    for j in range(total):
         if not len(d):
             break
         source = order[b, j]
@@ -83,19 +102,25 @@ def minima(shingles: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.nda
     return out
 
 
+def set_digests(shingles: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums per set that do not depend on order."""
+    ends = np.cumsum(sizes)
+    sums = [np.concatenate([[U64(0)], np.cumsum(mix(shingles ^ k))]) for k in ODD[2:4]]
+    return [(s[ends] - s[ends - sizes]).view(np.int64) for s in sums]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, set size, 128-bit digest of the set, band hashes and 4 bits of every minimum."""
 
     def make():
         hasher, order = Hasher(), probe_order()
+        place = places_in(order)
 
         def step(batch):
             for at, to, data, bounds in chunks(batch.column(1)):
                 shingles, sizes = shingle_sets(data, bounds, hasher)
-                ends = np.cumsum(sizes)
-                sums = [np.concatenate([[U64(0)], np.cumsum(mix(shingles ^ k))]) for k in ODD[2:4]]
-                digests = [(s[ends] - s[ends - sizes]).view(np.int64) for s in sums]
-                low = minima(shingles, sizes, order)
+                digests = set_digests(shingles, sizes)
+                low = minima(shingles, sizes, order, place)
                 grouped = low.reshape(len(sizes), BINS // BAND, BAND)
                 bands = mix((grouped * ODD[:BAND]).sum(axis=2, dtype=U64) + np.arange(BINS // BAND, dtype=U64) * ODD[6])
                 bits = (low & U64(15)).reshape(len(sizes), NIBBLES, 16) << (np.arange(16, dtype=U64) * U64(4))
@@ -128,32 +153,44 @@ def promising(a: str, b: str) -> Column:
     return (low * 100 >= high * 75) & (agreeing(f"{a}_bits", f"{b}_bits") >= LEAST_AGREEMENT)
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of classes, those with 100 * intersection >= 75 * union of their full shingle sets."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(
-        classes.select("cid", F.col("rep").alias("doc_id"), "d2"), "cid"))
+def of_classes(wanted: DataFrame, docs: DataFrame, name: str, make_values) -> DataFrame:
+    """(cid, ``name``) of the wanted classes (cid, doc_id, d2), computed from the text of their representative.
+
+    ``make_values()`` gives a function of (shingles, sizes) that returns one bytes object per text.
+    """
     ids = wanted.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if fits(ids, BROADCAST_IDS) else ids, "doc_id", "left_semi")
 
-    def make_sets():
-        hasher = Hasher()
+    def make():
+        hasher, values = Hasher(), make_values()
 
         def step(batch):
             for at, to, data, bounds in chunks(batch.column(1)):
                 shingles, sizes = shingle_sets(data, bounds, hasher)
-                ends = np.cumsum(sizes)
-                sums = [np.concatenate([[U64(0)], np.cumsum(mix(shingles ^ k))]) for k in ODD[2:4]]
-                digests = [pa.array((s[ends] - s[ends - sizes]).view(np.int64)) for s in sums]
-                sets = pa.array([shingles[e - n:e].tobytes() for e, n in zip(ends, sizes)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *digests, sets],
-                                                 names=["doc_id", "cid", "d2", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, to - at), *map(pa.array, set_digests(shingles, sizes)),
+                     pa.array(values(shingles, sizes), pa.binary())], names=["doc_id", "cid", "d2", name])
 
         return step
 
-    sets = map_texts(texts.select("doc_id", F.col("text").cast("binary").alias("text")), make_sets,
-                     "doc_id bigint, cid bigint, d2 bigint, shingles binary")
+    found = map_texts(texts.select("doc_id", F.col("text").cast("binary").alias("text")), make,
+                      f"doc_id bigint, cid bigint, d2 bigint, {name} binary")
     # A representative's id may be repeated with other texts: the digest picks its own set, once.
-    sets = written(sets.join(wanted, ["doc_id", "cid", "d2"], "left_semi").dropDuplicates(["cid"]).select("cid", "shingles"))
+    return written(found.join(wanted, ["doc_id", "cid", "d2"], "left_semi").dropDuplicates(["cid"]).select("cid", name))
+
+
+def representatives(cids: DataFrame, classes: DataFrame) -> DataFrame:
+    return written(cids.distinct().join(classes.select("cid", F.col("rep").alias("doc_id"), "d2"), "cid"))
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of classes, those with 100 * intersection >= 75 * union of their full shingle sets."""
+
+    def whole():
+        return lambda shingles, sizes: [shingles[e - n:e].tobytes() for e, n in zip(np.cumsum(sizes), sizes)]
+
+    wanted = representatives(pairs.select(F.explode(F.array("a", "b")).alias("cid")), classes)
+    sets = of_classes(wanted, docs, "shingles", whole)
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
 
@@ -190,43 +227,79 @@ def components(edges: DataFrame) -> DataFrame:
             met.select("a", F.col("m").alias("b"))).distinct())
 
 
+def around_centres(spokes: DataFrame, state: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes around one centre, in different components, that signatures do not tell apart.
+
+    Every such pair has an outsider: a class in another component than the centre. So blocks of outsiders meet blocks of
+    all classes around the centre; a block holds about ``BLOCK`` classes of either side, whatever the size of the group.
+    """
+    placed = spokes.join(state, F.col("a") == F.col("cid")).drop("cid").join(
+        state.select(F.col("cid").alias("b"), F.col("root").alias("own")), "b").select(
+        F.col("b").alias("centre"), F.col("a").alias("cid"), "root", (F.col("root") != F.col("own")).alias("outside"))
+    groups = placed.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n_all"),
+                                          F.count_if("outside").alias("n_out")).filter("lo <> hi").drop("lo", "hi")
+    members = written(placed.join(groups, "centre"))
+
+    def wide():
+        order = probe_order(WIDE_BINS)
+        place = places_in(order)
+        return lambda shingles, sizes: [row.tobytes() for row in (minima(shingles, sizes, order, place) & U64(255)).astype(np.uint8)]
+
+    marks = of_classes(representatives(members.select("cid"), classes), docs, "wide", wide)
+    members = members.join(classes.select("cid", "n", "bits"), "cid").join(marks, "cid")
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    here = lambda n: F.pmod(F.xxhash64("cid"), parts(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    own = ["centre", "cid", "root", "n", "bits", "wide", "outside"]
+    left = members.filter("outside").select(*own, F.lit(0).alias("side"), here("n_out").alias("i"), all_of("n_all").alias("j"))
+    right = members.select(*own, F.lit(1).alias("side"), here("n_all").alias("j"), all_of("n_out").alias("i"))
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        sides = [block[block.side == k] for k in (0, 1)]
+        cid, root, n, out = ([x[c].to_numpy() for x in sides] for c in ("cid", "root", "n", "outside"))
+        bits, wide_ = ([np.stack(x[c].map(f).to_list()) if len(x) else None for x in sides] for c, f in (
+            ("bits", lambda v: np.asarray(v, dtype=np.int64).view(U64)), ("wide", lambda v: np.frombuffer(v, dtype=np.uint8))))
+        found = []
+        for k in range(len(cid[0]) if len(cid[1]) else 0):
+            # A pair of outsiders is met from both sides; the smaller id asks.
+            ask = (root[1] != root[0][k]) & (~out[1] | (cid[1] > cid[0][k])) & (
+                np.minimum(n[1], n[0][k]) * 100 >= np.maximum(n[1], n[0][k]) * 75)
+            at = np.flatnonzero(ask)
+            x = bits[1][at] ^ bits[0][k]
+            x = (x | x >> U64(1) | x >> U64(2) | x >> U64(3)) & U64(0x1111111111111111)
+            at = at[BINS - np.bitwise_count(x).sum(axis=1, dtype=np.int64) >= LEAST_AGREEMENT]
+            at = at[(wide_[1][at] == wide_[0][k]).sum(axis=1) >= LEAST_WIDE]
+            found.append(np.stack([np.full(len(at), cid[0][k]), cid[1][at]], axis=1))
+        both = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+        return pd.DataFrame({"a": both.max(axis=1), "b": both.min(axis=1)})
+
+    blocks = left.select(*own, "side", "i", "j").unionByName(right.select(*own, "side", "i", "j"))
+    return written(blocks.groupBy("centre", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct())
+
+
 def link(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (smallest reachable doc_id), kept, class_size."""
     rows = written(signatures(docs))
     classes = written(rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("bands").alias("bands"),
         F.first("bits").alias("bits")).withColumnRenamed("d1", "cid"))
-    slots = classes.select(F.explode("bands").alias("band"), "cid")
-    crowded = written(slots.groupBy("band").agg(F.min("cid").alias("centre"), F.count("*").alias("size")).filter("size > 1"))
-    slots = written(slots.join(crowded, "band"))
+    slots = classes.select(F.explode("bands").alias("band"), "cid", "rep")
+    crowded = slots.groupBy("band").agg(F.min_by("cid", "rep").alias("centre"), F.count("*").alias("size")).filter("size > 1")
+    spokes = written(slots.join(crowded.select("band", "centre"), "band").filter("cid <> centre").select(
+        F.col("cid").alias("a"), F.col("centre").alias("b")).distinct())
     side = lambda name: classes.select(F.col("cid").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
-    pairs = slots.filter("cid <> centre").select(F.col("cid").alias("a"), F.col("centre").alias("b")).distinct()
-    pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(promising("a", "b")).select("a", "b"))
-    roots = written(components(confirm(pairs, classes, docs)))
+    pairs = written(spokes.join(side("a"), "a").join(side("b"), "b").filter(promising("a", "b")).select("a", "b"))
+    roots = components(confirm(pairs, classes, docs))
     # Roots of all classes that share a bucket with another one.
-    crowd = slots.select("cid").distinct()
+    crowd = spokes.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     state = written(crowd.join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root")))
-    share = 1
-    while True:
-        placed = slots.join(state, "cid")
-        still_open = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-        members = written(placed.join(still_open, "band").filter(F.col("size") > share).join(
-            classes.select("cid", "n", "bits"), "cid").select("band", "size", "cid", "root", "n", "bits"))
-        if members.isEmpty():
-            break
-        share *= GROWTH
-        draw = F.pmod(F.xxhash64("band", "cid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        named = lambda p: members.select("band", *[F.col(c).alias(f"{p}_{c}") for c in ("cid", "root", "n", "bits")])
-        a = named("a").join(members.filter(draw * F.col("size") < share).select("band", F.col("cid").alias("a_cid")), ["band", "a_cid"])
-        found = a.join(named("b"), "band").filter((F.col("a_root") != F.col("b_root")) & promising("a", "b")).select(
-            F.greatest("a_cid", "b_cid").alias("a"), F.least("a_cid", "b_cid").alias("b")).distinct()
-        pairs = written(found)
-        if not pairs.isEmpty():
-            edges = confirm(pairs, classes, docs)
-            of = lambda c: state.select(F.col("cid").alias(c), F.col("root").alias(f"{c}_root"))
-            merged = components(edges.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-            state = written(state.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select(
-                "cid", F.coalesce("_to", "root").alias("root")))
+    pairs = around_centres(spokes, state, classes, docs)
+    if not pairs.isEmpty():
+        of = lambda c: state.select(F.col("cid").alias(c), F.col("root").alias(f"{c}_root"))
+        edges = confirm(pairs, classes, docs).join(of("a"), "a").join(of("b"), "b")
+        merged = components(edges.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))).distinct()
+        state = state.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select(
+            "cid", F.coalesce("_to", "root").alias("root"))
     reps = classes.select("cid", "d2", "n", "rep", "class_size").join(state, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = reps.groupBy("root").agg(F.min("rep").alias("lowest"))
     known = reps.join(lowest, "root").select(F.col("cid").alias("d1"), "d2", "n", "lowest", "class_size")

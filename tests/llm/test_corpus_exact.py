@@ -66,8 +66,15 @@ def test_probe_order_and_densification():
     order = neardup.probe_order()
     assert (np.sort(order, axis=1) == np.arange(neardup.BINS)).all()
     sets = np.sort(textops.mix(np.arange(9, dtype=np.uint64)))
-    low = neardup.minima(sets, np.array([9, 0]), order)
+    place = neardup.places_in(order)
+    low = neardup.minima(sets, np.array([9, 0]), order, place)
     assert set(low[0]) <= set(sets) and len(set(low[0])) > 4 and (low[1] == 0).all()
+    # Both ways of filling empty bins take the first filled bin of the probe order.
+    many = np.sort(textops.mix(np.arange(100, dtype=np.uint64)))
+    for made in (sets, many):
+        got, bins = neardup.minima(made, np.array([len(made)]), order, place)[0], (made >> np.uint64(57)).astype(int)
+        first = {b: v for b, v in zip(bins[::-1], made[::-1])}
+        assert all(got[b] == first[b if b in first else next(p for p in order[b] if p in first)] for b in range(neardup.BINS))
 
 
 def test_components(spark):
