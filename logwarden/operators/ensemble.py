@@ -103,7 +103,12 @@ def f1_weights(df: DataFrame, models: list[str], label: str = "label", threshold
 def simplex(n: int, step: float) -> list[tuple[float, ...]]:
     """Weight vectors on the unit simplex in steps, in ascending order."""
     parts = round(1 / step)
-    return [tuple(x / parts for x in c) for c in itertools.product(range(parts + 1), repeat=n) if sum(c) == parts]
+    out = []
+    # n - 1 bars among the parts: what lies between two bars is one model's share.
+    for bars in itertools.combinations(range(parts + n - 1), n - 1):
+        edges = (-1, *bars, parts + n - 1)
+        out.append(tuple((b - a - 1) / parts for a, b in zip(edges, edges[1:])))
+    return out
 
 
 def optimize_weights(df: DataFrame, models: list[str], label: str = "label", step: float = 0.1, threshold: float = 0.5
