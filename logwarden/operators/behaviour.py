@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logwarden.operators.ordered import arrange, largest_group, modes
+from logwarden.operators.ordered import arrange, census, largest_group, modes
 from logwarden.session import written
 
 FAILURE_WORDS = ["failure", "failed", "error", "denied"]  # fixed values
@@ -225,16 +225,17 @@ def _chain_starts(rows: DataFrame, key: str, window: float, **how) -> DataFrame:
     return marks.distinct()
 
 
-def behaviour_features(df: DataFrame, ip: str = "source_ip", user: str = "username", action: str = "action", **how
-                       ) -> DataFrame:
+def behaviour_features(df: DataFrame, ip: str = "source_ip", user: str = "username", action: str = "action",
+                       counted: DataFrame | None = None, **how) -> DataFrame:
     """All behavioural columns of the feature frame (W01-W10); velocities and deltas follow the stream.
 
     The stream order goes first, because it writes its slices, then entity order, then the joined totals.
     """
-    sides = {k: {"mode": m, **how} for k, m in modes(df, [ip, user, action]).items()}
+    found, rows = modes(census(df, [ip, user, action]) if counted is None else counted, [ip, user, action])
+    sides = {k: {"mode": m, **how} for k, m in found.items()}
     since = lambda c: F.coalesce(F.col("timestamp") - F.col(c), F.lit(0.0))
     base = df = df.withColumn("is_failure", is_failure())
-    o = arrange(df, [], ORDER, **how).lag(_p1=("timestamp", 1), _p5=("timestamp", 5), _p20=("timestamp", 20))
+    o = arrange(df, [], ORDER, **{"rows": rows, **how}).lag(_p1=("timestamp", 1), _p5=("timestamp", 5), _p20=("timestamp", 20))
     o.derive(event_timestamp_delta=since("_p1"), velocity_5=speed(5, "_p5"), velocity_20=speed(20, "_p20"))
     df = o.done().drop("_p1", "_p5", "_p20")
     o = arrange(df, [ip], ORDER, **sides[ip]).lag(_pt=("timestamp", 1), _pu=(user, 1), _pf=("is_failure", 1))

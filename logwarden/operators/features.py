@@ -7,13 +7,19 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logwarden.operators.behaviour import behaviour_features
-from logwarden.operators.ordered import arrange
+from logwarden.operators.ordered import arrange, census
 from logwarden.operators.quantiles import quantiles
 
 
-def top_values(df: DataFrame, column: str, n: int) -> tuple[list, bool]:
+def counted_values(df: DataFrame, column: str, counted: DataFrame) -> DataFrame:
+    """The column's values and their counts from a ``census``, in the column's own type."""
+    return counted.filter((F.col("k") == column) & F.col("v").isNotNull()).select(
+        F.col("v").cast(df.schema[column].dataType).alias(column), F.col("n").alias("count"))
+
+
+def top_values(df: DataFrame, column: str, n: int, counted: DataFrame | None = None) -> tuple[list, bool]:
     """The ``n`` most frequent values (ties by value) and whether there are more; at most n+1 rows reach the driver."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).count()
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).count() if counted is None else counted_values(df, column, counted)
     rows = counts.orderBy(F.desc("count"), column).limit(n + 1).collect()
     return [r[0] for r in rows[:n]], len(rows) > n
 
@@ -35,9 +41,12 @@ def one_hot(df: DataFrame, column: str, values: list) -> DataFrame:
     return df.withColumns(flags).drop(column)
 
 
-def value_dictionary(df: DataFrame, column: str, name: str = "code", **how) -> DataFrame:
+def value_dictionary(df: DataFrame, column: str, name: str = "code", counted: DataFrame | None = None, **how) -> DataFrame:
     """Distinct values numbered from 0 in value order, without a one-task window."""
-    distinct = df.filter(F.col(column).isNotNull()).select(column).distinct()
+    if counted is None:
+        distinct = df.filter(F.col(column).isNotNull()).select(column).distinct()
+    else:
+        distinct = counted_values(df, column, counted).select(column)
     o = arrange(distinct, [], [column], **how).running(**{name: ("count", F.lit(1))})
     return o.derive(**{name: F.col(name) - 1}).done()
 
@@ -115,9 +124,11 @@ def extract_features(df: DataFrame, *, one_hot_columns: dict[str, int] | None =
     """
     numeric = ["duration"] if numeric is None else numeric
     medians = quantiles(clean_inf(df, numeric), numeric, [0.5]) if numeric else {}
-    tops = {c: top_values(df, c, n) for c, n in (one_hot_columns or {}).items()}
-    codes = {c: value_dictionary(df, c, f"{c}_encoded", **how) for c in label_columns or []}
-    df = behaviour_features(df, **how)
+    # One pass counts the values of every column that is asked for its frequent values, its codes or its hot keys.
+    counted = census(df, ["source_ip", "username", "action", *(one_hot_columns or {}), *(label_columns or [])])
+    tops = {c: top_values(df, c, n, counted) for c, n in (one_hot_columns or {}).items()}
+    codes = {c: value_dictionary(df, c, f"{c}_encoded", counted, **how) for c in label_columns or []}
+    df = behaviour_features(df, counted=counted, **how)
     if numeric:
         df = impute_median(clean_inf(df, numeric), numeric, medians)
     if temporal:

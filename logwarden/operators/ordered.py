@@ -155,12 +155,17 @@ def largest_group(df: DataFrame, key: list[str]) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
-def modes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> dict[str, str]:
-    """Mode per single-column key, checked in one pass over the input: a key without a hot value needs no check of its own."""
-    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in keys])
-    counts = df.select(F.explode(cells).alias("c")).groupBy("c.k", "c.v").count()
-    biggest = {r["k"]: r["m"] for r in counts.groupBy("k").agg(F.max("count").alias("m")).collect()}
-    return {k: "auto" if biggest.get(k, 0) > hot_rows else "plain" for k in keys}
+def census(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(k, v, n): rows per value (as text) of each column, from one pass; written, so several questions share it."""
+    cells = F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in dict.fromkeys(columns)])
+    return written(df.select(F.explode(cells).alias("c")).groupBy("c.k", "c.v").agg(F.count(F.lit(1)).alias("n")))
+
+
+def modes(counted: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[dict[str, str], int]:
+    """Mode per key of a ``census``, and the rows counted: a key without a hot value needs no check of its own."""
+    found = {r["k"]: r for r in counted.groupBy("k").agg(F.max("n").alias("m"), F.sum("n").alias("rows")).collect()}
+    rows = max((r["rows"] for r in found.values()), default=0)
+    return {k: "auto" if k in found and found[k]["m"] > hot_rows else "plain" for k in keys}, rows
 
 
 def slice_count(rows: int, partitions: int) -> int:
@@ -199,8 +204,8 @@ class Parted:
 
 
 def arrange(df: DataFrame, key: list[str], order: list[str], *, mode: str = "auto",
-            hot_rows: int = HOT_ROWS, slices: int | None = None) -> Ordered | Parted:
-    """Put rows in (key, order) order; ``order`` must end in a unique id.
+            hot_rows: int = HOT_ROWS, slices: int | None = None, rows: int | None = None) -> Ordered | Parted:
+    """Put rows in (key, order) order; ``order`` must end in a unique id. ``rows`` spares a count when it is known.
 
     ``auto`` counts the rows per key: without a hot key plain windows do; otherwise only the rows of hot keys are sliced.
     ``plain`` and ``sliced`` force one way for all rows.
@@ -219,7 +224,7 @@ def arrange(df: DataFrame, key: list[str], order: list[str], *, mode: str = "aut
         return Parted([_sliced(df.join(hot, same, "left_semi"), key, order, slices, total), cold])
     if mode in ("auto", "plain") and key:
         return Ordered(df, key, order, None)
-    return _sliced(df, key, order, slices, None)
+    return _sliced(df, key, order, slices, rows)
 
 
 def _sliced(df: DataFrame, key: list[str], order: list[str], slices: int | None, rows: int | None) -> Ordered:
