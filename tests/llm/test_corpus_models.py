@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_brute as brute
 import corpus_pipeline
-from logwarden.llm import decontam, langid, toxicity
+from logwarden.llm import langid, mixing, toxicity
 from logwarden.llm.textops import NON_WORD, SPACES, Hasher, Words
 
 BIG = "/root/testdata/sf0.01"
@@ -155,7 +155,7 @@ def test_pipeline_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in start.collect()]
     assert ids(kept) == sorted(d for d, _, hit, _ in brute.leaks(rows, items) if not hit)
     start, kept = seen[3]
-    taken = {r.doc_id: r.copies for r in __import__("logwarden.llm.mixing", fromlist=["x"]).mixture(start).collect()}
+    taken = {r.doc_id: r.copies for r in mixing.mixture(start).collect()}
     assert ids(kept) == sorted(d for d, n in taken.items() for _ in range(n))
     start, kept = seen[4]
     assert ids(kept) == ids(start)
