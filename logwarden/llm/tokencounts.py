@@ -18,7 +18,6 @@ from collections.abc import Mapping
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logwarden.llm.decontam import word_count as letter_words
 from logwarden.llm.mixing import word_count as spaced_words
 from logwarden.session import scratch_path, written
 
@@ -29,6 +28,11 @@ VERSIONS = ("spaces-1", "letters-1", "bytes4-1")
 MARKS = r"[%$&*#!|]+"
 
 
+def letter_words(text: Column) -> Column:
+    """Words of letters, digits and other alphabets."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("bigint")
+
+
 def counters(text: Column) -> dict[str, Column]:
     """Token counts of a text by tokenizer version."""
     size = F.coalesce(F.octet_length(text), F.lit(0))
