@@ -19,10 +19,21 @@ REC = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user
 REC_SQL = "event_id, username, source_ip, action, duration"
 
 
+#: Ids per file of ``_write_arrays``.
+PAGE = 2_000
+
+
 def _rec(spark, sf):
     return events(spark, sf).select(*COLS)
 
 
+def _write_arrays(df, path):
+    """Files that each hold one array over several lines, a record a line, the first behind the bracket."""
+    pages = df.groupBy(F.expr(f"event_id div {PAGE}").alias("page")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*COLS))), ",\n"), F.lit("]")).alias("value"))
+    pages.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 @query("S01_scan_json", f"""WITH {EV} SELECT event_id, username, source_ip, action, CASE WHEN event_id % 20 <> 1 THEN duration END AS duration
   FROM ev WHERE event_id % 20 <> 0""")
 def scan_json(spark, sf):
@@ -39,12 +50,14 @@ def scan_json(spark, sf):
 
 @query("S01_scan_json_array", f"WITH {EV} SELECT {REC_SQL} FROM ev")
 def scan_json_array(spark, sf):
-    """Lines that each hold a JSON array; a page of 50 ids per array."""
+    """Even pages are files that hold one array over several lines, odd ones are lines that each hold an array of 50 ids."""
     path = scratch_path(spark)
-    pages = _rec(spark, sf).groupBy(F.expr("event_id div 50").alias("page")).agg(
+    df, even = _rec(spark, sf), F.col("event_id") % (2 * PAGE) < PAGE
+    _write_arrays(df.filter(even), f"{path}/spread")
+    pages = df.filter(~even).groupBy(F.expr("event_id div 50").alias("page")).agg(
         F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*COLS))), ","), F.lit("]")).alias("value"))
-    pages.select("value").write.text(path)
-    return files.read_json(spark, path, REC, array=True)
+    pages.select("value").write.text(f"{path}/lines")
+    return files.read_json(spark, [f"{path}/spread", f"{path}/lines"], REC)
 
 
 @query("S02_scan_csv", f"WITH {EV} SELECT {REC_SQL} FROM ev")
@@ -132,13 +145,14 @@ def union_files(spark, sf):
 @query("S08_read_many", f"""WITH {EV} SELECT event_id, username, source_ip, action, duration, NULL::VARCHAR AS message_raw FROM ev WHERE event_id % 3 < 2
   UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'line ' || event_id FROM ev WHERE event_id % 3 = 2""")
 def read_many(spark, sf):
-    """JSON lines, a CSV and text lines, and a path that does not exist."""
+    """JSON lines, JSON arrays over several lines, a CSV and text lines, and a path that does not exist."""
     paths = {k: scratch_path(spark) for k in ("json", "csv", "syslog")}
     df, k = _rec(spark, sf), F.col("event_id") % 3
-    df.filter(k == 0).write.json(paths["json"])
+    df.filter((k == 0) & (F.col("event_id") % 2 == 0)).write.json(paths["json"] + "/lines")
+    _write_arrays(df.filter((k == 0) & (F.col("event_id") % 2 == 1)), paths["json"] + "/spread")
     df.filter(k == 1).select(*reversed(COLS)).write.option("header", True).csv(paths["csv"])
     df.filter(k == 2).select(F.concat(F.lit("line "), F.col("event_id").cast("string")).alias("value")).write.text(paths["syslog"])
-    return files.read_many(spark, {"json": [paths["json"], paths["json"] + "-gone"], "csv": [paths["csv"]], "syslog": [paths["syslog"]]}, REC)
+    return files.read_many(spark, {"json": [paths["json"] + "/lines", paths["json"] + "/spread", paths["json"] + "-gone"], "csv": [paths["csv"]], "syslog": [paths["syslog"]]}, REC)
 
 
 def _pages(spark, sf):

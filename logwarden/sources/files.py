@@ -9,31 +9,51 @@ from logwarden.session import written
 CORRUPT = "_corrupt"
 
 
-def read_json(spark: SparkSession, path, schema: T.StructType, *, array: bool = False, keep_bad: bool = False) -> DataFrame:
-    """JSON lines, or lines that each hold a JSON array; text that is no JSON is dropped, or kept in ``_corrupt``.
+def read_json(spark: SparkSession, path, schema: T.StructType, *, array: bool = True, keep_bad: bool = False) -> DataFrame:
+    """JSON lines, lines that each hold a JSON array, or one array over several lines, decided per file.
 
-    A field of another type than the schema's becomes null and its record stays. With ``array`` a file may also be one
-    array over several lines: files whose lines do not parse by themselves are read whole, the others are split.
+    Text that is no JSON is dropped, or kept in ``_corrupt``. A field of another type than the schema's becomes null and its
+    record stays. A file is read whole, by one task, when its first non-blank line opens an array and is no JSON by itself;
+    if the whole is not one array either, its lines count. ``array=False`` saves that look at the lines where no such files are.
     """
     lines = spark.read.text(path)
-    if not array:
+    spread = spread_arrays(spark, path) if array else []
+    if not spread:
         return json_records(lines, schema, keep_bad)
-    whole = F.col("value").rlike(r"^\s*\[\s*$")
-    named = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"))
-    spread = named.filter(whole).select("_path").distinct()
-    single = json_records(named.join(spread, "_path", "left_anti"), schema, keep_bad)
-    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
-    return single.unionByName(json_records(texts.join(spread, "_path", "left_semi"), schema, keep_bad))
+    # Spark leaves out files by such a filter before it opens them.
+    inside = F.col("_metadata.file_path").isin(spread)
+    text = F.col("value")
+    one = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    parts = F.when(one, F.array(text)).otherwise(F.split(text, r"\r\n|\r|\n"))
+    whole = spark.read.text(path, wholetext=True).filter(inside).select(F.explode(parts).alias("value"))
+    return json_records(lines.filter(~inside).select("value").unionByName(whole), schema, keep_bad)
+
+
+def spread_arrays(spark: SparkSession, path) -> list[str]:
+    """Paths of the files whose first non-blank line opens an array and is no JSON by itself."""
+    text, at = F.col("value"), F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"),
+                                         F.col("_metadata.file_block_start").alias("block"), at.alias("at"))
+    opens = text.rlike(r"^\s*\[") & F.try_parse_json(text).isNull()
+    blocks = lines.filter(text.rlike(r"\S")).groupBy("path", "block").agg(
+        F.min("at").alias("first"), F.min(F.when(opens, F.col("at"))).alias("opened"))
+    found = blocks.groupBy("path").agg(F.min_by(F.col("first").eqNullSafe(F.col("opened")), "block").alias("spread"))
+    return [r.path for r in found.filter("spread").select("path").collect()]
+
+
+# Fixed value: bytes that ``try_parse_json`` takes.
+VARIANT_BYTES = 128 << 20
 
 
 def json_records(lines: DataFrame, schema: T.StructType, keep_bad: bool = False, column: str = "value") -> DataFrame:
     """The records of JSON texts (objects or arrays of objects), one row each."""
     text = F.col(column)
-    object_ = F.ltrim(text).startswith("{")
-    parsed = F.try_parse_json(text)
+    object_ = text.rlike(r"^\s*\{")
     # One array type for both shapes: an object is an array of one.
     listed = F.when(object_, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
-    rows = F.when(parsed.isNotNull() & F.ltrim(text).rlike(r"^[\[{]"), F.from_json(listed, T.ArrayType(schema)))
+    parsed = F.when(F.octet_length(text) < VARIANT_BYTES, F.try_parse_json(text).isNotNull()).otherwise(
+        F.json_array_length(listed).isNotNull())
+    rows = F.when(parsed & text.rlike(r"^\s*[\[{]"), F.from_json(listed, T.ArrayType(schema)))
     cut = lines.filter(F.trim(text) != "").select(text.alias(CORRUPT), rows.alias("_rows"))
     good = cut.filter("_rows is not null").select(F.explode("_rows").alias("_r")).filter("_r is not null").select("_r.*")
     if not keep_bad:

@@ -33,6 +33,23 @@ def test_json_arrays_over_lines(spark, tmp_path):
     assert rows(files.read_json(spark, str(tmp_path), REC, array=True)) == [("v", 5), ("w", 4), ("x", 1), ("y", 2), ("z", 3)]
 
 
+ARRAYS = {"behind.json": '[{"a":"x","n":1},\n{"a":"y","n":2},\n{"a":"z","n":3}]', "blank.json": '\n \t\n[ {"a":"u","n":4}\n,{"a":"v","n":5} ]\n',
+          "a b+%.json": '[\n  {\n    "a": "p",\n    "n": 6\n  },\n  {\n    "a": "q",\n    "n": 7\n  }\n]\n',
+          "lines.json": '{"a":"l","n":8}\n[{"a":"m","n":9},\n{"a":"k","n":10}\n',
+          "cut.json": '[{"a":"lost","n":\n[{"a":"r","n":11}]\r\n{"a":"s","n":12}\n', "two.json": '[{"a":"c","n":\n13}]\n[{"a":"d","n":14}]\n'}
+RECORDS = [("d", 14), ("k", 10), ("l", 8), ("p", 6), ("q", 7), ("r", 11), ("s", 12), ("u", 4), ("v", 5), ("x", 1), ("y", 2), ("z", 3)]
+
+
+def test_json_arrays_over_lines_in_every_layout(spark, tmp_path):
+    for name, text in ARRAYS.items():
+        (tmp_path / name).write_bytes(text.encode())
+    assert rows(files.read_json(spark, str(tmp_path), REC, array=True)) == RECORDS
+    assert rows(files.read_json(spark, str(tmp_path), REC)) == RECORDS
+    assert rows(files.read_many(spark, {"json": [str(tmp_path)]}, REC)) == RECORDS
+    kept = files.read_json(spark, str(tmp_path), REC, keep_bad=True).filter("_corrupt is not null")
+    assert sorted(r._corrupt for r in kept.collect()) == ['13}]', '[{"a":"c","n":', '[{"a":"lost","n":', '[{"a":"m","n":9},']
+
+
 def test_csv_by_header(spark, tmp_path):
     (tmp_path / "x.csv").write_text("n,b,a\n1,q,k\nbad,q,l\n")
     assert rows(files.read_csv(spark, str(tmp_path), REC)) == [("k", 1), ("l", None)]
