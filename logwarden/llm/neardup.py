@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logwarden.llm.textops import BASE, ODD, SPACES, U64, Hasher, Words, binary_parts, chunks, fits, lists, map_texts, mix
+from logwarden.llm.textops import BASE, ODD, SPACES, U64, Hasher, Words, binary_parts, chunks, fits, lists, map_texts, mix, text_hash
 from logwarden.session import written
 
 BINS, BAND, NIBBLES = 128, 4, 8
@@ -110,14 +110,14 @@ def set_digests(shingles: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, set size, 128-bit digest of the set, band hashes and 4 bits of every minimum."""
+    """Per row: doc_id, text hash, set size, 128-bit digest of the set, band hashes and 4 bits of every minimum."""
 
     def make():
         hasher, order = Hasher(), probe_order()
         place = places_in(order)
 
         def step(batch):
-            for at, to, data, bounds in chunks(batch.column(1)):
+            for at, to, data, bounds in chunks(batch.column(2)):
                 shingles, sizes = shingle_sets(data, bounds, hasher)
                 digests = set_digests(shingles, sizes)
                 low = minima(shingles, sizes, order, place)
@@ -127,13 +127,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 packed = np.bitwise_or.reduce(bits, axis=2)
                 full = lambda m: lists(m.view(np.int64).ravel(), np.full(len(m), m.shape[1]), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array(sizes, pa.int64()), *map(pa.array, digests), full(bands),
-                     full(packed)], names=["doc_id", "n", "d1", "d2", "bands", "bits"])
+                    [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(sizes, pa.int64()),
+                     *map(pa.array, digests), full(bands), full(packed)], names=["doc_id", "_mark", "n", "d1", "d2", "bands", "bits"])
 
         return step
 
-    return map_texts(docs.select("doc_id", F.col("text").cast("binary").alias("text")), make,
-                     "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, bits array<bigint>")
+    return map_texts(docs.select("doc_id", text_hash(F.col("text")).alias("_mark"), F.col("text").cast("binary").alias("text")), make,
+                     "doc_id bigint, _mark bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, bits array<bigint>")
 
 
 def agreeing(a: str, b: str) -> Column:
@@ -279,6 +279,11 @@ def around_centres(spokes: DataFrame, state: DataFrame, classes: DataFrame, docs
 
 def link(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (smallest reachable doc_id), kept, class_size."""
+    return judged(docs).drop("_mark")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """``link`` with the hash of each row's text, for ids that are repeated with other texts."""
     rows = written(signatures(docs))
     classes = written(rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("bands").alias("bands"),
@@ -303,21 +308,19 @@ def link(docs: DataFrame) -> DataFrame:
     reps = classes.select("cid", "d2", "n", "rep", "class_size").join(state, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = reps.groupBy("root").agg(F.min("rep").alias("lowest"))
     known = reps.join(lowest, "root").select(F.col("cid").alias("d1"), "d2", "n", "lowest", "class_size")
-    out = rows.select("doc_id", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left")
+    out = rows.select("doc_id", "_mark", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+    return out.select("doc_id", "_mark", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
                       F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that are near copies of one with a smaller id; repeated equal rows stay once."""
-    columns = docs.columns
-    dropped = link(docs).filter("not kept").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*columns)
-    mark = F.xxhash64("doc_id", "text")
-    again = written(kept.filter("doc_id is not null").groupBy("doc_id", mark.alias("_mark")).count().filter("count > 1").drop("count"))
-    marked = kept.withColumn("_mark", mark)
-    single = marked.join(again, ["doc_id", "_mark"], "left_anti")
-    repeated = marked.join(again, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
+    columns, key = docs.columns, ["doc_id", "_mark"]
+    dropped = judged(docs).filter("not kept").select(*key).distinct()
+    kept = docs.withColumn("_mark", text_hash(F.col("text"))).join(dropped, key, "left_anti")
+    again = written(kept.filter("doc_id is not null").groupBy(*key).count().filter("count > 1").drop("count"))
+    single = kept.join(again, key, "left_anti")
+    repeated = kept.join(again, key, "left_semi").dropDuplicates(key)
     return single.unionByName(repeated).select(*columns)

@@ -60,6 +60,18 @@ def test_keep_one(messy):
     assert kept.filter("doc_id is null").count() == 2
 
 
+def test_keep_one_judges_rows_of_a_repeated_id_by_their_text(spark):
+    """Id 5 has a copy of id 1 and a text of its own, which stands for id 6."""
+    import random
+
+    rng = random.Random(11)
+    shared, own, other = (sentence(rng, 40) for _ in range(3))
+    rows = [(1, shared), (5, shared + " end"), (5, own), (5, own), (6, own + " end"), (7, other), (None, shared)]
+    kept = neardup.keep_one(spark.createDataFrame([(t, d) for d, t in rows], "text string, doc_id bigint"))
+    assert kept.columns == ["text", "doc_id"]
+    assert bag((r.doc_id, r.text) for r in kept.collect()) == bag([(1, shared), (5, own), (7, other), (None, shared)])
+
+
 def test_probe_order_and_densification():
     import numpy as np
 
