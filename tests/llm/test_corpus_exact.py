@@ -72,6 +72,47 @@ def test_keep_one_judges_rows_of_a_repeated_id_by_their_text(spark):
     assert bag((r.doc_id, r.text) for r in kept.collect()) == bag([(1, shared), (5, own), (7, other), (None, shared)])
 
 
+def short_pairs(bins):
+    """Pairs of texts of 7 and 8 words, alike by 3 of 4 shingles, and how many of their minima agree."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(bins)
+    long = [sentence(rng, 8) for _ in range(3000)]
+    order, hasher = neardup.probe_order(bins), textops.Hasher()
+    place, low = neardup.places_in(order), []
+    for texts in ([t.rsplit(" ", 1)[0] for t in long], long):
+        column = pa.array([t.encode() for t in texts], pa.binary())
+        parts = [neardup.shingle_sets(data, bounds, hasher) for _, _, data, bounds in textops.chunks(column)]
+        low.append(np.concatenate([neardup.minima(*p, order, place) for p in parts]))
+    return [(t.rsplit(" ", 1)[0], t) for t in long], [m & np.uint64(15 if bins == neardup.BINS else 255) for m in low]
+
+
+def test_near_duplicates_of_headline_size(spark):
+    pairs, (x, y) = short_pairs(neardup.BINS)
+    far = [p for p, n in zip(pairs, (x == y).sum(axis=1)) if n < neardup.LEAST_AGREEMENT]
+    assert far
+    rows = [(2 * i + k, t) for i, p in enumerate(far) for k, t in enumerate(p)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert bag(neardup.link(df).select("doc_id", "n_shingles", "component_id").collect()) == bag(brute.near(rows))
+
+
+def test_outsiders_of_headline_size(spark):
+    """Both texts of each pair lie around one centre that is unlike them."""
+    pairs, (x, y) = short_pairs(neardup.WIDE_BINS)
+    far = [p for p, n in zip(pairs, (x == y).sum(axis=1)) if n < neardup.LEAST_WIDE]
+    assert far
+    docs = spark.createDataFrame([(0, "a text that is like no other one")] + [(2 * i + k + 1, t) for i, p in enumerate(far) for k, t in enumerate(p)],
+                                 "doc_id bigint, text string")
+    classes = neardup.signatures(docs).select(F.col("d1").alias("cid"), "d2", "n", F.col("doc_id").alias("rep"), "bits").cache()
+    ids = {r.rep: r.cid for r in classes.collect()}
+    spokes = spark.createDataFrame([(c, ids[0]) for d, c in ids.items() if d], "a bigint, b bigint")
+    got = neardup.around_centres(spokes, classes.select("cid", F.col("cid").alias("root")), classes, docs)
+    assert bag(got.collect()) == bag((max(p), min(p)) for p in ((ids[2 * i + 1], ids[2 * i + 2]) for i in range(len(far))))
+
+
 def test_probe_order_and_densification():
     import numpy as np
 
