@@ -11,7 +11,8 @@ digest.
 The best row of a digest is the one with the most code points, then the smallest doc_id (null last). A deletion that takes
 away the best row while others live leaves the best row open (null) until ``resolve`` is run on the live rows.
 
-Edge cases: null text counts as empty, and all wordless texts are equal; repeated rows are rows; an empty batch leaves the
+Edge cases: null text counts as empty, and all wordless texts are equal; rows that repeat the winning doc_id with its length are all
+marked kept, so rows repeated exactly all stay (the SQL twin's rule); an empty batch leaves the
 index as it is; extra columns are not read.
 """
 
