@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logwarden.llm import (decontam, exactdedup, langid, linededup, mixing, neardup, sharding, tokencounts, toxicity,
-                           urlfilter)
+from logwarden.llm import (decontam, exactdedup, filteraudit, hardneg, langid, linededup, mixing, neardup, ngramjoin, sharding,
+                           tokencounts, toxicity, urlfilter)
 from logwarden.llm.textops import fold
 from logwarden.plans.registry import query
 
@@ -72,3 +72,18 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.apply_bitmaps(docs, linededup.bitmaps(docs))
     return kept.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op11_filter_audit", filteraudit.SQL)
+def op11(spark, sf_dir):
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_ngram_jaccard_join", ngramjoin.SQL)
+def op12(spark, sf_dir):
+    return ngramjoin.link(table(spark, sf_dir, "documents")).drop("class_size")
+
+
+@query("op13_hard_negatives", hardneg.SQL)
+def op13(spark, sf_dir):
+    return hardneg.mine(table(spark, sf_dir, "embeddings"))

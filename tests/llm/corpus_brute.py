@@ -17,14 +17,14 @@ def letters(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
 
 
-def shingles(text):
+def shingles(text, size=5):
     w = spaced(text)
-    return {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    return {tuple(w[i:i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set()
 
 
-def near(rows):
+def near(rows, size=5, least=75):
     """(doc_id, n_shingles, component_id) per row; rows are (doc_id, text)."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, size) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -38,7 +38,7 @@ def near(rows):
             continue
         common = collections.Counter(j for x in s for j in held[x])
         for j, n in common.items():
-            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= least * (len(s) + len(sets[j]) - n):
                 root[find(i)] = find(j)
         for x in s:
             held[x].append(i)
@@ -123,3 +123,11 @@ def sizes(rows):
 
 def crc_fold(doc):
     return 0 if doc is None else zlib.crc32(str(doc).encode()) % 4
+
+
+def failed(text):
+    """The failed filters A to D."""
+    text = text or ""
+    words = [w for w in re.split(SPACE, text) if w]
+    return "".join(f for f, bad in (("A", len(words) < 200), ("B", 100 * len(set(words)) < 50 * len(words)),
+                                    ("C", 100 * len(re.findall("[A-Z]", text)) > 2 * len(text)), ("D", re.search("[#$%&*|]", text))) if bad)
