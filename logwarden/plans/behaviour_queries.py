@@ -159,7 +159,7 @@ def rate_limit_violations(spark, sf):
     return df.select("username", F.unix_seconds("window_start").alias("window_start"), "events")
 
 
-@query("W14_rate_limit_anchored", f"""WITH RECURSIVE {EV}, st AS (
+ANCHORED_SQL = f"""WITH RECURSIVE {EV}, st AS (
   SELECT username, min("timestamp") AS s FROM ev GROUP BY username
   UNION ALL
   SELECT st.username, min(e."timestamp") FROM st JOIN ev e ON e.username = st.username AND e."timestamp" > st.s + 86400
@@ -168,7 +168,10 @@ r AS (SELECT e.event_id, e."timestamp", e.username, (SELECT max(s) FROM st WHERE
   FROM ev e),
 n AS (SELECT *, row_number() OVER (PARTITION BY username, w ORDER BY "timestamp", event_id) AS requests FROM r)
 SELECT event_id, round(w, 6) AS window_start, requests, requests > 3 AS limited,
-  CASE WHEN requests > 3 THEN CAST(trunc(86400 - ("timestamp" - w)) AS BIGINT) END AS retry_after FROM n""")
+  CASE WHEN requests > 3 THEN CAST(trunc(86400 - ("timestamp" - w)) AS BIGINT) END AS retry_after FROM n"""
+
+
+@query("W14_rate_limit_anchored", ANCHORED_SQL)
 def rate_limit_anchored(spark, sf):
     df = b.rate_limit(events(spark, sf), "username", 3, 86400)
     return df.select("event_id", R("window_start"), "requests", "limited", "retry_after")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logwarden.schemas import EVENT_SCHEMA
+from logwarden.session import scratch_path
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -32,6 +33,17 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return event_frame(raw)
 
 
+def event_batches(spark: SparkSession, sf: str, parts: int = 3) -> DataFrame:
+    """The event frame as a stream of several batches, one after the other in time."""
+    raw, path = table(spark, sf, "events"), scratch_path(spark)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = raw.agg(F.min(at), F.max(at)).first()
+    step = (high - low) // parts + 1
+    for k in range(parts):
+        raw.filter((at >= low + k * step) & (at < low + (k + 1) * step)).coalesce(1).write.mode("append").parquet(path)
+    return event_frame(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
 def event_frame(raw: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     return raw.select(

@@ -10,6 +10,7 @@ from logwarden.plans.bindings import EV, INC, LINES, events, incidents, lines, t
 from logwarden.plans.registry import query
 from logwarden.session import scratch_path
 from logwarden.sources import files, incremental as inc_, payloads as p, sinks
+from logwarden.sources.tables import UpsertTable
 
 at = datetime.datetime
 COLS = ["event_id", "username", "source_ip", "action", "duration"]
@@ -243,6 +244,28 @@ def sink_upsert(spark, sf):
     return sinks.delete_ids(stored, stored.filter("id % 11 = 0"), "id")
 
 
+@query("S16_upsert_table", f"""WITH {INC}, ch AS (SELECT c_custkey * 15 AS id, CASE WHEN c_nationkey % 2 = 0 THEN 'closed' END AS status,
+  'C' || c_custkey AS title FROM customer),
+m AS (SELECT coalesce(inc.id, ch.id) AS id, coalesce(ch.status, inc.status) AS status, coalesce(ch.title, inc.title) AS title,
+  inc.severity, coalesce(inc.created_at, TIMESTAMP '2002-01-01') AS created_at FROM inc FULL JOIN ch ON inc.id = ch.id)
+SELECT id, CASE WHEN id % 13 = 0 THEN 'reopened' ELSE status END AS status, CASE WHEN id % 13 = 0 THEN 'last of 2' ELSE title END AS title,
+  severity, created_at FROM m WHERE id % 11 <> 0""")
+def upsert_table(spark, sf):
+    """Bulk load, partial update, deletion, two changes of one id in a batch, and that batch once more, read back from storage."""
+    target = incidents(spark, sf).select("id", "status", "title", "severity", "created_at")
+    store = UpsertTable(spark, scratch_path(spark), "id", target.schema, buckets=8)
+    store.merge(target, writer="load", batch=0)
+    changes = table(spark, sf, "customer").selectExpr(
+        "c_custkey * 15 AS id", "CASE WHEN c_nationkey % 2 = 0 THEN 'closed' END AS status", "concat('C', c_custkey) AS title")
+    store.merge(changes, writer="load", batch=1, defaults={"created_at": at(2002, 1, 1)})
+    store.delete(store.read().filter("id % 11 = 0"), writer="load", batch=2)
+    twice = store.read().filter("id % 13 = 0").select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    twice = twice.select("id", F.when(F.col("k") == 1, "reopened").alias("status"), F.concat(F.lit("last of "), F.col("k")).alias("title"), "k")
+    store.merge(twice, writer="load", batch=3, order="k")
+    store.merge(changes, writer="load", batch=1)
+    return store.read()
+
+
 @query("S17_sink_results", f"""WITH {EV} SELECT strftime(ts, '%Y-%m-%d') AS event_date, count(*) AS n, round(sum(duration), 4) AS total FROM ev GROUP BY 1""")
 def sink_results(spark, sf):
     path = scratch_path(spark)

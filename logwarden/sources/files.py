@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from logwarden.session import written
+from logwarden.sources import jsonarrays, ranges
 
 CORRUPT = "_corrupt"
 
@@ -13,20 +14,40 @@ def read_json(spark: SparkSession, path, schema: T.StructType, *, array: bool =
     """JSON lines, lines that each hold a JSON array, or one array over several lines, decided per file.
 
     Text that is no JSON is dropped, or kept in ``_corrupt``. A field of another type than the schema's becomes null and its
-    record stays. A file is read whole, by one task, when its first non-blank line opens an array and is no JSON by itself;
-    if the whole is not one array either, its lines count. ``array=False`` saves that look at the lines where no such files are.
+    record stays. A file whose first non-blank line opens an array and is no JSON by itself is read in blocks by many tasks
+    (``jsonarrays``); if it is not one array, its lines count. Only the heads of files decide that. Gzip files with such an array, and
+    files in stores that tasks cannot open by themselves, are read whole, by one task each. ``array=False`` spares the look.
     """
     lines = spark.read.text(path)
-    spread = spread_arrays(spark, path) if array else []
-    if not spread:
+    if not array:
         return json_records(lines, schema, keep_bad)
-    # Spark leaves out files by such a filter before it opens them.
-    inside = F.col("_metadata.file_path").isin(spread)
-    text = F.col("value")
-    one = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    parts = F.when(one, F.array(text)).otherwise(F.split(text, r"\r\n|\r|\n"))
-    whole = spark.read.text(path, wholetext=True).filter(inside).select(F.explode(parts).alias("value"))
-    return json_records(lines.filter(~inside).select("value").unionByName(whole), schema, keep_bad)
+    if not ranges.reachable(path):
+        packed, blocks = spread_arrays(spark, path), None
+    else:
+        line = F.regexp_extract(F.col("head").cast("string"), r"^\s*([^\r\n]*)", 1)
+        opens = line.startswith("[") & F.try_parse_json(line).isNull()
+        found = written(ranges.heads(spark, path).filter(opens).drop("head"))
+        zipped = F.col("path").endswith(".gz")
+        packed = [r.name for r in found.filter(zipped).collect()]
+        blocks = found.filter(~zipped)
+    if not packed and (blocks is None or blocks.isEmpty()):
+        return json_records(lines, schema, keep_bad)
+    texts = lines.select("value", F.col("_metadata.file_path").alias("_name"))
+    if packed:
+        # Spark leaves out files by such a filter before it opens them.
+        inside = F.col("_metadata.file_path").isin(packed)
+        text = F.col("value")
+        one = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+        parts = F.when(one, F.array(text)).otherwise(F.split(text, r"\r\n|\r|\n"))
+        whole = spark.read.text(path, wholetext=True).filter(inside).select(F.explode(parts).alias("value"))
+        texts = texts.filter(~F.col("_name").isin(packed)).unionByName(whole.withColumn("_name", F.lit("")))
+    if blocks is not None:
+        cut = jsonarrays.array_blocks(blocks).filter("whole")
+        texts = texts.join(blocks.join(cut.select("path").distinct(), "path").select(F.col("name").alias("_name")), "_name", "left_anti")
+        # Elements that are no objects are no records.
+        one = jsonarrays.elements(cut).filter(F.col("value").startswith("{"))
+        texts = texts.select("value").unionByName(one)
+    return json_records(texts.select("value"), schema, keep_bad)
 
 
 def spread_arrays(spark: SparkSession, path) -> list[str]:
@@ -136,12 +157,11 @@ def classify_files(lines: DataFrame, path: str = "source_file", number: str = "l
     return out.select(path, F.coalesce(format_of_ending(F.col(path)), F.col("_guess")).alias("format"))
 
 
-def numbered_heads(spark: SparkSession, paths) -> DataFrame:
-    """Lines of the first block of every file with an increasing number, for ``classify_files``."""
-    df = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    return df.filter("file_block_start = 0").select(
-        F.col("file_path").alias("source_file"), F.monotonically_increasing_id().alias("line_no"),
-        F.col("value").alias("message"))
+def numbered_heads(spark: SparkSession, paths, lines: int = 5) -> DataFrame:
+    """The first lines of every file with their number, for ``classify_files``; only the heads of files are read."""
+    found = ranges.heads(spark, paths).select(F.col("name").alias("source_file"), F.posexplode(F.slice(
+        F.split(F.col("head").cast("string"), r"\r\n|\r|\n"), 1, lines)).alias("line_no", "message"))
+    return found.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def read_log_dir(spark: SparkSession, path: str, pattern: str = "*.log", recursive: bool = False,
@@ -175,35 +195,30 @@ POSITIONS = "source_file string, position bigint"
 def tail_log_dir(spark: SparkSession, path: str, positions: DataFrame | None, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
     """Lines added since the stored positions, and the new positions (source_file, position in bytes).
 
-    A file that is now shorter than its position was truncated and is read from its start. Only complete lines count: a
-    last line without its newline waits for the next call. The caller stores the positions once the lines are safe
-    (``written``), so a poll that fails is simply repeated.
+    Only the bytes behind the positions are read, in ranges of bounded length. A file that is now shorter than its position was
+    truncated and is read from its start. Only complete lines count: a last line without its newline waits for the next call.
+    The caller stores the positions once the lines are safe (``written``), so a poll that fails is simply repeated. As a
+    stream, the source ``log_tail`` does the same.
     """
     if positions is None:
         positions = spark.createDataFrame([], POSITIONS)
-    reader = spark.read.option("pathGlobFilter", pattern)
-    sizes = reader.format("binaryFile").load(path).select(F.col("path").alias("source_file"), F.col("length").alias("size"))
+    sizes = ranges.listing(spark, path, pattern).select(F.col("path").alias("source_file"), "size")
     known = sizes.join(positions, "source_file", "left").select(
         "source_file", "size", F.when(F.col("position") <= F.col("size"), F.col("position")).otherwise(F.lit(0)).alias("position"))
     known = written(known.select("source_file", "size", F.coalesce("position", F.lit(0)).cast("bigint").alias("position")))
-    # Byte place of a line: the lines of earlier blocks of its file, then those before it in its block (a block is one task).
-    text = reader.option("lineSep", "\n").text(path).select(
-        F.col("value").alias("message"), F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
-        (F.octet_length("value") + 1).cast("bigint").alias("bytes"))
-    text = text.join(known.filter("size > position"), "source_file")
-    blocks = text.groupBy("source_file", "block").agg(F.sum("bytes").alias("_sum"))
-    before = F.sum("_sum").over(Window.partitionBy("source_file").orderBy("block")) - F.col("_sum")
-    inner = F.sum("bytes").over(Window.partitionBy("source_file", "block").orderBy("at"))
-    placed = text.withColumn("_inner", inner).join(blocks.select("source_file", "block", before.alias("_before")), ["source_file", "block"])
-    placed = placed.withColumn("end", F.col("_before") + F.col("_inner"))
-    fresh = written(placed.filter((F.col("end") <= F.col("size")) & (F.col("end") - F.col("bytes") >= F.col("position"))).select(
-        "source_file", "message", "end"))
+    fresh = written(ranges.read_lines(ranges.ranges(known.withColumnRenamed("source_file", "path"))))
     reached = fresh.groupBy("source_file").agg(F.max("end").alias("end"))
     moved = known.join(reached, "source_file", "left").select("source_file", F.coalesce("end", "position").alias("position"))
     return fresh.filter(F.trim("message") != "").select("source_file", "message"), moved
 
 
+def tail_stream(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """S07 as a stream: each batch reads the bytes that were added, a truncated file from its start."""
+    spark.dataSource.register(ranges.LogTail)
+    df = spark.readStream.format("log_tail").option("path", path).option("pattern", pattern).load()
+    return df.filter(F.trim("message") != "").select("source_file", "message")
+
+
 def union_files(parts: list[DataFrame]) -> DataFrame:
     """Frames of several formats under one schema; missing columns become null."""
     out = parts[0]
@@ -212,11 +227,31 @@ def union_files(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def there(spark: SparkSession, path: str) -> str | None:
+    """Why a path cannot be read, or None; a look at the store, no job."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+        return None if found is not None and len(found) else f"path does not exist: {path}"
+    except Exception as e:
+        return str(e).splitlines()[0]
+
+
+def csv_layouts(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """The CSV files of the paths, grouped by their header line."""
+    if not ranges.reachable(paths):
+        return [[p] for p in paths]
+    head = F.regexp_extract(F.col("head").cast("string"), r"^([^\r\n]*)", 1)
+    found = ranges.heads(spark, paths).filter("size > 0").groupBy(head.alias("header")).agg(F.collect_list("path").alias("paths"))
+    # One name per file reaches the driver, as Spark's own listing does.
+    return [r.paths for r in found.collect()]
+
+
 def read_many(spark: SparkSession, by_format: dict[str, list[str]], schema: T.StructType, skipped: list | None = None) -> DataFrame:
     """Files of several formats under one schema, one scan per format or CSV header; missing columns become null.
 
-    A path that cannot be opened is left out and, with its reason, added to ``skipped``; broken records inside a file are
-    dropped by its reader. CSV headers are read per path, as their column order may differ.
+    A path that does not exist is left out and, with the reason, added to ``skipped``; broken records inside a file are
+    dropped by its reader. CSV files are grouped by their header, as their column order may differ.
     """
     readers = {"json": lambda p: read_json(spark, p, schema), "csv": lambda p: read_csv(spark, p, schema),
                "syslog": lambda p: read_text(spark, p), "windows_event": lambda p: read_windows_xml(spark, p)}
@@ -224,16 +259,10 @@ def read_many(spark: SparkSession, by_format: dict[str, list[str]], schema: T.St
     for fmt, paths in by_format.items():
         if fmt not in readers:
             raise ValueError(f"unknown format {fmt}")
-        good = []
-        for path in paths:
-            try:
-                spark.read.text(path).limit(1).collect()
-                good.append(path)
-            except Exception as e:
-                if skipped is not None:
-                    skipped.append((path, str(e).splitlines()[0]))
-        if fmt == "csv":
-            parts += [readers[fmt](path) for path in good]
-        elif good:
-            parts.append(readers[fmt](good))
+        reasons = {path: there(spark, path) for path in paths}
+        if skipped is not None:
+            skipped += [(path, why) for path, why in reasons.items() if why]
+        good = [path for path, why in reasons.items() if not why]
+        groups = [good] if fmt != "csv" else csv_layouts(spark, good) if good else []
+        parts += [readers[fmt](group) for group in groups if group]
     return union_files(parts) if parts else spark.createDataFrame([], schema)

@@ -18,8 +18,8 @@ def test_features_over_batches_with_hot_user_and_late_rows(spark, tmp_path):
     sdf = spark.readStream.schema("event_id bigint, username string, t bigint, status string, source_ip string").option(
         "maxFilesPerTrigger", 1).json(str(source))
     sdf = sdf.selectExpr("event_id", "username", "timestamp_seconds(t) AS ts", "cast(t AS double) AS timestamp", "status", "source_ip")
-    streams.run_available(streams.stream_features(sdf), str(tmp_path / "out"), str(tmp_path / "ck"))
-    got = {r.event_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    streams.run_features(sdf, str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = {r.event_id: r for r in streams.features(spark, str(tmp_path / "out")).collect()}
     assert len(got) == 301
     state: dict = {}
     for r in rows[:200]:
