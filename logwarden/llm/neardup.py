@@ -9,23 +9,20 @@ class of the smallest doc_id only: a star, as many pairs as members. Pairs whose
 (five standard deviations below similarity 0.75) are confirmed on their full sets, and links give components.
 
 A set of few shingles fills few bins, and its signature strays further: of 40,000 simulated pairs with 3 shared of 4 shingles
-95 fell below 77 of 128, of 4,000 such pairs 18 below the 700 of 1024 used below. So pairs whose smaller set has fewer than
-``FEW`` shingles skip both cut-offs and are judged by their full sets. What can still be lost are pairs that share no bucket:
-5 of the 40,000 pairs with 3 of 4, none of 40,000 with 6 of 8 or with 4 of 5; and larger sets near similarity 0.75 by the
-cut-offs: 6 of 40,000 pairs that share 30 of 35 and 35 shingles, 2 with 32 of 42, 3 with 36 of 48 (77 of 128; by 700 of 1024
-none of 4,000 each).
+95 fell below 77 of 128. So pairs whose smaller set has fewer than ``FEW`` shingles skip the cut-off and are judged by their full
+sets. What can still be lost are pairs that share no bucket: 5 of the 40,000 pairs with 3 of 4, none of 40,000 with 6 of 8 or
+with 4 of 5; and larger sets near similarity 0.75 by the cut-off: 6 of 40,000 pairs that share 30 of 35 and 35 shingles, 2 with
+32 of 42, 3 with 36 of 48.
 
 A star alone may lose a link between two classes that are both unlike the centre. So the classes around a centre that are
-not in its component (the outsiders) are compared with all classes around that centre that are in another component. This
-is done on signatures, in blocks of at most about ``BLOCK`` by ``BLOCK`` classes per group, so no task grows with a group. Rows do
-grow, with outsiders times members: n_out * n_all / 256 copies of over 1 KB each, and as many comparisons times 256. By that
-formula, not measured, 100,000 classes all unlike their centre make about 4e7 rows, and a million make 4e9. 1024 bins, made for these classes only, then tell similarities of 0.75 from those that are a little
-lower (700 of 1024 must agree, again five standard deviations below 0.75). Small sets travel whole beside their signature and
-are compared exactly in the block. What remains is confirmed on full sets.
+not in its component (the outsiders) are compared with all classes around that centre that are in another component, in blocks
+of at most about ``BLOCK`` by ``BLOCK`` classes per group, so no task grows with a group. Pairs that the 128 bins do not tell apart
+are judged by their full sets inside the block, and only a spanning forest leaves it, never pairs. The rows that are
+dealt to blocks still grow with outsiders times members: n_out * n_all / 256 copies of a set.
 
 Edge cases: null or wordless text has no shingles and links to nothing; fewer than five words are one shingle; a null
-doc_id links to nothing and is kept; rows that repeat a doc_id are judged by their own text; an empty table gives an
-empty result; other columns are not read.
+doc_id links to nothing and is kept; rows that repeat a doc_id are judged by their own text; very long texts count whole; an
+empty table gives an empty result; other columns are not read, and ``keep_one`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -40,7 +37,7 @@ from logwarden.session import written
 
 BINS, BAND, NIBBLES = 128, 4, 8
 LEAST_AGREEMENT = 77
-WIDE_BINS, LEAST_WIDE, BLOCK = 1024, 700, 512
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Pairs whose smaller set has fewer shingles are not judged by signatures; the larger one can have a third more.
 FEW = 32
 #: Ids of at most so many candidate documents (8 bytes each) are broadcast to fetch their texts; more are joined by shuffle.
@@ -190,18 +187,20 @@ def of_classes(wanted: DataFrame, docs: DataFrame, name: str, make_values) -> Da
     return written(found.join(wanted, ["doc_id", "cid", "d2"], "left_semi").dropDuplicates(["cid"]).select("cid", name))
 
 
-def representatives(cids: DataFrame, classes: DataFrame) -> DataFrame:
-    return written(cids.distinct().join(classes.select("cid", F.col("rep").alias("doc_id"), "d2"), "cid"))
+def full_sets(cids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, shingles) of the classes named: their sorted shingle hashes, one after the other."""
+
+    def whole():
+        return lambda shingles, sizes: [shingles[e - n:e].tobytes() for e, n in zip(np.cumsum(sizes), sizes)]
+
+    wanted = written(cids.distinct().join(classes.select("cid", F.col("rep").alias("doc_id"), "d2"), "cid"))
+    return of_classes(wanted, docs, "shingles", whole)
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of classes, those with 100 * intersection >= 75 * union of their full shingle sets."""
 
-    def whole():
-        return lambda shingles, sizes: [shingles[e - n:e].tobytes() for e, n in zip(np.cumsum(sizes), sizes)]
-
-    wanted = representatives(pairs.select(F.explode(F.array("a", "b")).alias("cid")), classes)
-    sets = of_classes(wanted, docs, "shingles", whole)
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")), classes, docs)
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
 
@@ -238,7 +237,7 @@ def components(edges: DataFrame) -> DataFrame:
             met.select("a", F.col("m").alias("b"))).distinct())
 
 
-def similar_few(asked: np.ndarray, values: np.ndarray, owners: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def similar_sets(asked: np.ndarray, values: np.ndarray, owners: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Which sets have 100 * intersection >= 75 * union with ``asked``; ``values`` are their sorted shingles with their ``owners``."""
     lo, hi = np.searchsorted(values, asked, "left"), np.searchsorted(values, asked, "right")
     at = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
@@ -247,65 +246,56 @@ def similar_few(asked: np.ndarray, values: np.ndarray, owners: np.ndarray, sizes
 
 
 def around_centres(spokes: DataFrame, state: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes around one centre, in different components, that signatures do not tell apart.
+    """Links (a, b) between classes around one centre that are in different components: a spanning forest per block.
 
     Every such pair has an outsider: a class in another component than the centre. So blocks of outsiders meet blocks of
-    all classes around the centre; a block holds about ``BLOCK`` classes of either side, whatever the size of the group.
+    all classes around the centre; a block holds about ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles of either side, whatever
+    the size of the group. Inside a block, pairs are judged by their full sets, and one link per merged pair of components
+    leaves it: at most one less than it has classes, however many pairs are alike.
     """
     placed = spokes.join(state, F.col("a") == F.col("cid")).drop("cid").join(
         state.select(F.col("cid").alias("b"), F.col("root").alias("own")), "b").select(
-        F.col("b").alias("centre"), F.col("a").alias("cid"), "root", (F.col("root") != F.col("own")).alias("outside"))
-    groups = placed.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n_all"),
-                                          F.count_if("outside").alias("n_out")).filter("lo <> hi").drop("lo", "hi")
+        F.col("b").alias("centre"), F.col("a").alias("cid"), "root", (F.col("root") != F.col("own")).alias("outside")).join(
+        classes.select("cid", "n", "bits"), "cid")
+    parts = lambda chosen: F.ceil(F.greatest(F.count_if(chosen) / BLOCK, F.sum(F.when(chosen, F.col("n"))) / BLOCK_SHINGLES)).cast("int")
+    groups = placed.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), parts(F.lit(True)).alias("p_all"),
+                                          parts(F.col("outside")).alias("p_out")).filter("lo <> hi").drop("lo", "hi")
     members = written(placed.join(groups, "centre"))
-
-    def wide():
-        order = probe_order(WIDE_BINS)
-        place = places_in(order)
-
-        def values(shingles, sizes):
-            low = (minima(shingles, sizes, order, place) & U64(255)).astype(np.uint8)
-            # Behind the signature: the set itself where a pair with a small one can be alike.
-            return [row.tobytes() + (shingles[e - n:e].tobytes() if 75 * n < 100 * FEW else b"")
-                    for row, e, n in zip(low, np.cumsum(sizes), sizes)]
-
-        return values
-
-    marks = of_classes(representatives(members.select("cid"), classes), docs, "wide", wide)
-    members = members.join(classes.select("cid", "n", "bits"), "cid").join(marks, "cid")
-    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    here = lambda n: F.pmod(F.xxhash64("cid"), parts(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-    own = ["centre", "cid", "root", "n", "bits", "wide", "outside"]
-    left = members.filter("outside").select(*own, F.lit(0).alias("side"), here("n_out").alias("i"), all_of("n_all").alias("j"))
-    right = members.select(*own, F.lit(1).alias("side"), here("n_all").alias("j"), all_of("n_out").alias("i"))
+    sets = full_sets(members.select("cid"), classes, docs)
+    members = members.join(sets, "cid")
+    here = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ["centre", "cid", "root", "n", "bits", "shingles", "outside"]
+    left = members.filter("outside").select(*own, F.lit(0).alias("side"), here("p_out").alias("i"), all_of("p_all").alias("j"))
+    right = members.select(*own, F.lit(1).alias("side"), here("p_all").alias("j"), all_of("p_out").alias("i"))
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         sides = [block[block.side == k] for k in (0, 1)]
-        cid, root, n, out = ([x[c].to_numpy() for x in sides] for c in ("cid", "root", "n", "outside"))
-        bits, wide_ = ([np.stack(x[c].map(f).to_list()) if len(x) else None for x in sides] for c, f in (
-            ("bits", lambda v: np.asarray(v, dtype=np.int64).view(U64)),
-            ("wide", lambda v: np.frombuffer(v, dtype=np.uint8, count=WIDE_BINS))))
-        few = [[np.frombuffer(v, dtype=U64, offset=WIDE_BINS) for v in x.wide] for x in sides]
-        values = np.concatenate([np.zeros(0, dtype=U64), *few[1]])
-        owners = np.repeat(np.arange(len(few[1])), np.array([len(v) for v in few[1]], dtype=np.int64))
-        order = values.argsort(kind="stable")
-        values, owners = values[order], owners[order]
-        found = []
+        cid, root, n, out = ([x[c].to_numpy().copy() for x in sides] for c in ("cid", "root", "n", "outside"))
+        links = []
+        if len(cid[0]) and len(cid[1]):
+            bits = [np.stack([np.asarray(v, dtype=np.int64).view(U64) for v in x.bits]) for x in sides]
+            sets = [[np.frombuffer(v, dtype=U64) for v in x.shingles] for x in sides]
+            values, owners = np.concatenate(sets[1]), np.repeat(np.arange(len(n[1])), n[1])
+            order = values.argsort(kind="stable")
+            values, owners = values[order], owners[order]
         for k in range(len(cid[0]) if len(cid[1]) else 0):
             # A pair of outsiders is met from both sides; the smaller id asks.
             ask = (root[1] != root[0][k]) & (~out[1] | (cid[1] > cid[0][k])) & (
                 np.minimum(n[1], n[0][k]) * 100 >= np.maximum(n[1], n[0][k]) * 75)
-            small = np.minimum(n[1], n[0][k]) < FEW
-            at = np.flatnonzero(ask & ~small)
+            at = np.flatnonzero(ask & (np.minimum(n[1], n[0][k]) >= FEW))
             x = bits[1][at] ^ bits[0][k]
             x = (x | x >> U64(1) | x >> U64(2) | x >> U64(3)) & U64(0x1111111111111111)
-            at = at[BINS - np.bitwise_count(x).sum(axis=1, dtype=np.int64) >= LEAST_AGREEMENT]
-            at = at[(wide_[1][at] == wide_[0][k]).sum(axis=1) >= LEAST_WIDE]
-            if (ask & small).any():
-                at = np.append(at, np.flatnonzero(ask & small & similar_few(few[0][k], values, owners, n[1])))
-            found.append(np.stack([np.full(len(at), cid[0][k]), cid[1][at]], axis=1))
-        both = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+            ask[at] = BINS - np.bitwise_count(x).sum(axis=1, dtype=np.int64) >= LEAST_AGREEMENT
+            if not ask.any():
+                continue
+            for j in np.flatnonzero(ask & similar_sets(sets[0][k], values, owners, n[1])):
+                old, new = root[1][j], root[0][k]
+                if old != new:
+                    links.append((cid[0][k], cid[1][j]))
+                    for r in root:
+                        r[r == old] = new
+        both = np.array(links, dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": both.max(axis=1), "b": both.min(axis=1)})
 
     blocks = left.select(*own, "side", "i", "j").unionByName(right.select(*own, "side", "i", "j"))
@@ -333,10 +323,10 @@ def judged(docs: DataFrame) -> DataFrame:
     # Roots of all classes that share a bucket with another one.
     crowd = spokes.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     state = written(crowd.join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root")))
-    pairs = around_centres(spokes, state, classes, docs)
-    if not pairs.isEmpty():
+    links = around_centres(spokes, state, classes, docs)
+    if not links.isEmpty():
         of = lambda c: state.select(F.col("cid").alias(c), F.col("root").alias(f"{c}_root"))
-        edges = confirm(pairs, classes, docs).join(of("a"), "a").join(of("b"), "b")
+        edges = links.join(of("a"), "a").join(of("b"), "b")
         merged = components(edges.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))).distinct()
         state = state.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select(
             "cid", F.coalesce("_to", "root").alias("root"))
@@ -352,10 +342,12 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that are near copies of one with a smaller id; repeated equal rows stay once."""
-    columns, key = docs.columns, ["doc_id", "_mark"]
-    dropped = judged(docs).filter("not kept").select(*key).distinct()
-    kept = docs.withColumn("_mark", text_hash(F.col("text"))).join(dropped, key, "left_anti")
-    again = written(kept.filter("doc_id is not null").groupBy(*key).count().filter("count > 1").drop("count"))
+    key = ["_id", "_mark"]
+    dropped = judged(docs).filter("not kept").select(F.col("doc_id").alias("_id"), "_mark").distinct()
+    # The row travels as one struct, so no column of the caller's can clash with the key.
+    rows = docs.select(F.col("doc_id").alias("_id"), text_hash(F.col("text")).alias("_mark"), F.struct("*").alias("_row"))
+    kept = rows.join(dropped, key, "left_anti")
+    again = written(kept.filter("_id is not null").groupBy(*key).count().filter("count > 1").drop("count"))
     single = kept.join(again, key, "left_anti")
     repeated = kept.join(again, key, "left_semi").dropDuplicates(key)
-    return single.unionByName(repeated).select(*columns)
+    return single.unionByName(repeated).select("_row.*")

@@ -101,8 +101,9 @@ def test_near_duplicates_of_headline_size(spark):
 
 def test_outsiders_of_headline_size(spark):
     """Both texts of each pair lie around one centre that is unlike them."""
-    pairs, (x, y) = short_pairs(neardup.WIDE_BINS)
-    far = [p for p, n in zip(pairs, (x == y).sum(axis=1)) if n < neardup.LEAST_WIDE]
+    # Pairs that 1024 bins, read as five deviations below 0.75, would lose.
+    pairs, (x, y) = short_pairs(1024)
+    far = [p for p, n in zip(pairs, (x == y).sum(axis=1)) if n < 700]
     assert far
     docs = spark.createDataFrame([(0, "a text that is like no other one")] + [(2 * i + k + 1, t) for i, p in enumerate(far) for k, t in enumerate(p)],
                                  "doc_id bigint, text string")
@@ -113,6 +114,39 @@ def test_outsiders_of_headline_size(spark):
     assert bag(got.collect()) == bag((max(p), min(p)) for p in ((ids[2 * i + 1], ids[2 * i + 2]) for i in range(len(far))))
 
 
+def around_threshold(k):
+    """Texts of 60 words, one or two of them changed: similarities lie around 0.75, so many are unlike the smallest id."""
+    import random
+
+    rng = random.Random(k)
+    base = sentence(rng, 60).split()
+    rows = []
+    for i in range(k):
+        t = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2])):
+            t[at] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("k", [1000, 2000, 4000])
+def test_pairs_around_a_centre_grow_with_its_classes(spark, monkeypatch, k):
+    """What leaves the blocks is a spanning forest: never more links than classes."""
+    seen, links = [], neardup.around_centres
+    monkeypatch.setattr(neardup, "around_centres", lambda *a: seen.append(links(*a)) or seen[-1])
+    rows = around_threshold(k)
+    got = neardup.link(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert seen[0].count() < 2 * k
+    if k == 1000:
+        assert bag(got) == bag(brute.near(rows))
+
+
+def test_keep_one_leaves_columns_of_the_caller(spark):
+    rows = [(1, "a b c d e f", "keepme", 7), (2, "a b c d e f", "gone", 8)]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, _mark string, _id int"))
+    assert kept.columns == ["doc_id", "text", "_mark", "_id"] and bag(kept.collect()) == bag(rows[:1])
+
+
 def test_probe_order_and_densification():
     import numpy as np
 
