@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logwarden.operators.ordered import arrange
 from logwarden.operators.quantiles import quantiles
+from logwarden.session import written
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -93,8 +94,9 @@ def pr_curve(df: DataFrame, score: str = "score", label: str = "label", **how) -
     """
     cells = df.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    cells = cells.withColumn("_down", -F.col("threshold"))
-    o = arrange(cells, [], ["_down"], **how)
+    # Written once: the count, the slices and the totals read the cells, not the rows.
+    cells = written(cells.withColumn("_down", -F.col("threshold")))
+    o = arrange(cells, [], ["_down"], **{"rows": cells.count(), **how})
     totals = o.df.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")).scalar()
     curve = o.running(tp=("sum", F.col("pos")), fp=("sum", F.col("neg"))).done()
     return curve.select(

@@ -101,15 +101,16 @@ def tree_samples(df: DataFrame, columns: list[str], key: list[str], trees: int,
                  ) -> DataFrame:
     """(tree, place, columns): the ``sample`` rows with the smallest hash per tree; ``key`` must be unique.
 
-    A first hash of the key draws a pool of about ``POOL`` rows (all rows of a smaller table); then every tree hashes the
-    pool anew. So one scheme serves all sizes, and a few more rows change only a few members of the pool. About 4 x sample
-    rows per tree reach the shuffle.
+    A first hash of the key draws a pool of about ``POOL`` rows, or eight samples if that is more (all rows of a smaller table);
+    then every tree hashes the pool anew. So one scheme serves all sizes, and a few more rows change only a few members of the
+    pool. About 4 x sample rows per tree reach the shuffle.
     """
+    most = max(POOL, 8 * sample)
     hashed = lambda *salt: F.xxhash64(*salt, *key).bitwiseAND(HASH_RANGE - 1) / float(HASH_RANGE)
     base = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], *key)
-    pool = base.filter(hashed(F.lit(seed)) < min(1.0, POOL / rows))
+    pool = base.filter(hashed(F.lit(seed)) < min(1.0, most / rows))
     drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    share = 4.0 * sample / min(rows, POOL)
+    share = 4.0 * sample / min(rows, most)
     drawn = drawn.withColumn("_h", hashed(F.lit(seed + 1), F.col("tree"))).filter(F.col("_h") < min(share, 1.0))
     w = Window.partitionBy("tree").orderBy("_h", *key)
     placed = drawn.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= sample)

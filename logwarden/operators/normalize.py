@@ -370,8 +370,13 @@ def cef_pairs(ext: Column) -> Column:
     """Extension pairs as a map under their standard names; escapes undone, the last duplicate wins."""
     # One regex pass cuts the pairs; a key has no '=', so the first one ends it. The match's last white space is no value.
     cut = F.regexp_extract_all(ext, F.lit(CEF_PAIR), 0)
-    halves = F.transform(cut, lambda p: F.split(F.regexp_replace(p, r"\s$", ""), "=", 2))
-    raw = F.map_from_arrays(F.transform(halves, lambda h: h[0]), F.transform(halves, lambda h: h[1]))
+    keys = F.transform(cut, lambda p: F.substring_index(p, "=", 1))
+
+    def value(p: Column, k: Column) -> Column:
+        end = F.ascii(F.substring(p, -1, 1)).isin(9, 10, 11, 12, 13, 32).cast("int")
+        return F.substring(p, F.length(k) + 2, F.length(p) - F.length(k) - 1 - end)
+
+    raw = F.map_from_arrays(keys, F.zip_with(cut, keys, value))
     plain = F.transform_values(raw, lambda _, x: F.replace(F.replace(F.replace(
         x, F.lit("\\="), F.lit("=")), F.lit("\\\\"), F.lit("\\")), F.lit("\\|"), F.lit("|")))
     return F.transform_keys(plain, lambda k, _: F.coalesce(v.labels(CEF_NAMES, k), k))

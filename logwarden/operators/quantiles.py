@@ -1,10 +1,11 @@
 """Exact percentiles (linear interpolation) of wide columns.
 
-Small inputs use Spark's ``percentile``, which keeps every distinct value in one buffer. Beyond
-``BUILTIN_ROWS`` the order statistics are found by distributed selection: each pass counts values in
-equal-width bins of the bracket that holds the wanted rank, and the bracket shrinks to that bin; once the open
-brackets hold few rows, their distinct values are counted directly. A pass shuffles at most bins x targets
-rows per task, whatever the data size or skew.
+Small inputs use Spark's ``percentile``, which keeps every distinct value in one buffer. Beyond ``BUILTIN_ROWS`` the first
+pass builds a mergeable rank sketch per column (``percentile_approx``, rank error at most n / ``ACCURACY``), which gives a bracket
+of values around every wanted rank. The second pass counts exactly: rows between the brackets, and inside them the
+values themselves when few rows are expected there, else equal-width bins, of which a third pass counts the one that holds the rank.
+So two or three passes do at any size; a rank that its bracket missed, or a bin still full, is narrowed further. Ranks
+come from counts only, so the sketch decides about speed, never about values. A pass shuffles at most bins x targets rows per task.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, Row, functions as F
 BUILTIN_ROWS = 100_000
 BINS = 4096
 DIRECT_ROWS = 50_000
+#: Rank error of the sketch is n / ACCURACY; a bracket reaches MARGIN (a share of n) to either side.
+ACCURACY, MARGIN = 10_000, 2e-4
 
 
 def quantiles(df: DataFrame, columns: list[str], qs: list[float], *, builtin_rows: int = BUILTIN_ROWS
@@ -29,7 +32,9 @@ def measured(df: DataFrame, columns: list[str], qs: list[float], also: list, *,
     """``quantiles``, and a row with the aggregates ``also`` taken in the pass that measures the ranges."""
     x = lambda c: F.col(c).cast("double")
     finite = lambda c: (F.abs(x(c)) < math.inf) & ~F.isnan(x(c))
+    near = [p for q in qs for p in (max(0.0, q - MARGIN), min(1.0, q + MARGIN))]
     stats = df.agg(
+        *[F.percentile_approx(F.when(finite(c), x(c)), near, ACCURACY).alias(f"near{i}") for i, c in enumerate(columns) if qs],
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
         *[F.count_if(x(c) == -math.inf).alias(f"low{i}") for i, c in enumerate(columns)],
         *[F.count_if(finite(c)).alias(f"mid{i}") for i, c in enumerate(columns)],
@@ -47,11 +52,14 @@ def measured(df: DataFrame, columns: list[str], qs: list[float], also: list, *,
     ranks: dict[tuple[int, int], dict] = {}
     for i in range(len(columns)):
         n = stats[f"n{i}"]
-        for q in qs if n else []:
+        for k, q in enumerate(qs if n else []):
             at = q * (n - 1)
             for r in {math.floor(at) - stats[f"low{i}"], math.ceil(at) - stats[f"low{i}"]}:
                 if 0 <= r < stats[f"mid{i}"]:
-                    ranks[i, r] = {"lo": stats[f"lo{i}"], "hi": stats[f"hi{i}"], "below": 0}
+                    # With infinite values the sketch of the finite ones is asked for other ranks: the count tells.
+                    lo, hi = stats[f"near{i}"][2 * k:2 * k + 2]
+                    ranks[i, r] = {"lo": lo, "hi": hi, "below": None, "ends": (stats[f"lo{i}"], stats[f"hi{i}"]),
+                                   "n": 2 * (MARGIN + 1 / ACCURACY) * stats[f"mid{i}"]}
     found = _select(df, columns, ranks)
 
     def value(i: int, rank: int) -> float:
@@ -78,42 +86,60 @@ def measured(df: DataFrame, columns: list[str], qs: list[float], also: list, *,
     return out, stats
 
 
+def _disjoint(brackets: set[tuple[int, float, float]]) -> list[tuple[int, float, float]]:
+    """Brackets that overlap become one, so a row falls in at most one per column."""
+    out: list[tuple[int, float, float]] = []
+    for i, lo, hi in sorted(brackets):
+        if out and out[-1][0] == i and lo <= out[-1][2]:
+            out[-1] = (i, out[-1][1], max(out[-1][2], hi))
+        else:
+            out.append((i, lo, hi))
+    return out
+
+
 def _select(df: DataFrame, columns: list[str], open_ranks: dict) -> dict:
     """Value at each (column index, 0-based rank); ``open_ranks`` maps it to its bracket."""
     found: dict = {}
     while True:
         for key, b in list(open_ranks.items()):
-            if b["lo"] == b["hi"]:
+            if b["lo"] == b["hi"] and b["below"] is not None:
                 found[key] = b["lo"]
                 del open_ranks[key]
         if not open_ranks:
             return found
-        brackets = sorted({(i, b["lo"], b["hi"]) for (i, _), b in open_ranks.items()})
-        inside = {(i, b["lo"], b["hi"]): b.get("n", math.inf) for (i, _), b in open_ranks.items()}
+        brackets = _disjoint({(i, b["lo"], b["hi"]) for (i, _), b in open_ranks.items()})
+        inside = {(i, b["lo"], b["hi"]): b["n"] for (i, _), b in open_ranks.items()}
         direct = sum(inside.values()) <= DIRECT_ROWS
-        # Brackets of one column are equal or disjoint, so a row falls in at most one per column.
+        # Rows between brackets count as one cell per gap (bin -1), so that the ranks inside are known.
         cells = {}
         for t, (i, lo, hi) in enumerate(brackets):
             x = F.col(columns[i]).cast("double")
-            at = F.floor((x - F.lit(lo)) / F.lit((hi - lo) / BINS)).cast("int")
+            width = (hi - lo) / BINS or 1.0
+            at = F.floor((x - F.lit(lo)) / F.lit(width)).cast("int")
             bin_ = F.lit(0) if direct else (
                 F.when(x == F.lit(lo), F.lit(0)).when(x == F.lit(hi), F.lit(BINS - 1))
                 .otherwise(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), at))))
-            cells[i] = cells.get(i, F).when(
-                x.between(F.lit(lo), F.lit(hi)), F.struct(F.lit(t).alias("t"), bin_.alias("b"), x.alias("x")))
+            cell = lambda t, b, x: F.struct(F.lit(t).alias("t"), b.alias("b"), x.alias("x"))
+            # What lies below the column's first brackets was sorted out by the earlier conditions.
+            start = cells.get(i, F.when(~((F.abs(x) < math.inf) & ~F.isnan(x)), None))
+            cells[i] = start.when(x < F.lit(lo), cell(t, F.lit(-1), F.lit(lo))).when(x <= F.lit(hi), cell(t, bin_, x))
         rows = df.select(F.explode(F.array(*cells.values())).alias("c")).filter("c is not null").select("c.*")
         if direct:
-            counted = rows.groupBy("t", F.col("x").alias("lo")).agg(F.count(F.lit(1)).alias("n")).withColumn("hi", F.col("lo"))
+            counted = rows.groupBy("t", "b", F.col("x").alias("lo")).agg(F.count(F.lit(1)).alias("n")).withColumn("hi", F.col("lo"))
         else:
             counted = rows.groupBy("t", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        by_bracket: dict[int, list] = {}
-        for r in sorted(counted.collect(), key=lambda r: (r["t"], r["lo"])):
-            by_bracket.setdefault(r["t"], []).append(r)
-        place = {b: t for t, b in enumerate(brackets)}
+        by_column: dict[int, list] = {}
+        for r in sorted(counted.collect(), key=lambda r: (r["t"], r["b"], r["lo"])):
+            by_column.setdefault(brackets[r["t"]][0], []).append(r)
         for (i, rank), b in open_ranks.items():
-            below = b["below"]
-            for cell in by_bracket[place[i, b["lo"], b["hi"]]]:
-                if rank < below + cell["n"]:
-                    b.update(lo=cell["lo"], hi=cell["hi"], below=below, n=cell["n"])
+            below, hit = 0, None
+            for c in by_column.get(i, []):
+                if rank < below + c["n"]:
+                    hit = c if c["b"] >= 0 else None
                     break
-                below += cell["n"]
+                below += c["n"]
+            if hit is None:
+                # The sketch was off for this rank: look everywhere.
+                b.update(lo=b["ends"][0], hi=b["ends"][1], below=None, n=math.inf)
+            else:
+                b.update(lo=hit["lo"], hi=hit["hi"], below=below, n=hit["n"])

@@ -106,3 +106,29 @@ def test_no_single_task_window(spark, sf):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan.split("Window")[0]
         assert "_slice" in plan
+
+
+@pytest.mark.parametrize("shape", ["uniform", "skewed", "ties", "tiny steps"])
+def test_quantiles_take_three_passes_at_most(spark, monkeypatch, shape):
+    """The sketch's brackets hold the ranks, so one exact count inside them does, or two."""
+    from logwarden.operators import quantiles as q
+
+    monkeypatch.setattr(q, "DIRECT_ROWS", 200)
+    x = {"uniform": "rand(5)", "skewed": "exp(20 * rand(5))", "ties": "cast(rand(5) * 7 as int)", "tiny steps": "1 + id * 2e-16"}[shape]
+    df = spark.range(150_000).selectExpr(f"cast({x} as double) as x", "cast(id % 1000 as double) as y").cache()
+    qs, passes = [0.01, 0.25, 0.5, 0.999], []
+    collect = q._disjoint
+    monkeypatch.setattr(q, "_disjoint", lambda b: passes.append(1) or collect(b))
+    got = q.quantiles(df, ["x", "y"], qs)
+    rows = sorted(r.x for r in df.select("x").collect())
+    at = [p * (len(rows) - 1) for p in qs]
+    want = [rows[int(a)] + (a - int(a)) * (rows[min(int(a) + 1, len(rows) - 1)] - rows[int(a)]) for a in at]
+    assert all(abs(a - b) <= 1e-9 * max(1, abs(b)) for a, b in zip(got["x"], want)) and len(passes) <= 2
+
+
+def test_quantiles_survive_a_wrong_sketch(spark, monkeypatch):
+    from logwarden.operators import quantiles as q
+
+    df = spark.range(2000).selectExpr("cast(id as double) as x")
+    monkeypatch.setattr(q, "MARGIN", -0.3)
+    assert q.quantiles(df, ["x"], [0.5], builtin_rows=0)["x"] == [999.5]
