@@ -150,24 +150,25 @@ def _ipv6_hex(values: pd.Series) -> pd.Series:
 
 
 def ip_bits(c: Column | str) -> Column:
-    """An address as 32 hexadecimal digits behind its family: ``4:`` for IPv4 (number in front), ``6:`` for IPv6, else null.
+    """An address as (family, hi, lo): 64 bits each, an IPv4 number in front; null when the text is no address.
 
-    Masking a prefix then is cutting digits, for both families alike; only texts with a colon need the Arrow function.
+    Masking a prefix then is cutting bits, for both families alike; only texts with a colon need the Arrow function.
     """
     c = col(c)
-    four = F.when(c.rlike(IPV4), F.concat(F.lit("4:"), F.rpad(F.lpad(F.hex(ip_to_long(c)), 8, "0"), 32, "0")))
-    return F.coalesce(four, F.concat(F.lit("6:"), F.upper(_ipv6_hex(F.when(c.contains(":"), c)))))
+    six = _ipv6_hex(F.when(c.contains(":"), c))
+    half = lambda at: F.conv(F.substring(six, at, 16), 16, -10).cast("bigint")
+    bits = lambda family, hi, lo: F.struct(F.lit(family).alias("family"), hi.alias("hi"), lo.alias("lo"))
+    four = F.when(c.rlike(IPV4), bits(4, F.shiftleft(ip_to_long(c), 32), F.lit(0).cast("bigint")))
+    return F.coalesce(four, F.when(six.isNotNull(), bits(6, half(1), half(17))))
 
 
 def masked_bits(bits: Column, length: Column) -> Column:
     """The network part: the first ``length`` bits, the rest zero."""
-    digits = F.floor(length / 4).cast("int")
-    rest = (F.lit(4) - length % 4).cast("int")
-    whole = F.substring(bits, F.lit(1), digits + 2)
-    last = F.conv(F.substring(bits, digits + 3, F.lit(1)), 16, 10).cast("int")
-    step = F.pow(F.lit(2), rest).cast("int")
-    cut = F.when(length % 4 == 0, F.lit("")).otherwise(F.hex(last - last % step))
-    return F.rpad(F.concat(whole, cut), 34, "0")
+    # All 64 bits are cut at once by a shift of 64, which the engine takes modulo 64: so none is asked for by a condition.
+    head = lambda n: F.when(n <= 0, F.lit(0).cast("bigint")).otherwise(
+        F.call_function("shiftleft", F.lit(-1).cast("bigint"), (F.lit(64) - F.least(n, F.lit(64))).cast("int")))
+    return F.struct(bits["family"].alias("family"), bits["hi"].bitwiseAND(head(length)).alias("hi"),
+                    bits["lo"].bitwiseAND(head(length - 64)).alias("lo"))
 
 
 def ip_to_long(c: Column | str) -> Column:

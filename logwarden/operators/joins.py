@@ -58,7 +58,7 @@ def _networks(rules: DataFrame, cidr: str) -> DataFrame:
     """Valid rules as (network bits, prefix length), IPv4 and IPv6; host bits set or bad text make a rule void."""
     parts = F.split(F.col(cidr), "/")
     bits = ip_bits(F.get(parts, F.lit(0)))
-    width = F.when(F.col("_net").startswith("4"), 32).otherwise(128)
+    width = F.when(F.col("_net.family") == 4, 32).otherwise(128)
     length = F.when(F.size(parts) == 1, width).otherwise(F.get(parts, F.lit(1)).try_cast("int"))
     out = once(once(rules, {"_net": bits}), {"_len": length, "_width": width})
     out = out.filter("_net is not null and _len between 0 and _width and size(split(%s, '/')) <= 2" % cidr)
@@ -73,10 +73,10 @@ def cidr_hits(addresses: DataFrame, rules: DataFrame, ip: str, cidr: str, also:
     """
     also = also or {}
     nets = _networks(rules, cidr).select("_len", "_net", *[F.col(r).alias(c) for c, r in also.items()]).distinct()
-    used = nets.groupBy(F.substring("_net", 1, 1).alias("_family")).agg(F.collect_set("_len").alias("_lengths"))
+    used = nets.groupBy(F.col("_net.family").alias("_family")).agg(F.collect_set("_len").alias("_lengths"))
     probes = once(addresses.select(ip, *also).distinct(), {"_bits": ip_bits(ip)}).filter("_bits is not null")
     # At most two rows, one per family.
-    probes = probes.withColumn("_family", F.substring("_bits", 1, 1)).join(F.broadcast(used), "_family")
+    probes = probes.withColumn("_family", F.col("_bits.family")).join(F.broadcast(used), "_family")
     probes = probes.withColumn("_len", F.explode("_lengths")).withColumn("_net", masked_bits(F.col("_bits"), F.col("_len")))
     return probes.join(nets, ["_len", "_net", *also], "left_semi").select(ip, *also).distinct()
 

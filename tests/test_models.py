@@ -128,3 +128,60 @@ def test_filters_reach_the_scan(spark, sf):
     for name in ("J08_search_window_lookup", "A15_apply_retention", "Q01_filter_detections"):
         plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "PushedFilters: [" in plan and "PushedFilters: []" not in plan, name
+
+
+def scores_of(spark, n, models, seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    label = rng.random(n) < 0.3
+    x = np.clip(0.5 * rng.random((n, models)) + label[:, None] * rng.random((n, models)) * np.linspace(0.1, 0.6, models), 0, 1)
+    # Ties, rows that never flip, and rows whose scores are equal.
+    x[:n // 4] = np.round(x[:n // 4], 1)
+    x[:10] = 0.5
+    names = [f"m{k}" for k in range(models)]
+    rows = [(*map(float, r), int(y)) for r, y in zip(x, label)]
+    return spark.createDataFrame(rows, ", ".join(f"{m} double" for m in names) + ", label int").repartition(3).cache(), names, x, label
+
+
+def f1_at(x, label, w, threshold=0.5):
+    hit = sum(x[:, k] * v for k, v in enumerate(w)) >= threshold
+    tp = (hit & label).sum()
+    return 2 * tp / (hit.sum() + label.sum())
+
+
+def test_sweep_finds_the_best_weight_on_a_line(spark):
+    from logwarden.operators import ensemble as e
+
+    df, names, x, label = scores_of(spark, 400, 2, 3)
+    f1, weights = e.sweep_line(df, names, [0.5, 0.5], 0, 1, "label", 0.5)
+    dense = max(f1_at(x, label, (t, 1 - t)) for t in [i / 5000 for i in range(5001)])
+    assert f1 >= dense - 1e-12 and abs(f1_at(x, label, weights) - f1) < 0.02 and abs(sum(weights) - 1) < 1e-12
+
+
+def test_sweeps_are_never_below_the_grid(spark):
+    from logwarden.operators import ensemble as e
+
+    df, names, x, label = scores_of(spark, 300, 6, 4)
+    grid = max(e.simplex(6, 0.25), key=lambda w: f1_at(x, label, w))
+    row = e.sweep_weights(df, names, start=list(grid), rounds=1).first()
+    assert row.f1 >= f1_at(x, label, grid) and abs(f1_at(x, label, row[:-1]) - row.f1) < 1e-12 and abs(sum(row[:-1]) - 1) < 1e-9
+    free = e.sweep_weights(df.select("m0", "m5", "label"), ["m0", "m5"], rounds=1).first()
+    assert free.f1 >= max(f1_at(x[:, [0, 5]], label, w) for w in e.simplex(2, 0.1)) - 0.01
+
+
+def test_samples_larger_than_the_pool(spark, monkeypatch):
+    from logwarden.operators import forest
+
+    monkeypatch.setattr(forest, "POOL", 1000)
+    df = spark.range(20_000).selectExpr("id", "cast(id % 97 as double) a", "cast(id % 89 as double) b")
+    drawn = forest.tree_samples(df, ["a", "b"], ["id"], 2, 1500, 20_000, 7).groupBy("tree").count().collect()
+    assert [r["count"] for r in drawn] == [1500, 1500]
+
+
+def test_whole_groups_for_functions_that_are_not_mergeable(spark):
+    from logwarden.operators import grouped
+
+    df = spark.range(1000).selectExpr("id", "id % 2 as g")
+    median = lambda pdf: pdf.groupby("g", as_index=False).agg(m=("id", "median"))
+    assert sorted(tuple(r) for r in grouped.apply_groups(df, ["g"], median, "g bigint, m double").collect()) == [(0, 499.0), (1, 500.0)]
