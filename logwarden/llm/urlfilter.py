@@ -49,7 +49,13 @@ def quote(text: Column) -> Column:
 
 
 def rule_table(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """verdict, rule, length, pattern (over host and path), tokens; made by Spark from the given rules."""
+    """verdict, rule, length, pattern (over host and path), tokens; made by Spark from the given rules.
+
+    A rule needs a host label: one without would fit every page, and is refused.
+    """
+    for verdict, host, path in rules:
+        if not host or not all(host.split(".")):
+            raise ValueError(f"a rule needs a host of non-empty labels: {(verdict, host, path)}")
     df = spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string")
     pattern = F.concat(F.lit(r"^(?:[^/]*\.)?"), quote(F.col("rule_host")), quote(F.col("rule_path")))
     return df.select("verdict", F.concat("rule_host", "rule_path").alias("rule"),
