@@ -1,4 +1,11 @@
-"""A corpus pipeline of five operators: each stage reads the documents that the one before kept."""
+"""A corpus pipeline of five operators: each stage reads the documents that the one before kept.
+
+All stages take any row: null and empty texts are neither toxic, nor near copies, nor benchmark passages; they stay, have
+no words in the mix, and are sharded. Null doc_ids are kept by the near-duplicate
+stage. Rows that repeat an id are judged by their own text; rows repeated exactly stay once behind the near-duplicate stage.
+Very long texts are read whole. Further columns pass through, but for ``shard`` and ``slot``, which the last stage sets.
+Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

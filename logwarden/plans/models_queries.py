@@ -10,6 +10,31 @@ KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
 R = lambda c: F.round(F.col(c), 6).alias(c)
 
 
+def subspace_sql(k: int) -> str:
+    """CTEs ``z`` (key, z: standardized features), ``p1`` to ``pk`` (projectors on the leading principal directions, row by row) and
+    ``r`` (key, z, r: projected): a covariance matrix squared thirty times leaves its leading direction, which then is taken out."""
+    at = range(4)
+    cell = lambda m, i, j: f"{m}[{4 * i + j + 1}]"
+    grid = lambda f: "[" + ", ".join(f(i, j) for i in at for j in at) + "]"
+    parts = [f"""s AS (SELECT {", ".join(f"avg({c}::DOUBLE) AS m{i}, stddev_pop({c}::DOUBLE) AS s{i}" for i, c in enumerate(FEATURES))} FROM lineitem),
+z AS (SELECT l_orderkey, l_linenumber, l_partkey, [{", ".join(f"({c}::DOUBLE - m{i}) / s{i}" for i, c in enumerate(FEATURES))}] AS z FROM lineitem, s),
+c1 AS (SELECT {grid(lambda i, j: f"avg(z[{i + 1}] * z[{j + 1}])")} AS c FROM z)"""]
+    for n in range(1, k + 1):
+        square = grid(lambda i, j: " + ".join(f"{cell('a', i, x)} * {cell('a', x, j)}" for x in at))
+        parts.append(f"""w{n}(step, a) AS (SELECT 0, c FROM c{n} UNION ALL
+  SELECT step + 1, list_transform(q, lambda x: x / (q[1] + q[6] + q[11] + q[16])) FROM (SELECT step, {square} AS q FROM w{n} WHERE step < 30)),
+p{n} AS (SELECT a AS p FROM w{n} WHERE step = 30),
+c{n + 1} AS (SELECT {grid(lambda i, j: f"{cell('c', i, j)} - l * {cell('p', i, j)}")} AS c
+  FROM (SELECT c, p, {" + ".join(f"c[{x + 1}] * p[{x + 1}]" for x in range(16))} AS l FROM c{n}, p{n}))""")
+    total = lambda i, j: " + ".join(cell(f"p{n}.p", i, j) for n in range(1, k + 1))
+    back = ", ".join(" + ".join(f"({total(i, j)}) * z[{j + 1}]" for j in at) for i in at)
+    parts.append(f"r AS (SELECT l_orderkey, l_linenumber, l_partkey, z, [{back}] AS r FROM z, {', '.join(f'p{n}' for n in range(1, k + 1))})")
+    return "WITH RECURSIVE " + ",\n".join(parts)
+
+
+ERROR_SQL = "list_sum(list_transform(range(1, 5), lambda i: (z[i] - r[i]) * (z[i] - r[i])))"
+
+
 def _lines(spark, sf):
     return table(spark, sf, "lineitem").select(*KEY, *FEATURES, "l_returnflag")
 
@@ -133,7 +158,17 @@ def fit_reconstruction(spark, sf):
     return spark.createDataFrame(rows, "component int, feature string, loading double")
 
 
-@query("M08_reconstruction_score")
+@query("M07_loading_values", subspace_sql(2) + ",\n" + """v AS (SELECT 0 AS component, p FROM p1 UNION ALL SELECT 1, p FROM p2),
+d AS (SELECT component, p, list_position([p[1], p[6], p[11], p[16]], greatest(p[1], p[6], p[11], p[16])) AS top FROM v)
+SELECT CAST(component AS INT) AS component, ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'][i] AS feature,
+  round(p[4 * (i - 1) + top] / sqrt(p[5 * (top - 1) + 1]), 6) + 0.0 AS loading FROM d, range(1, 5) x(i)""")
+def loading_values(spark, sf):
+    return fit_reconstruction(spark, sf).select("component", "feature", (F.round("loading", 6) + 0.0).alias("loading"))
+
+
+@query("M08_reconstruction_score", subspace_sql(2) + f""",
+e AS (SELECT *, {ERROR_SQL} / 4 AS mse FROM r)
+SELECT l_orderkey, l_linenumber, l_partkey, round(1 / (1 + exp(-(mse - (SELECT avg(mse) FROM e)) / (SELECT stddev_pop(mse) FROM e))), 6) AS recon_score FROM e""")
 def reconstruction_score(spark, sf):
     df = _lines(spark, sf)
     s = recon.fit_reconstruction(df, FEATURES, 2)
@@ -147,6 +182,14 @@ def explain_reconstruction(spark, sf):
     return out.select(*KEY, F.explode("explanation").alias("feature", "share"))
 
 
+@query("M09_share_values", subspace_sql(2) + f""",
+e AS (SELECT *, {ERROR_SQL} AS total FROM r)
+SELECT l_orderkey, l_linenumber, l_partkey, ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'][i] AS feature,
+  round((z[i] - r[i]) * (z[i] - r[i]) / total, 4) AS share FROM e, range(1, 5) x(i)""")
+def share_values(spark, sf):
+    return explain_reconstruction(spark, sf).select(*KEY, "feature", F.round("share", 4).alias("share"))
+
+
 def _vectors(spark, sf):
     df = table(spark, sf, "embeddings")
     cols = [f"e{i}" for i in range(64)]
@@ -167,6 +210,15 @@ def reconstruct(spark, sf):
     return out.select(*KEY, *[R(f"recon_{c}") for c in FEATURES])
 
 
+@query("M10_reconstruct_values", subspace_sql(3) + "\nSELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(
+    f"round(r[{i + 1}] * s{i} + m{i}, 3) + 0.0 AS recon_{c}" for i, c in enumerate(FEATURES)) + " FROM r, s")
+def reconstruct_values(spark, sf):
+    """As rebuilt from three of four directions."""
+    df = _lines(spark, sf)
+    out = recon.reconstruct(df, recon.fit_reconstruction(df, FEATURES, 3))
+    return out.select(*KEY, *[(F.round(f"recon_{c}", 3) + 0.0).alias(f"recon_{c}") for c in FEATURES])
+
+
 @query("M21_detect_events")
 def detect_events(spark, sf):
     """All three detectors on the event features, with explanation, related events and severity."""
