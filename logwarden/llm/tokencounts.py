@@ -2,13 +2,13 @@
 
 A batch is a table of signed changes: +1 for an inserted document, -1 for a deleted one, and both for a revised count (the
 old count out, the new one in). A commit sums the changes by source, language and tokenizer version - partial sums first, so
-a hot source is no burden - and writes those sums under the batch's name, replacing what that batch wrote before. Totals are
-the sums over all batches. So a batch that is committed twice, or again after a failure, counts once, and no commit reads
-texts or totals of earlier batches.
+a hot source is no burden - writes those sums under a new name, and publishes them by a manifest that remembers the batch. So a
+batch that is committed twice, or again after a failure, counts once, and no commit reads texts. Totals are maintained: sums of
+several batches are folded into one, level by level, so what a reader adds up stays small.
 
 Edge cases: null sources and languages are groups of their own; null counts are 0; changes with a null sign are ignored; a
-group without live documents is left out of the totals; an empty batch changes nothing (and clears the batch when repeated);
-extra columns are ignored.
+group without live documents is left out of the totals; an empty batch changes nothing; documents with a null id are no copies;
+very long texts count whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logwarden.llm.mixing import word_count as spaced_words
 from logwarden.session import scratch_path, written
+from logwarden.sources.tables import BatchLog
 
 GROUP = ["source", "lang", "version"]
-DELTAS = "source string, lang string, version string, documents bigint, tokens bigint, batch string"
+DELTAS = "source string, lang string, version string, documents bigint, tokens bigint"
+#: A digest of more than one row in so many is hot; there are at most so many.
+HOT_SHARES = 50_000
 #: Tokenizer versions that need no vocabulary.
 VERSIONS = ("spaces-1", "letters-1", "bytes4-1")
 MARKS = r"[%$&*#!|]+"
@@ -60,37 +63,64 @@ def changes(counted: DataFrame, sign: int, counts: Mapping[str, str]) -> DataFra
     return counted.select("source", "lang", F.inline(cells), F.lit(sign).alias("sign"))
 
 
+def summed(deltas: DataFrame) -> DataFrame:
+    """Additive deltas of several batches as one, without groups that cancel out."""
+    return deltas.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).filter(
+        "documents <> 0 or tokens <> 0")
+
+
 class Rollup:
-    """Totals under a path of a file system that all executors share."""
+    """Totals under a path of a file system that all executors share: a log of additive deltas, folded level by level.
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
+    A batch is written under a new name and then published by one manifest, so a commit that dies leaves the totals as they were, and
+    one that is repeated changes nothing. Every ``fanout`` parts of one level become one of the next, so a reader opens a logarithm
+    of the batches.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 8):
         self.spark, self.path = spark, path or scratch_path(spark)
-        # The first commit of an empty table must be readable as well.
-        spark.createDataFrame([], DELTAS).drop("batch").withColumn("batch", F.lit("")).limit(0).write.mode("append").parquet(self.path)
+        self.log = BatchLog(spark, self.path, fold=summed, fanout=fanout)
+
+    def commit(self, batch: str, signed: DataFrame, number: int = 0) -> bool:
+        """Add a batch's deltas, unless it is known; whether it was new.
 
-    def commit(self, batch: str, signed: DataFrame) -> None:
-        """Write the additive deltas of a batch; committing the same batch again replaces its own deltas only."""
+        ``batch`` names a feed whose batches have ascending ``number``; the manifest remembers the last number of every feed.
+        """
         sign, tokens = F.col("sign").cast("bigint"), F.coalesce(F.col("tokens"), F.lit(0)).cast("bigint")
         deltas = signed.filter("sign is not null").groupBy(*GROUP).agg(F.sum(sign).alias("documents"), F.sum(sign * tokens).alias("tokens"))
-        deltas.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        return self.log.append(deltas, batch, number)
 
     def totals(self) -> DataFrame:
         """source, lang, version, documents and tokens over all committed batches."""
-        deltas = self.spark.read.schema(DELTAS).option("recursiveFileLookup", "true").parquet(self.path)
-        return deltas.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).filter("documents <> 0")
+        deltas = self.log.read()
+        return summed(self.spark.createDataFrame([], DELTAS) if deltas is None else deltas).filter("documents <> 0")
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``: a smaller doc_id has the same digest.
+
+    Digests with more than one row in ``HOT_SHARES`` are at most that many: their rows meet the first id by broadcast, all others by shuffle.
+    """
+    firsts = written(rows.filter("doc_id is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n")).filter("first_id < last_id"))
+    hot = F.col("n") > max(rows.count() // HOT_SHARES, 1)
+    hot, rest = (F.broadcast(firsts.filter(hot).select("digest", "first_id")), firsts.filter(~hot).select("digest", "first_id"))
+    both = rows.join(hot, "digest").unionByName(
+        rows.join(hot.select("digest"), "digest", "left_anti").join(rest, "digest", "left"), allowMissingColumns=True)
+    return both.withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
 
 
 def maintain(docs: DataFrame, rollup: Rollup) -> DataFrame:
     """Totals after three batches: all documents in, later exact copies out, counts of the rest revised to the text without
     ornaments (runs of ``%$&*#!|``). The second batch is committed twice, as after a lost answer."""
-    plain = F.regexp_replace("text", MARKS, "")
-    counted = written(docs.select(
-        "doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"),
-        *[c.alias(f"old_{i}") for i, c in enumerate(counters(F.col("text")).values())],
-        *[c.alias(f"new_{i}") for i, c in enumerate(counters(plain).values())]))
+    rows = docs.select("doc_id", "source", "lang", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"),
+                       *[c.alias(f"old_{i}") for i, c in enumerate(counters(F.col("text")).values())])
+    # A text without ornaments is counted once.
+    adorned, plain = F.col("text").rlike(MARKS), F.regexp_replace("text", MARKS, "")
+    counted = written(rows.select("doc_id", "source", "lang", "digest", *[f"old_{i}" for i in range(len(VERSIONS))], *[
+        F.when(adorned, c).otherwise(F.col(f"old_{i}")).alias(f"new_{i}") for i, c in enumerate(counters(plain).values())]))
     old, new = ({v: f"{k}_{i}" for i, v in enumerate(VERSIONS)} for k in ("old", "new"))
-    firsts = counted.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    placed = counted.join(firsts, "digest").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
+    placed = written(without_copies(counted))
     rollup.commit("load", changes(counted, 1, old))
     for _ in range(2):
         rollup.commit("copies", changes(placed.filter("copy"), -1, old))
