@@ -14,7 +14,9 @@ the probe's component already, or when they have all been probes before. The jud
 
 **Two rounds.** First every class goes to ``PICKS`` of its keys only, chosen by hash, so that near copies meet; the links give
 components. Then the keys are visited under which two components still meet, each list of classes once. Any two alike sets share a
-key, so they are in one component by then, or meet under a mixed key: no link between components is lost. What leaves a trie are
+key, so they are in one component by then, or meet under a mixed key: no link between components is lost. In both rounds *outlines*
+travel first: counts of a set's codes in cells, a byte for two to four codes. Two sets have no more in common than the smaller
+counts of their cells add up to, so a bound on every pair decides which sets go to a key's trie at all. What leaves a trie are
 links that merge two components, so never more than classes, however many pairs are alike. Keys with more than ``BLOCK`` classes
 or ``BLOCK_CODES`` codes are cut into parts, and every pair of parts is a task of its own.
 
@@ -102,7 +104,7 @@ def tail_length(n):
 
 
 def tails(docs: DataFrame, ranks) -> DataFrame:
-    """(cid, n, tail) of every class: its rarest codes."""
+    """(cid, tail) of every class: its rarest codes."""
 
     def make():
         hasher = Hasher()
@@ -113,36 +115,68 @@ def tails(docs: DataFrame, ranks) -> DataFrame:
                 cid = set_digests(shingles, sizes)[0]
                 codes, ends, wanted = ordered_codes(shingles, sizes, ranks.value), np.cumsum(sizes), tail_length(sizes) * (sizes > 0)
                 at = np.repeat(ends - wanted, wanted) + np.arange(wanted.sum()) - np.repeat(np.cumsum(wanted) - wanted, wanted)
-                out = pa.RecordBatch.from_arrays([pa.array(cid), pa.array(sizes, pa.int64()), lists(codes[at].view(np.int64), wanted, pa.int64())],
-                                                 names=["cid", "n", "tail"])
+                out = pa.RecordBatch.from_arrays([pa.array(cid), lists(codes[at].view(np.int64), wanted, pa.int64())], names=["cid", "tail"])
                 yield out.filter(pa.array(sizes > 0))
 
         return step
 
-    return map_texts(text_of(docs), make, "cid bigint, n bigint, tail array<bigint>").dropDuplicates(["cid"])
+    return map_texts(text_of(docs), make, "cid bigint, tail array<bigint>").dropDuplicates(["cid"])
 
 
-def code_sets(wanted: DataFrame, docs: DataFrame, ranks) -> DataFrame:
-    """(cid, codes) of the wanted classes (cid, doc_id), from the text of their representative; codes as big-endian bytes."""
+def of_classes(wanted: DataFrame, docs: DataFrame, name: str, make_values) -> DataFrame:
+    """(cid, ``name``) of the wanted classes (cid, doc_id), from the text of their representative.
+
+    ``make_values()`` gives a function of (shingles, sizes) that returns one bytes object per text.
+    """
     ids = written(wanted.select("doc_id").distinct())
     texts = text_of(docs).join(bounded(ids), "doc_id", "left_semi")
 
     def make():
-        hasher = Hasher()
+        hasher, values = Hasher(), make_values()
 
         def step(batch):
             for at, to, data, bounds in chunks(batch.column(1)):
                 shingles, sizes = shingle_sets(data, bounds, hasher, SIZE)
-                codes, ends = ordered_codes(shingles, sizes, ranks.value).astype(">u8"), np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array(set_digests(shingles, sizes)[0]),
-                     pa.array([codes[e - n:e].tobytes() for e, n in zip(ends, sizes)], pa.binary())], names=["doc_id", "cid", "codes"])
+                    [batch.column(0).slice(at, to - at), pa.array(set_digests(shingles, sizes)[0]), pa.array(values(shingles, sizes), pa.binary())],
+                    names=["doc_id", "cid", name])
 
         return step
 
-    found = map_texts(texts, make, "doc_id bigint, cid bigint, codes binary")
+    found = map_texts(texts, make, f"doc_id bigint, cid bigint, {name} binary")
     # A representative's id may be repeated with other texts: the digest picks its own set, once.
-    return found.join(wanted, ["doc_id", "cid"], "left_semi").dropDuplicates(["cid"]).select("cid", "codes")
+    return written(found.join(wanted, ["doc_id", "cid"], "left_semi").dropDuplicates(["cid"]).select("cid", name))
+
+
+def code_sets(wanted: DataFrame, docs: DataFrame, ranks) -> DataFrame:
+    """(cid, codes) of the wanted classes; codes as big-endian bytes."""
+
+    def make():
+        def values(shingles, sizes):
+            codes, ends = ordered_codes(shingles, sizes, ranks.value).astype(">u8"), np.cumsum(sizes)
+            return [codes[e - n:e].tobytes() for e, n in zip(ends, sizes)]
+
+        return values
+
+    return of_classes(wanted, docs, "codes", make)
+
+
+def outline_cells(n: int) -> int:
+    """Cells of a set's outline: a power of two, a quarter to half of its size."""
+    return 1 << max(4, int(n // 2).bit_length() - 1)
+
+
+def outline(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each cell by their low bits, a byte each; empty where a byte does not do."""
+    cells = outline_cells(len(shingles))
+    counts = np.bincount((shingles & U64(cells - 1)).astype(np.int64), minlength=cells)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def outlines(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, outline) of the wanted classes."""
+    return of_classes(wanted, docs, "outline", lambda: lambda shingles, sizes: [
+        outline(shingles[e - n:e]) for e, n in zip(np.cumsum(sizes), sizes)])
 
 
 class Trie:
@@ -284,60 +318,140 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that merge components among the classes of each key; members are (key, cid, root, n)."""
+def deal(members: DataFrame, payload: DataFrame) -> DataFrame:
+    """Members (key, cid, root, n) with their payload, dealt to cells (key, i, j): every two parts of a key meet in one cell.
+
+    A key with more than ``BLOCK`` classes, or ``BLOCK_CODES`` shingles, has several parts. ``side`` is 1 for part j where it is not i.
+    """
     size = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_CODES)).cast("int")
     groups = members.groupBy("key").agg(size.alias("parts"), F.count("*").alias("many")).filter("many > 1").drop("many")
     placed = members.join(groups, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    cells = placed.select("key", "cid", "root", "own", other).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "root",
+    cells = placed.select("key", "cid", "root", "n", "own", other).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "root", "n",
         F.when((F.col("own") > F.col("other")), 1).otherwise(0).alias("side"))
-    dealt = cells.join(sets, "cid").select("key", "i", "j", "side", "cid", "root", "codes")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = cells.join(payload, "cid").select("key", "i", "j", "side", "cid", "root", "n", payload.columns[-1])
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def in_cells(dealt: DataFrame, work, schema: str) -> DataFrame:
+    """``work(table, side, cid, root, n, payload)`` on every cell that has two sets to compare; it returns a RecordBatch."""
 
     def run(batches):
         for table in grouped(batches, 3):
-            if table.num_rows > 1:
-                side, cid, root = (table.column(c).to_numpy() for c in ("side", "cid", "root"))
-                data, at = binary_parts(table.column("codes"))
-                codes = [data[a:b].tobytes() for a, b in zip(at, at[1:])]
-                if table.column("i")[0] != table.column("j")[0] and side.min() == side.max():
-                    continue
-                links = np.array(link_sets(cid, root, codes, side), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(links.max(axis=1)), pa.array(links.min(axis=1))], names=["a", "b"])
-
-    return written(dealt.mapInArrow(run, "a bigint, b bigint").distinct())
+            side, cid, root, n = (table.column(c).to_numpy() for c in ("side", "cid", "root", "n"))
+            if table.num_rows > 1 and (table.column("i")[0] == table.column("j")[0] or side.min() != side.max()):
+                data, at = binary_parts(table.column(table.num_columns - 1))
+                yield work(table, side, cid, root, n, [data[a:b].tobytes() for a, b in zip(at, at[1:])])
+
+    return dealt.mapInArrow(run, schema)
+
+
+def possible(side: np.ndarray, root: np.ndarray, n: np.ndarray, payload: list[bytes]) -> np.ndarray:
+    """Which sets of a cell may be alike one of another component, by sizes and outlines.
+
+    Two sets share no more than the sum of the smaller counts of their cells, so no alike pair is passed over. The outline of the
+    larger set is folded to the cells of the smaller one.
+    """
+    keep, cross = np.zeros(len(n), dtype=bool), bool((side == 1).any())
+    counts = [np.frombuffer(p, dtype=np.uint8).astype(np.int32) for p in payload]
+    cells = np.array([len(c) for c in counts])
+    by_cells = {c: np.flatnonzero(cells == c) for c in np.unique(cells)}
+    tables = {c: np.stack([counts[i] for i in at]) for c, at in by_cells.items() if c}
+    folded = {c: t[:, :c // 2] + t[:, c // 2:] for c, t in tables.items()}
+    index = np.arange(len(n))
+    for i in np.flatnonzero(side == 0):
+        asked = (root != root[i]) & (100 * np.minimum(n, n[i]) >= LEAST * np.maximum(n, n[i])) & ((side == 1) if cross else (index > i))
+        if not asked.any():
+            continue
+        c = cells[i]
+        if c == 0 or asked[cells == 0].any():
+            # No outline, no bound.
+            hit = asked if c == 0 else asked & (cells == 0)
+            keep |= hit
+            keep[i] = True
+        for d in (c // 2, c, 2 * c) if c else ():
+            at = by_cells.get(d, index[:0])
+            chosen = asked[at]
+            if d and chosen.any():
+                own = counts[i] if d >= c else counts[i][:d] + counts[i][d:]
+                table = folded[d] if d > c else tables[d]
+                most = np.minimum(table[chosen], own).sum(axis=1)
+                hit = at[chosen][(100 + LEAST) * most >= LEAST * (n[at[chosen]] + n[i])]
+                keep[hit] = True
+                keep[i] |= len(hit) > 0
+    return keep
+
+
+def linked(members: DataFrame, outlines_: DataFrame, classes: DataFrame, docs: DataFrame, ranks) -> DataFrame:
+    """Links (a, b) that merge components among the classes of each key; members are (key, cid, root, n).
+
+    Outlines travel to all keys first; full sets only to those under which they leave a pair possible.
+    """
+
+    def chosen(table, side, cid, root, n, payload):
+        keep = pa.array(possible(side, root, n, payload))
+        return pa.RecordBatch.from_arrays([table.column(c).combine_chunks().filter(keep) for c in ("key", "cid", "root", "n")],
+                                          names=["key", "cid", "root", "n"])
+
+    left = written(in_cells(deal(members, outlines_), chosen, "key bigint, cid bigint, root bigint, n bigint").distinct())
+    sets = code_sets(left.select("cid").distinct().join(classes.select("cid", F.col("rep").alias("doc_id")), "cid").select("cid", "doc_id"),
+                     docs, ranks)
+
+    def join(table, side, cid, root, n, payload):
+        links = np.array(link_sets(cid, root, payload, side), dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(links.max(axis=1)), pa.array(links.min(axis=1))], names=["a", "b"])
+
+    return written(in_cells(deal(left, sets), join, "a bigint, b bigint").distinct())
 
 
 def merged(state: DataFrame, links: DataFrame) -> DataFrame:
-    """``state`` (cid, root) after the links (a, b) between classes."""
+    """``state`` (cid, root, n) after the links (a, b) between classes."""
     of = lambda c: state.select(F.col("cid").alias(c), F.col("root").alias(f"{c}_root"))
     edges = links.join(of("a"), "a").join(of("b"), "b")
     roots = components(edges.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))).distinct()
     return written(state.join(roots.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select(
-        "cid", F.coalesce("_to", "root").alias("root")))
+        "cid", F.coalesce("_to", "root").alias("root"), "n"))
+
+
+def shared_keys(found: DataFrame) -> DataFrame:
+    """(key, cid) of the keys that two classes have; most have one. Rows pass once, sorted by key, and one row is held at a time."""
+    found.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+    def run(batches):
+        held, twin = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, cid = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if held is not None:
+                key, cid = np.append(held[0], key), np.append(held[1], cid)
+            same = key[1:] == key[:-1]
+            keep = np.append(twin, same) | np.append(same, False)
+            held, twin = (key[-1:], cid[-1:]), bool(keep[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep[:-1]]), pa.array(cid[:-1][keep[:-1]])], names=["key", "cid"])
+        if held is not None and twin:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["key", "cid"])
+
+    keys = found.select(F.explode("tail").alias("key"), "cid").repartition("key").sortWithinPartitions("key")
+    return written(keys.mapInArrow(run, "key bigint, cid bigint"))
 
 
 def class_roots(docs: DataFrame, classes: DataFrame, ranks) -> DataFrame:
     """(cid, root) of all classes that share a key with another one."""
-    found = written(tails(docs, ranks))
-    keys = found.select(F.explode("tail").alias("key"), "cid", "n")
-    # A key counts when two classes have it; most have one.
-    shared = written(keys.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi").select("key"))
-    held = written(keys.join(bounded(shared), "key"))
-    state = written(held.select("cid", F.col("cid").alias("root")).distinct())
-    sets = written(code_sets(state.join(classes.select("cid", F.col("rep").alias("doc_id")), "cid").select("cid", "doc_id"), docs, ranks))
+    held = shared_keys(tails(docs, ranks))
+    state = written(held.select("cid").distinct().join(classes.select("cid", "n"), "cid").select("cid", F.col("cid").alias("root"), "n"))
+    drawn = outlines(state.join(classes.select("cid", F.col("rep").alias("doc_id")), "cid").select("cid", "doc_id"), docs)
     salted = [F.xxhash64("key", F.lit(i)) for i in range(PICKS)]
-    picked = held.groupBy("cid", "n").agg(F.array_distinct(F.array(*[F.min_by("key", h) for h in salted])).alias("keys"))
-    first = picked.select(F.explode("keys").alias("key"), "cid", F.col("cid").alias("root"), "n")
-    state = merged(state, linked(written(first), sets))
+    picked = held.groupBy("cid").agg(F.array_distinct(F.array(*[F.min_by("key", h) for h in salted])).alias("keys"))
+    first = picked.select(F.explode("keys").alias("key"), "cid").join(state, "cid")
+    state = merged(state, linked(written(first), drawn, classes, docs, ranks))
     placed = written(held.join(state, "cid"))
     print_ = F.sum(F.xxhash64("cid").cast("decimal(38,0)"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many"), print_.alias("print"))
     # Keys with the same classes are visited once.
     once = written(mixed.filter("lo < hi").groupBy("many", "print").agg(F.min("key").alias("key")).select("key"))
-    return merged(state, linked(written(placed.join(bounded(once), "key")), sets))
+    return merged(state, linked(written(placed.join(bounded(once), "key")), drawn, classes, docs, ranks)).drop("n")
 
 
 def link(docs: DataFrame) -> DataFrame:

@@ -98,6 +98,23 @@ def leaks(rows, items):
     return out
 
 
+def near_leaks(rows, items, slop=3):
+    """Distinct (doc_id, item_id, start, distance) of windows whose two rarest terms stand near each other, but not in place."""
+    texts = [(doc, letters(t)) for doc, t in rows]
+    times = collections.Counter(x for _, w in texts for x in w)
+    out = set()
+    for item, text in items:
+        w = letters(text)
+        for i in range(max(len(w) - 9, 1) if w else 0):
+            known = sorted((times[x], o, x) for o, x in enumerate(w[i:i + 10]) if times[x])[:2]
+            if len(known) == 2:
+                (_, o1, t1), (_, o2, t2) = known
+                for doc, words in texts:
+                    first, second = ([p - o for p, x in enumerate(words) if x == t] for o, t in ((o1, t1), (o2, t2)))
+                    out |= {(doc, item, a, b - a) for a in first for b in second if 0 < abs(b - a) <= slop}
+    return out
+
+
 def lines(rows):
     """(doc_id, n_lines, n_dropped, kept_sha256) per row; a null id counts as one document after all others."""
     key = lambda line: re.sub(rf"^{SPACE}|{SPACE}$", "", line).translate(LOW)

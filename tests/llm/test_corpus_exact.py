@@ -248,6 +248,30 @@ def test_url_rules(spark, monkeypatch, most):
     assert urlfilter.judge(pages.limit(0), urlfilter.rule_table(spark, urlfilter.RULES)).isEmpty()
 
 
+def test_rules_without_a_host_are_refused(spark):
+    for host in ("", "a..b", ".net"):
+        with pytest.raises(ValueError):
+            urlfilter.rule_table(spark, [("block", host, "/x/")])
+
+
+def test_rollup_survives_a_lost_commit_and_stays_small(spark, monkeypatch):
+    from logwarden.sources.tables import Commits
+
+    roll = tokencounts.Rollup(spark, fanout=4)
+    one = spark.createDataFrame([("s", "en", "v1", 5, 1)], "source string, lang string, version string, tokens bigint, sign int").coalesce(1)
+    roll.commit("feed", one)
+    publish = Commits.publish
+    monkeypatch.setattr(Commits, "publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        roll.commit("feed", one, 1)
+    monkeypatch.setattr(Commits, "publish", publish)
+    assert bag(roll.totals().collect()) == [("s", "en", "v1", 1, 5)]
+    for n in range(1, 100):
+        assert roll.commit("feed", one, n)
+        assert len(roll.log.parts()) <= 16
+    assert not roll.commit("feed", one, 99) and bag(roll.totals().collect()) == [("s", "en", "v1", 100, 500)]
+
+
 def test_sharding(messy):
     got = sharding.plan(messy, 7).collect()
     assert bag((r.doc_id, r["size"], r.text_crc32) for r in got) == bag(brute.sizes(PAIRS))
@@ -261,6 +285,43 @@ def test_sharding(messy):
     assert all(abs(mix[s, k] - n / 7) <= 1.5 for s, n in sources.items() for k in range(7))
 
 
+def test_proximity_matches(spark):
+    """Passages with words put in, left out, or replaced by one that no other text has."""
+    import random
+
+    rng = random.Random(17)
+    item = sentence(rng, 14).split()
+    rows = [(1, " ".join(item)), (2, " ".join(item[:6] + ["zzz", "yyy"] + item[6:])), (3, " ".join(item[:5] + item[6:])),
+            (4, " ".join(item[:4] + ["onlyhere"] + item[5:])), (5, sentence(rng, 300)), (None, " ".join(item[3:])), (6, None),
+            (7, " ".join([item[0]] * 40 + [item[1]] * 40))]
+    items = [(1, " ".join(item)), (2, " ".join(item[:4] + ["nowhere"] + item[5:])), (3, "nowhere at all"), (4, f"{item[0]} {item[1]}"), (5, item[2])]
+    got = decontam.near_matches(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    want = brute.near_leaks(rows, items)
+    assert {tuple(r) for r in got.collect()} == want and {2, 4} <= {w[1] for w in want} and len(want) > 40
+
+
+def test_many_small_sources_share_no_bucket(spark, monkeypatch):
+    """20,000 sources of one row, 3,000 of two and a large one: no bucket of the last ranking exceeds its bound by much."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 1000)
+    monkeypatch.setattr(sharding, "LEAST_BUCKETS", 16)
+    rows = [(i, f"one{i}") for i in range(20_000)] + [(30_000 + i, f"two{i // 2}") for i in range(6_000)] + [(40_000 + i, None) for i in range(4_000)]
+    seen, ranked = [], sharding.ranked
+    monkeypatch.setattr(sharding, "ranked", lambda df, groups, bucket, *a: seen.append(
+        df.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0]) or ranked(df, groups, bucket, *a))
+    docs = spark.createDataFrame([(d, "t", s) for d, s in rows], "doc_id bigint, text string, source string").repartition(4)
+    got = sharding.plan(docs, 7).collect()
+    assert seen[1] < 3 * 1000
+    key = {r[0]: r[1] for r in docs.select("doc_id", sharding.shuffle_key(F.col("doc_id"))).collect()}
+    by, place = collections.defaultdict(list), []
+    for d, s in rows:
+        by[s].append((key[d], d))
+    for s, members in by.items():
+        place += [((2 * k + 1) / (2 * len(members)), s is None, s or "", *m) for k, m in enumerate(sorted(members))]
+    want = {p[-1]: i * 7 // len(rows) for i, p in enumerate(sorted(place))}
+    assert {r.doc_id: r.shard for r in got} == want and bag((r.shard, r.slot) for r in got) == bag(
+        (s, i) for s, n in collections.Counter(want.values()).items() for i in range(n))
+
+
 def test_decontamination(messy, spark):
     items = [(1, PASSAGE), (2, "one copy"), (3, ""), (4, None), (None, "a b"), (5, "never there at all in any of these texts whatever"),
              (6, PASSAGE.upper() + "."), (7, "one copy that a third of all rows share with each other")]

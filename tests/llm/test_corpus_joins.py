@@ -141,6 +141,25 @@ def test_tries_find_all_alike_sets():
             assert groups(n, found) == groups(n, pairs) and len(found) < n
 
 
+def test_outlines_pass_over_no_alike_pair():
+    rng = np.random.default_rng(12)
+    for trial in range(40):
+        base = rng.integers(0, 1 << 63, rng.choice([2, 30, 64, 200]), dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(len(base)) < rng.choice([0.7, 0.9, 0.97])], rng.integers(0, 1 << 63, rng.integers(1, 20), dtype=np.uint64)]))
+                for _ in range(12)] + [np.unique(rng.integers(0, 1 << 63, len(base), dtype=np.uint64)) for _ in range(6)]
+        n, root = np.array([len(s) for s in sets]), rng.integers(0, 9, len(sets))
+        outlines = [ngramjoin.outline(s) for s in sets]
+        if trial % 4 == 0:
+            outlines[3] = b""
+        for side in (np.zeros(len(sets), dtype=int), np.arange(len(sets)) % 2):
+            keep = ngramjoin.possible(side, root, n, outlines)
+            for i, j in itertools.combinations(range(len(sets)), 2):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if 185 * common >= 85 * (n[i] + n[j]) and root[i] != root[j] and (not side.any() or side[i] != side[j]):
+                    assert keep[i] and keep[j]
+            assert trial % 4 == 0 or len(base) < 200 or not keep[12:].any()
+
+
 def groups(n, pairs):
     root = list(range(n))
     for a, b in pairs:
