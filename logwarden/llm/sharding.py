@@ -6,10 +6,11 @@ the sources in their overall proportions.
 
 Ranks come from bucket counts and a window inside each bucket, never from one sorted group: the shuffle key and the
 fraction are spread evenly over a number of buckets that follows the row count, so a source with a third of all rows is
-ranked by many tasks, and only the counts per bucket are summed in order.
+ranked by many tasks, and only the counts per bucket are summed in order. Where many small sources share a fraction (sources of one
+row all have 1/2), its rows have buckets of their own, by runs of sources.
 
 Edge cases: null sources form a stratum; null texts have size 16 and crc32 of nothing (0); null ids and repeated rows are
-ranked like others (rows that are equal in id, text and source are interchangeable); an empty table gives an empty result;
+ranked like others (rows that are equal in id, text and source are interchangeable); very long texts count whole; an empty table gives an empty result;
 extra columns are carried by ``assign`` and not read.
 """
 
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from logwarden.session import written
+
 SHARDS, SEED = 40, 20_240_501
 #: Rows per ranking bucket, and the least and largest number of buckets (of one source, and of all rows).
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 20_000, 512, 16_384
@@ -28,10 +31,11 @@ def shuffle_key(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(seeded.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
-def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[str], rank: str, rows: str) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[str], rank: str, rows: str, also: DataFrame | None = None) -> DataFrame:
     """Adds the rank (from 1) of every row within ``groups`` in ``order``, and the rows of the group.
 
     ``bucket`` must follow that order; ``groups`` hold no nulls, so the window and the join share one shuffle of the rows.
+    ``also`` has further columns per group.
     """
     keys = [*groups, "_bucket"]
     df = df.withColumn("_bucket", bucket)
@@ -40,11 +44,29 @@ def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[str], r
     starts = counts.select(
         *keys, F.sum("_n").over(group).alias(rows),
         (F.sum("_n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    if also is not None:
+        starts = starts.join(also, groups)
     inner = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     placed = df.withColumn("_inner", inner).join(starts, keys)
     return placed.withColumn(rank, F.col("_before") + F.col("_inner")).drop("_bucket", "_inner", "_before")
 
 
+def crowded(sources: DataFrame, buckets: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Fractions that more than ``most`` sources share, by cell, and the sources in ordered runs of about ``most``.
+
+    Each source has one row at most at a fraction, so it takes many sources of one size to crowd it: of n rows, at most n / ``most``
+    fractions are listed.
+    """
+    sources = written(sources)
+    runs = max(1, -(-sources.count() // most))
+    chunks = written(sources.repartitionByRange(runs, "_none", "_name").select("_none", "_name", F.spark_partition_id().alias("_chunk")))
+    sizes = sources.groupBy("_m").agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    parts = sizes.select("_m", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m"))).alias("_r")).select(
+        ((F.col("_r") * 2 - 1) / (F.col("_m") * 2)).alias("_part")).distinct()
+    cells = parts.groupBy(F.floor(F.col("_part") * buckets).cast("int").alias("_cell")).agg(F.sort_array(F.collect_list("_part")).alias("_crowded"))
+    return written(cells), chunks
+
+
 def interleave(rows: DataFrame, n: int, shards: int) -> DataFrame:
     """Adds shard and slot to ``n`` rows that carry doc_id, source, size and text_crc32 as _id, _source, size, text_crc32."""
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, n // BUCKET_ROWS))
@@ -52,10 +74,19 @@ def interleave(rows: DataFrame, n: int, shards: int) -> DataFrame:
     rows = rows.withColumns({"_key": shuffle_key(F.col("_id")), "_none": F.col("_source").isNull(),
                              "_name": F.coalesce("_source", F.lit(""))})
     width = (1 << 60) // buckets + 1
-    rows = ranked(rows, ["_none", "_name"], F.expr(f"cast(_key div {width} as int)"), ties, "_rank", "_rows")
+    by_source = ["_none", "_name"]
+    most = max(BUCKET_ROWS, -(-n // MOST_BUCKETS))
+    crowd, chunks = crowded(rows.groupBy(*by_source).agg(F.count("*").alias("_m")), buckets, most)
+    rows = ranked(rows, by_source, F.expr(f"cast(_key div {width} as int)"), ties, "_rank", "_rows", chunks)
     # Equal doubles for equal fractions of sources of one size; ties go by source, nulls last.
-    rows = rows.withColumns({"_part": (F.col("_rank") * 2 - 1) / (F.col("_rows") * 2), "_all": F.lit(0)})
-    rows = ranked(rows, ["_all"], F.floor(F.col("_part") * buckets).cast("int"), ["_part", "_none", "_name", *ties], "_place", "_total")
+    rows = rows.withColumn("_part", (F.col("_rank") * 2 - 1) / (F.col("_rows") * 2))
+    rows = rows.withColumns({"_all": F.lit(0), "_cell": F.floor(F.col("_part") * buckets).cast("int")})
+    # Rows at a crowded fraction have buckets of their own, by runs of sources in order.
+    rows = rows.join(F.broadcast(crowd), "_cell", "left")
+    below = F.coalesce(F.size(F.filter("_crowded", lambda x: x < F.col("_part"))), F.lit(0))
+    own = F.coalesce(F.array_contains("_crowded", F.col("_part")), F.lit(False))
+    bucket = F.struct("_cell", F.when(own, 2 * below + 1).otherwise(2 * below).alias("place"), F.when(own, F.col("_chunk")).otherwise(0).alias("chunk"))
+    rows = ranked(rows, ["_all"], bucket, ["_part", *by_source, *ties], "_place", "_total").drop("_cell", "_crowded", "_chunk")
     # Places count from 0; shard s begins at place ceil(s * n / shards).
     rows = rows.withColumn("_place", F.col("_place") - 1).withColumn("shard", F.expr(f"cast(_place * {shards} div _total as int)"))
     first = F.expr(f"(cast(shard as bigint) * _total + {shards - 1}) div {shards}")
