@@ -161,3 +161,48 @@ def test_pipeline_against_brute_force(spark, sf):
     assert ids(kept) == ids(start)
     per = [r["count"] for r in kept.groupBy("shard").count().collect()]
     assert max(per) - min(per) <= 1
+
+
+def test_transitions_laid_over_each_other():
+    rng = np.random.default_rng(3)
+    follow = [{int(c): int(rng.integers(300)) for c in rng.choice(40, rng.integers(0, 8), replace=False)} for _ in range(300)]
+    place, comb = langid.overlaid(follow, 40)
+    assert len(set(place.tolist())) == len(follow)
+    for state, row in enumerate(follow):
+        for c in range(40):
+            owner, to = int(comb[place[state] + c]) >> 32, int(comb[place[state] + c]) & 0xFFFFFFFF
+            assert (owner == place[state]) == (c in row)
+            assert c not in row or to == place[row[c]]
+
+
+def test_many_languages_keep_their_samples():
+    """100 languages of 250 letters together: whole samples, a table that follows the sample, every text told apart."""
+    rng = np.random.default_rng(4)
+    words = {f"l{i:03d}": ["".join(chr(0x4E00 + (i * 97 + int(j)) % 2500) for j in rng.integers(0, 250, 3)) for _ in range(150)] for i in range(100)}
+    sample = lambda k, n: " ".join(words[k][int(j)] for j in rng.integers(0, 150, n))
+    texts = {k: sample(k, 400) for k in words}
+    parser = langid.Parser(texts)
+    assert parser.sizes == [len(texts[k]) for k in parser.languages] and len(parser.alphabet) > 2000
+    assert parser.table.nbytes <= 40 * sum(parser.sizes) + 100 * 32 * len(parser.alphabet)
+    code = {c: i + 2 for i, c in enumerate(parser.alphabet)} | {" ": 1}
+    asked = [sample(k, 30) for k in parser.languages]
+    symbols = np.array([code.get(c, 0) for t in asked for c in t], dtype=np.uint16)
+    got = langid.parse(parser, symbols, np.array([len(t) for t in asked])) * parser.cost
+    assert got.argmin(axis=1).tolist() == list(range(100))
+
+
+@pytest.mark.parametrize("languages", [0, 1, 4, 100, 1000, 100_000, 5_000_000])
+def test_language_shares_are_bounded(languages):
+    pieces, piece = langid.shares(languages, langid.PIECES, langid.PIECE)
+    assert 1 <= pieces <= langid.PIECES and 1 <= piece <= langid.PIECE
+    assert languages * pieces * piece <= max(langid.MOST_CHARACTERS, languages)
+    assert languages > 100 or (pieces, piece) == (langid.PIECES, langid.PIECE)
+
+
+def test_a_common_start_hides_no_language(spark):
+    start = "all texts begin with these same words that tell nothing about what follows " * 8
+    words = {"aa": ["lomi", "tenu", "raka", "sipo", "munde"], "bb": ["krzt", "vlach", "dobry", "strc", "prst"]}
+    rows = [(i, start + " ".join(words[k][(i * 7 + j * j) % 5] for j in range(120)), k) for i in range(400) for k in [("aa", "bb")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs).collect()}
+    assert all(got[i] == k for i, _, k in rows)
