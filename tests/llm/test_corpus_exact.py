@@ -217,19 +217,79 @@ def test_cuckoo_filter_inserts_deletes_and_grows():
 
 def test_index_of_live_digests(messy, spark):
     rows = exactdedup.digests(messy)
-    batch = exactdedup.summed(rows, True)
-    index = exactdedup.apply_changes(exactdedup.empty_index(messy), batch, 8)
+    index = exactdedup.LiveIndex(spark, buckets=8)
+    assert index.lookup(rows).isEmpty() and index.content().isEmpty()
+    index.apply(exactdedup.summed(rows, True))
     copies = rows.filter("doc_id between 200 and 238")
-    index = exactdedup.apply_changes(index, exactdedup.summed(copies, False), 8)
+    index.apply(exactdedup.summed(copies, False))
     one = rows.filter("doc_id = 239").first().digest
-    entry_ = index.filter(F.col("digest") == one).first()
+    entry_ = index.content().filter(F.col("digest") == one).first()
     assert entry_.live == 1 and entry_.best_id is None
-    assert exactdedup.lookup(index, rows, 8).count() == rows.select("digest").distinct().count()
-    index = exactdedup.apply_changes(index, exactdedup.summed(rows.filter("doc_id = 239"), False), 8)
-    gone = exactdedup.lookup(index, rows, 8)
+    assert index.lookup(rows).count() == rows.select("digest").distinct().count()
+    index.apply(exactdedup.summed(rows.filter("doc_id = 239"), False))
+    gone = index.lookup(rows)
     assert gone.filter(F.col("digest") == one).isEmpty() and gone.count() == rows.select("digest").distinct().count() - 1
-    same = exactdedup.apply_changes(index, exactdedup.summed(rows.limit(0), True), 8)
-    assert same.count() == index.count()
+    before = index.content().count()
+    index.apply(exactdedup.summed(rows.limit(0), True))
+    assert index.content().count() == before
+
+
+def digest_rows(spark, start, stop):
+    return spark.range(start, stop).select(F.col("id").alias("doc_id"), F.lit(5).cast("bigint").alias("length"),
+                                           F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+
+
+def test_a_batch_rewrites_only_buckets_with_hits(spark):
+    index = exactdedup.LiveIndex(spark, buckets=4)
+    index.apply(exactdedup.summed(digest_rows(spark, 0, 400), True))
+    first = index.commits.load()[1]
+    fresh = digest_rows(spark, 1000, 1400)
+    bucket = lambda rows: rows.withColumn("b", exactdedup.bucket_of(F.col("digest"), 4))
+    # New digests of one bucket: appended to it, unless the filter hits by chance; the other buckets keep their files.
+    few = bucket(fresh).filter("b = 2").limit(5).drop("b")
+    few = spark.createDataFrame(few.collect(), few.schema)
+    assert index.apply(exactdedup.summed(few, True), writer="w", batch=1)
+    second = index.commits.load()[1]
+    assert all(second[k][b] == first[k][b] for k in ("content", "filters") for b in "013")
+    assert second["content"]["2"][0] == first["content"]["2"][0] and len(second["content"]["2"]) == 2
+    assert index.content().count() == 405 and index.content().filter("live <> 1").isEmpty()
+    # Known digests: the bucket is read, verified and written whole.
+    assert index.apply(exactdedup.summed(few, True), writer="w", batch=2)
+    third = index.commits.load()[1]
+    assert len(third["content"]["2"]) == 1 and all(third["content"][b] == first["content"][b] for b in "013")
+    assert index.content().count() == 405 and index.content().filter("live = 2").count() == 5
+    # A repeated batch changes nothing; a deletion takes both copies away.
+    assert not index.apply(exactdedup.summed(few, True), writer="w", batch=2) and index.commits.load()[1] == third
+    index.apply(exactdedup.summed(few.union(few), False))
+    assert index.content().count() == 400 and index.lookup(few).isEmpty()
+    index.vacuum()
+    assert index.lookup(digest_rows(spark, 0, 400)).count() == 400
+
+
+def test_filters_and_buckets_grow(spark, monkeypatch):
+    index = exactdedup.LiveIndex(spark, buckets=2)
+    for i in range(3):
+        index.apply(exactdedup.summed(digest_rows(spark, i * 1000, i * 1000 + 1000), True))
+    assert index.lookup(digest_rows(spark, 0, 3500)).count() == 3000 and index.commits.load()[1]["buckets"] == 2
+    monkeypatch.setattr(exactdedup, "BUCKET_DIGESTS", 20)
+    index.apply(exactdedup.summed(digest_rows(spark, 0, 1), True))
+    assert not index.split()
+    assert index.commits.load()[1]["buckets"] == 256
+    assert max(r["count"] for r in index.content().groupBy("bucket").count().collect()) <= 40
+    assert index.lookup(digest_rows(spark, 0, 3500)).count() == 3000
+    index.apply(exactdedup.summed(digest_rows(spark, 0, 1000).union(digest_rows(spark, 0, 1)), False))
+    assert index.content().count() == 2000 and index.lookup(digest_rows(spark, 0, 3500)).count() == 2000
+
+
+def test_a_filter_that_overflows_is_built_from_stored_digests(spark, monkeypatch):
+    index = exactdedup.LiveIndex(spark, buckets=1)
+    index.apply(exactdedup.summed(digest_rows(spark, 0, 200), True))
+    # Nothing foresees the overflow: the write finds it and is repeated with the bucket's content.
+    monkeypatch.setattr(exactdedup.LiveIndex, "_asked", lambda self, state, placed, touched, hits_only: placed.limit(0))
+    index.apply(exactdedup.summed(digest_rows(spark, 200, 1500), True))
+    monkeypatch.undo()
+    assert index.content().count() == 1500 and index.lookup(digest_rows(spark, 0, 2000)).count() == 1500
+    assert len(index.commits.load()[1]["content"]["0"]) == 1
 
 
 URLS = [(1, "http://a.example.net/en/1"), (1, "http://a.example.net/en/1"), (2, None), (3, ""), (4, "no scheme"), (5, "x://net"), (6, "x://net/"),
@@ -285,7 +345,7 @@ def test_sharding(messy):
     assert all(abs(mix[s, k] - n / 7) <= 1.5 for s, n in sources.items() for k in range(7))
 
 
-def test_proximity_matches(spark):
+def test_near_matches(spark):
     """Passages with words put in, left out, or replaced by one that no other text has."""
     import random
 
