@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -28,6 +29,10 @@ def average_path(n):
 
 
 SCORE_ROWS = 2048
+#: Leaves per mask word (its lowest bit stays free), mask words a row may cost per tree, bytes of one block's masks, words at work.
+WORD_LEAVES, MOST_WORDS, BLOCK_BYTES, WORK_WORDS = 63, 64, 1 << 20, 16_384
+#: De Bruijn sequence: times a power of two, its top six bits tell the exponent.
+DE_BRUIJN = np.uint64(0x03F79D71B4CB0A89)
 
 
 @dataclass
@@ -54,7 +59,13 @@ class Forest:
 
     def depth_scores(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-E[h] / c) for each row of x."""
-        scale = max(float(average_path(self.sample)), 1e-12)
+        return Scorer([self]).depth_scores(x)[:, 0]
+
+    def scaled(self, paths: np.ndarray) -> np.ndarray:
+        return np.power(2.0, -paths / max(float(average_path(self.sample)), 1e-12))
+
+    def walked(self, x: np.ndarray) -> np.ndarray:
+        """Mean path of each row of x, node by node."""
         out = np.empty(len(x))
         for start in range(0, len(x), SCORE_ROWS):
             part = np.ascontiguousarray(x[start:start + SCORE_ROWS])
@@ -65,7 +76,113 @@ class Forest:
                 high = flat.take(base + self.split.take(at)) >= self.cut.take(at)
                 at = self.below.take(at) + high
             out[start:start + len(part)] = self.path.take(at).mean(axis=1)
-        return np.power(2.0, -out / scale)
+        return out
+
+    def boxes(self) -> tuple[np.ndarray, ...]:
+        """(tree, number within its tree, path, low, high) of every leaf: the values between two cuts of each feature end there."""
+        low = np.full((len(self.split), len(self.columns)), -np.inf)
+        high = np.full(low.shape, np.inf)
+        at, leaves = self.roots.astype(np.int64), []
+        while len(at):
+            inner = self.below[at] != at
+            leaves.append(at[~inner])
+            at = at[inner]
+            below, f, cut = self.below[at].astype(np.int64), self.split[at], self.cut[at]
+            for child in (below, below + 1):
+                low[child], high[child] = low[at], high[at]
+            high[below, f], low[below + 1, f] = cut, cut
+            at = np.concatenate([below, below + 1])
+        leaf = np.sort(np.concatenate(leaves))
+        tree = np.searchsorted(self.roots, leaf, side="right") - 1
+        return tree, np.arange(len(leaf)) - np.searchsorted(tree, tree), self.path[leaf], low[leaf], high[leaf]
+
+
+class Scorer:
+    """Depth scores of several forests over the same columns.
+
+    A value's place among all cuts of its feature tells which leaves of a tree it can reach, as a mask of bits; the masks of
+    all features have one leaf in common. So a row costs a few words per tree and feature instead of a step per level.
+    Trees share masks in blocks of bounded size; forests whose trees have too many leaves for that are walked.
+    """
+
+    def __init__(self, forests: list[Forest]):
+        self.forests, self.blocks, boxed = forests, [], {}
+        for i, f in enumerate(forests):
+            splits = np.bincount(np.searchsorted(f.roots, np.flatnonzero(np.isfinite(f.cut)), side="right"), minlength=1)
+            if -(-(int(splits.max()) + 1) // WORD_LEAVES) * len(f.columns) <= MOST_WORDS:
+                boxed[i] = f.boxes()
+        self.walked = [i for i in range(len(forests)) if i not in boxed]
+        cuts = lambda low, f: np.unique(low[np.isfinite(low[:, f]), f])
+        # Every cut is the lower end of some leaf's box.
+        self.cuts = [np.unique(np.concatenate([cuts(b[3], f) for b in boxed.values()])) for f in range(len(forests[0].columns))] if boxed else []
+        for i, (tree, number, path, low, high) in boxed.items():
+            trees, most = len(forests[i].roots), -(-(int(number.max()) + 1) // WORD_LEAVES)
+            inner = max(1, len(tree) // trees)
+            size = max(1, min(trees, int((BLOCK_BYTES / (8 * most * inner)) ** 0.5)))
+            for first in range(0, trees, size):
+                mine = (tree >= first) & (tree < first + size)
+                width = min(size, trees - first)
+                words = -(-(int(number[mine].max()) + 1) // WORD_LEAVES)
+                word = number[mine] // WORD_LEAVES
+                column = word * width + tree[mine] - first
+                bit = 1 + number[mine] % WORD_LEAVES
+                paths = np.zeros((words * width, 64))
+                # The place that the sequence gives to a mask with this bit alone; an empty mask gets place 0, where the path is 0.
+                paths[column, (DE_BRUIJN << bit.astype(np.uint64)) >> np.uint64(58)] = path[mine]
+                masks = []
+                for f, known in enumerate(self.cuts):
+                    own = cuts(low[mine], f)
+                    if not len(own):
+                        continue
+                    # A leaf's bit is turned on where its box begins and off where it ends.
+                    mask = np.zeros((len(own) + 2, words * width), np.uint64)
+                    one = np.uint64(1) << bit.astype(np.uint64)
+                    begin = np.searchsorted(own, low[mine][:, f], side="right")
+                    end = np.where(np.isinf(high[mine][:, f]), len(own) + 1, np.searchsorted(own, high[mine][:, f], side="right"))
+                    np.bitwise_xor.at(mask, (begin, column), one)
+                    np.bitwise_xor.at(mask, (end, column), one)
+                    place = np.concatenate([[0], np.searchsorted(own, known, side="right")])
+                    masks.append((f, place, np.bitwise_xor.accumulate(mask, axis=0)))
+                self.blocks.append((i, first, width, words, masks, paths.ravel()))
+
+    def depth_scores(self, x: np.ndarray) -> np.ndarray:
+        """2 ** (-E[h] / c) for each row of x and forest."""
+        out = np.empty((len(x), len(self.forests)))
+        for i in self.walked:
+            out[:, i] = self.forests[i].walked(x)
+        places = [np.searchsorted(known, x[:, f], side="right") for f, known in enumerate(self.cuts)]
+        found = {}
+        for i, first, width, words, masks, paths in self.blocks:
+            if not first:
+                found = np.empty((len(x), len(self.forests[i].roots)))
+            columns = words * width
+            own = [(place.take(places[f]), mask) for f, place, mask in masks]
+            base = (np.arange(columns, dtype=np.uint64) * np.uint64(64))[None, :]
+            step = max(16, WORK_WORDS // columns)
+            both, more, depth = np.empty((step, columns), np.uint64), np.empty((step, columns), np.uint64), np.empty((step, columns))
+            for start in range(0, len(x), step):
+                n = min(step, len(x) - start)
+                at, other, h = both[:n], more[:n], depth[:n]
+                if own:
+                    own[0][1].take(own[0][0][start:start + n], axis=0, out=at, mode="clip")
+                else:
+                    at[:] = np.uint64(2)
+                for place, mask in own[1:]:
+                    mask.take(place[start:start + n], axis=0, out=other, mode="clip")
+                    np.bitwise_and(at, other, out=at)
+                np.multiply(at, DE_BRUIJN, out=at)
+                np.right_shift(at, np.uint64(58), out=at)
+                np.add(at, base, out=at)
+                paths.take(at.view(np.int64), out=h, mode="clip")
+                total = found[start:start + n, first:first + width]
+                total[:] = h[:, :width]
+                for w in range(1, words):
+                    total += h[:, w * width:(w + 1) * width]
+            if first + width == found.shape[1]:
+                out[:, i] = found.mean(axis=1)
+        for i, f in enumerate(self.forests):
+            out[:, i] = f.scaled(out[:, i])
+        return out
 
 
 NODE_SCHEMA = ("config int, tree int, node int, split int, cut double, left_node int, right_node int, size int, depth int")
@@ -195,8 +312,10 @@ def raw_score(forest: Forest) -> Column:
     shipped = replace(forest, nodes=None, trained=None)
 
     @F.pandas_udf(T.DoubleType())
-    def run(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series(shipped.depth_scores(np.nan_to_num(frame.to_numpy(dtype=float))))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        scorer = Scorer([shipped])
+        for frame in frames:
+            yield pd.Series(scorer.depth_scores(np.nan_to_num(frame.to_numpy(dtype=float)))[:, 0])
 
     return run(F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(forest.columns)]))
 
@@ -245,24 +364,27 @@ def tune_iforest(df: DataFrame, columns: list[str], key: list[str], grid: list[d
     forests = [replace(_assemble(nodes[nodes["config"] == i], columns, c["sample"]), nodes=None)
                for i, c in enumerate(configs)]
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def all_scores(frame: pd.DataFrame) -> pd.Series:
-        x = np.nan_to_num(frame.to_numpy(dtype=float))
-        return pd.Series(list(np.stack([f.depth_scores(x) for f in forests], axis=1)))
+    names = [f"s{i}" for i in range(len(grid))]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def all_scores(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(forests)
+        for frame in frames:
+            yield pd.DataFrame(scorer.depth_scores(np.nan_to_num(frame.to_numpy(dtype=float))), columns=names)
 
     scored = written(spread_small(df.select(*columns, *([label] if label else [])), rows).select(all_scores(F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]))
                                .alias("s"), *([F.col(label).alias("y")] if label else [])))
     shares = [g.get("contamination", "auto") for g in grid]
-    wide = scored.select(*[F.col("s")[i].alias(f"s{i}") for i in range(len(grid))])
+    wide = scored.select("s.*")
     fixed = sorted({(i, c) for i, c in enumerate(shares) if c != "auto"})
     offsets = {i: AUTO_OFFSET for i in range(len(grid))}
     for share in sorted({c for _, c in fixed}):
         cols = [f"s{i}" for i, c in fixed if c == share]
-        for c, q in quantiles(wide, cols, [1 - share]).items():
+        for c, q in quantiles(wide, cols, [1 - share], rows=rows).items():
             offsets[int(c[1:])] = -q[0]
     aggs = []
     for i in range(len(grid)):
-        score = (F.lit(1.0) + F.col("s")[i] + F.lit(offsets[i])) / 2
+        score = (F.lit(1.0) + F.col(f"s.s{i}") + F.lit(offsets[i])) / 2
         if label:
             hit, good = score >= 0.5, F.col("y") == 1
             tp, fp, fn = F.count_if(hit & good), F.count_if(hit & ~good), F.count_if(~hit & good)

@@ -19,22 +19,28 @@ BINS = 4096
 DIRECT_ROWS = 50_000
 #: Rank error of the sketch is n / ACCURACY; a bracket reaches MARGIN (a share of n) to either side.
 ACCURACY, MARGIN = 10_000, 2e-4
+#: Rows the sketch sees where the caller knows how many there are; its bracket then reaches six deviations of their ranks further.
+SKETCH_ROWS = 2_000_000
 
 
-def quantiles(df: DataFrame, columns: list[str], qs: list[float], *, builtin_rows: int = BUILTIN_ROWS
-              ) -> dict[str, list[float | None]]:
-    """``{column: [value per q]}``; nulls are ignored, an empty column gives None."""
-    return measured(df, columns, qs, [], builtin_rows=builtin_rows)[0]
+def quantiles(df: DataFrame, columns: list[str], qs: list[float], *, builtin_rows: int = BUILTIN_ROWS,
+              rows: int | None = None) -> dict[str, list[float | None]]:
+    """``{column: [value per q]}``; nulls are ignored, an empty column gives None. ``rows`` (of df) lets the sketch see fewer rows."""
+    return measured(df, columns, qs, [], builtin_rows=builtin_rows, rows=rows)[0]
 
 
-def measured(df: DataFrame, columns: list[str], qs: list[float], also: list, *, builtin_rows: int = BUILTIN_ROWS
-             ) -> tuple[dict[str, list[float | None]], Row]:
+def measured(df: DataFrame, columns: list[str], qs: list[float], also: list, *, builtin_rows: int = BUILTIN_ROWS,
+             rows: int | None = None) -> tuple[dict[str, list[float | None]], Row]:
     """``quantiles``, and a row with the aggregates ``also`` taken in the pass that measures the ranges."""
     x = lambda c: F.col(c).cast("double")
     finite = lambda c: (F.abs(x(c)) < math.inf) & ~F.isnan(x(c))
-    near = [p for q in qs for p in (max(0.0, q - MARGIN), min(1.0, q + MARGIN))]
-    stats = df.agg(
-        *[F.percentile_approx(F.when(finite(c), x(c)), near, ACCURACY).alias(f"near{i}") for i, c in enumerate(columns) if qs],
+    few = rows is not None and rows > SKETCH_ROWS
+    margin = [MARGIN + (6 * math.sqrt(q * (1 - q) / SKETCH_ROWS) if few else 0.0) for q in qs]
+    near = [p for q, m in zip(qs, margin) for p in (max(0.0, q - m), min(1.0, q + m))]
+    seen = lambda c: finite(c) & F.col("_seen") if few else finite(c)
+    # Every row is counted; the sketch only places the brackets.
+    stats = (df.withColumn("_seen", F.rand(1) < SKETCH_ROWS / rows) if few else df).agg(
+        *[F.percentile_approx(F.when(seen(c), x(c)), near, ACCURACY).alias(f"near{i}") for i, c in enumerate(columns) if qs],
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
         *[F.count_if(x(c) == -math.inf).alias(f"low{i}") for i, c in enumerate(columns)],
         *[F.count_if(finite(c)).alias(f"mid{i}") for i, c in enumerate(columns)],
@@ -57,9 +63,9 @@ def measured(df: DataFrame, columns: list[str], qs: list[float], also: list, *,
             for r in {math.floor(at) - stats[f"low{i}"], math.ceil(at) - stats[f"low{i}"]}:
                 if 0 <= r < stats[f"mid{i}"]:
                     # With infinite values the sketch of the finite ones is asked for other ranks: the count tells.
-                    lo, hi = stats[f"near{i}"][2 * k:2 * k + 2]
+                    lo, hi = (stats[f"near{i}"] or [stats[f"lo{i}"], stats[f"hi{i}"]] * len(qs))[2 * k:2 * k + 2]
                     ranks[i, r] = {"lo": lo, "hi": hi, "below": None, "ends": (stats[f"lo{i}"], stats[f"hi{i}"]),
-                                   "n": 2 * (MARGIN + 1 / ACCURACY) * stats[f"mid{i}"]}
+                                   "n": 2 * (margin[k] + 1 / ACCURACY) * stats[f"mid{i}"]}
     found = _select(df, columns, ranks)
 
     def value(i: int, rank: int) -> float:

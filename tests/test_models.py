@@ -39,6 +39,37 @@ def test_forest_scores(lines):
         assert r["forest_score"] == pytest.approx((1 + s - 0.5) / 2, abs=1e-9) and 0 <= r["forest_score"] <= 1
 
 
+@pytest.mark.parametrize("trees, sample, width, block", [(40, 256, 4, 1 << 20), (9, 256, 3, 4096), (3, 1, 2, 4096), (5, 2, 2, 4096), (2, 3000, 4, 4096)])
+def test_scores_equal_the_walk(trees, sample, width, block, monkeypatch):
+    """Masks give the leaves of the walk, bit by bit, also on cuts and beyond all of them; a huge tree is walked."""
+    monkeypatch.setattr(fo, "BLOCK_BYTES", block)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(3500, width)), 1 if width == 3 else 9)
+    forests = []
+    for seed in (1, 2):
+        rows = [(t, *n) for t in range(trees) for n in fo.grow(x[rng.choice(len(x), sample, replace=False)], np.random.default_rng([seed, t]), 8 if sample < 1000 else 20, np.arange(seed % 2, width))]
+        nodes = fo.pd.DataFrame(rows, columns=["tree", "node", "split", "cut", "left_node", "right_node", "size", "depth"])
+        forests.append(fo._assemble(nodes, [f"c{i}" for i in range(width)], sample))
+    cuts = np.concatenate([f.cut[np.isfinite(f.cut)] for f in forests])[:200]
+    x[:len(cuts)] = cuts[:, None]
+    x[-2:] = [[1e300], [-1e300]]
+    scorer = fo.Scorer(forests)
+    assert bool(scorer.walked) == (sample == 3000)
+    got = scorer.depth_scores(x)
+    for i, f in enumerate(forests):
+        assert (got[:, i] == f.scaled(f.walked(x))).all()
+
+
+def test_quantiles_from_a_thin_sketch(spark, monkeypatch):
+    from logwarden.operators import quantiles as q
+
+    monkeypatch.setattr(q, "SKETCH_ROWS", 50)
+    df = spark.range(3000).select((F.col("id") * 7 % 3000 / 10).alias("a"), F.when(F.col("id") < 5, F.col("id").cast("double")).alias("b"))
+    want = df.select(*[F.percentile(c, F.array(F.lit(0.05), F.lit(0.9))).alias(c) for c in "ab"]).first()
+    got = q.quantiles(df, ["a", "b"], [0.05, 0.9], builtin_rows=10, rows=3000)
+    assert got["a"] == pytest.approx(want["a"]) and got["b"] == pytest.approx(want["b"])
+
+
 def test_forest_contamination(lines):
     forest = fo.fit_iforest(lines, FEATURES, KEY, trees=20, contamination=0.1)
     share = fo.score_iforest(lines, forest).agg(F.avg((F.col("forest_score") > 0.5).cast("int"))).first()[0]
