@@ -287,7 +287,7 @@ def fit_iforest(df: DataFrame, columns: list[str], key: list[str], *, trees: int
     forest.rows = rows
     if contamination != "auto":
         forest.trained = written(spread_small(df.select(*key, *columns), rows).select(*key, (-raw_score(forest)).alias("_s")))
-        forest.offset = quantiles(forest.trained, ["_s"], [float(contamination)])["_s"][0]
+        forest.offset = quantiles(forest.trained, ["_s"], [float(contamination)], rows=rows)["_s"][0]
     return forest
 
 
