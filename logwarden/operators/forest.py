@@ -175,9 +175,10 @@ class Scorer:
                 np.add(at, base, out=at)
                 paths.take(at.view(np.int64), out=h, mode="clip")
                 total = found[start:start + n, first:first + width]
-                total[:] = h[:, :width]
-                for w in range(1, words):
-                    total += h[:, w * width:(w + 1) * width]
+                # All words of a tree but one add 0.
+                np.add(h[:, :width], h[:, width:2 * width] if words > 1 else 0.0, out=total)
+                for w in range(2, words):
+                    np.add(total, h[:, w * width:(w + 1) * width], out=total)
             if first + width == found.shape[1]:
                 out[:, i] = found.mean(axis=1)
         for i, f in enumerate(self.forests):
